@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docassay.functions.binding import let
 from docassay.rulebook import ORG_SUFFIXES
 
 
@@ -54,31 +55,43 @@ def _compatible(t: Column, u: Column) -> Column:
     return (t == u) | ((F.length(t) == 1) & u.startswith(t)) | ((F.length(u) == 1) & t.startswith(u))
 
 
-def names_match(a: Column, b: Column) -> Column:
-    """Surnames equal or one edit apart, and every given name of the shorter side finds a partner."""
-    ta, tb = _tokens(a), _tokens(b)
-    sa, sb = F.get(ta, F.size(ta) - 1), F.get(tb, F.size(tb) - 1)
-    ga = F.slice(ta, F.lit(1), F.greatest(F.size(ta) - 1, F.lit(0)))
-    gb = F.slice(tb, F.lit(1), F.greatest(F.size(tb) - 1, F.lit(0)))
-    a_short = F.size(ta) <= F.size(tb)
-    short, long = F.when(a_short, ga).otherwise(gb), F.when(a_short, gb).otherwise(ga)
+def _given_match(x: Column) -> Column:
+    """Every given name of ``x.short`` takes a compatible, still free one of ``x.long``, in order."""
 
     def place(taken: Column, t: Column) -> Column:
         free = F.filter(
-            F.sequence(F.lit(0), F.size(long) - 1),
-            lambda j: ~F.array_contains(taken, j) & _compatible(t, F.get(long, j)),
+            F.sequence(F.lit(0), F.size(x["long"]) - 1),
+            lambda j: ~F.array_contains(taken, j) & _compatible(t, F.get(x["long"], j)),
         )
-        return F.when(F.size(free) > 0, F.concat(taken, F.slice(free, 1, 1))).otherwise(taken)
+        return F.concat(taken, F.slice(free, 1, 1))
+
+    placed = F.aggregate(x["short"], F.array().cast("array<int>"), place)
+    return F.when(F.size(x["short"]) == 0, F.lit(True)).otherwise(F.size(placed) == F.size(x["short"]))
 
-    placed = F.aggregate(short, F.array().cast("array<int>"), place)
+
+def _parts(p: Column) -> Column:
+    a, b = p["a"], p["b"]
+    sa, sb = F.get(a, F.size(a) - 1), F.get(b, F.size(b) - 1)
+    ga, gb = F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(1), F.size(b) - 1)
+    a_short = F.size(a) <= F.size(b)
+    sides = F.struct(F.when(a_short, ga).otherwise(gb).alias("short"), F.when(a_short, gb).otherwise(ga).alias("long"))
     return (
-        F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(False))
+        F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(False))
         .when((sa != sb) & (F.levenshtein(sa, sb) > 1), F.lit(False))
-        .when(F.size(short) == 0, F.lit(True))
-        .otherwise(F.size(placed) == F.size(short))
+        .otherwise(let(sides, _given_match))
+    )
+
+
+def names_match(a: Column, b: Column) -> Column:
+    """Surnames equal or one edit apart, and every given name of the shorter side finds a partner."""
+    return (
+        F.when(a.isNull() | b.isNull(), None)
+        .when((a == b) & (F.trim(a) != ""), F.lit(True))
+        .otherwise(let(F.struct(_tokens(a).alias("a"), _tokens(b).alias("b")), _parts))
     )
 
 
 def names_agree(a: Column, b: Column) -> Column:
     """Name comparison after text normalisation."""
-    return names_match(F.upper(normal_text(a)), F.upper(normal_text(b)))
+    both = F.struct(F.upper(normal_text(a)).alias("a"), F.upper(normal_text(b)).alias("b"))
+    return let(both, lambda p: names_match(p["a"], p["b"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docassay.functions.binding import let
+
 # Number words.
 UNITS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
          "seventeen eighteen nineteen").split()
@@ -22,6 +24,10 @@ def _number(text: Column) -> Column:
     """Integer of a group of number words; null on an unknown word or when there is none."""
     words = F.regexp_extract_all(text, F.lit("([a-z]+)"), F.lit(1))
     words = F.filter(words, lambda w: ~w.isin(FILLER))
+    return let(words, _fold)
+
+
+def _fold(words: Column) -> Column:
     adds = _map({**{w: i for i, w in enumerate(UNITS)}, **TENS})
     scales = _map(SCALES)
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("run"),
@@ -36,8 +42,7 @@ def _number(text: Column) -> Column:
         known = add.isNotNull() | scale.isNotNull() | (w == "hundred")
         return F.struct(total.alias("total"), run.alias("run"), (s["ok"] & known).alias("ok"))
 
-    s = F.aggregate(words, start, step)
-    return F.when((F.size(words) > 0) & s["ok"], s["total"] + s["run"])
+    return let(F.aggregate(words, start, step), lambda s: F.when((F.size(words) > 0) & s["ok"], s["total"] + s["run"]))
 
 
 def words_to_decimal(c: Column) -> Column:
@@ -49,8 +54,13 @@ def words_to_decimal(c: Column) -> Column:
     rupee = F.when(~has_paise, low).when(cut > 0, F.substring(head, F.lit(1), F.length(head) - cut - 4)).otherwise("")
     paise = F.when(has_paise & (cut > 0), F.substring(head, F.length(head) - cut + 2, F.length(head))).when(
         has_paise, head).otherwise("")
-    r, p = _number(rupee), F.when(F.trim(paise) != "", _number(paise))
-    value = F.coalesce(r, F.lit(0)).cast("decimal(20,2)") + F.when(
-        p.between(0, 99), (p.cast("decimal(20,2)") * F.lit("0.01").cast("decimal(3,2)"))
-    ).otherwise(F.lit(0)).cast("decimal(20,2)")
-    return F.when(r.isNotNull() | p.isNotNull(), value).cast("decimal(20,2)")
+    paise_value = F.when(F.trim(paise) != "", _number(paise))
+    both = F.struct(_number(rupee).alias("r"), paise_value.alias("p"))
+
+    def value(x: Column) -> Column:
+        hundredths = F.when(x["p"].between(0, 99), x["p"]).otherwise(F.lit(0))
+        paid = (F.coalesce(x["r"], F.lit(0)) * 100 + hundredths).cast("decimal(22,0)")
+        return F.when(x["r"].isNotNull() | x["p"].isNotNull(),
+                      (paid * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(20,2)"))
+
+    return let(both, value)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions.money import close
 from docassay.functions.names import names_agree, text_ratio
+from docassay.functions.binding import let
 from docassay.functions.numwords import words_to_decimal
 from docassay.operators.scan import ordered, running, with_chunks
 from docassay.rulebook import AREA_FACTORS, MONEY_TOLERANCE, TIME_FACTORS
@@ -66,8 +67,7 @@ def date_offset_equals(start: Column, months: Column, end: Column, days: int) ->
 
 
 def words_equal_figures(words: Column, figure: Column, tol: str = MONEY_TOLERANCE) -> Column:
-    parsed = words_to_decimal(words)
-    return outcome(close(parsed, figure, tol), parsed, figure)
+    return let(words_to_decimal(words), lambda parsed: outcome(close(parsed, figure, tol), parsed, figure))
 
 
 def fuzzy_match(a: Column, b: Column, min_ratio: float) -> Column:
@@ -122,11 +122,12 @@ def linear_balance(rows: DataFrame, keys: list[str], base: DataFrame | None = No
     and ``broken`` (null where nothing is printed).
     """
     move = F.coalesce("credit", F.lit(0).cast("decimal(20,2)")) - F.coalesce("debit", F.lit(0).cast("decimal(20,2)"))
+    base = rows if base is None else base
     rows = with_chunks(rows, keys, F.col("index"), base)
-    rows = running(rows, keys, ["index"], sums={"_cum": move, "_pos": F.lit(1).cast("bigint")})
+    rows = running(rows, keys, ["index"], sums={"_cum": move, "_pos": F.lit(1).cast("bigint")}, base=base)
     printed = F.when(F.col("printed").isNotNull(), F.struct(F.col("printed").alias("b"), F.col("_cum").alias("c"),
                                                             F.col("_pos").alias("p")))
-    rows = running(rows, keys, ["index"], lasts={"_last": printed})
+    rows = running(rows, keys, ["index"], lasts={"_last": printed}, base=base)
     since = F.col("_cum") - F.coalesce("_last.c", F.lit(0).cast("decimal(20,2)"))
     rows = rows.withColumn("expected", F.coalesce("_last.b", "anchor") + since)
     rows = rows.withColumn("unread", F.col("_pos") - 1 - F.coalesce("_last.p", F.lit(0)))

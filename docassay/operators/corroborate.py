@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions.names import edit_ratio, names_match, normal_org
 from docassay.operators.claims import trusted, transactions
-from docassay.operators.scan import exact_median, ordered, with_chunks, running
+from docassay.operators.scan import exact_median, ordered
 from docassay.rulebook import (
     EMPLOYER_MIN_RATIO, FIELD_SEVERITY, HARD_IDENTIFIERS, INCOME_ANNUAL_SLACK, INCOME_REL_TOLERANCE, REVIEW_CAP,
     SALARY_WORDS_CORROBORATION, SEVERITY_BANDS,
@@ -22,7 +22,7 @@ SOFT = min(SEVERITY_BANDS["soft"], REVIEW_CAP)
 STRUCTURAL = min(SEVERITY_BANDS["structural"], REVIEW_CAP)
 
 
-def income_observations(claims: DataFrame) -> DataFrame:
+def income_observations(claims: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Median salary credit, net pay and gross income as (doc_id, kind, source_field, amount2): doubled paise.
 
     Doubled paise keep the median of an even number of credits an exact integer.
@@ -32,7 +32,7 @@ def income_observations(claims: DataFrame) -> DataFrame:
     salary = F.col("credit").isNotNull() & (F.col("credit") > 0) & F.coalesce(
         F.col("description").rlike(SALARY_WORDS_CORROBORATION), F.lit(False))
     credits = t.filter(salary).select("doc_id", (F.col("credit") * 100).cast("bigint").alias("p"))
-    med = exact_median(credits, ["doc_id"], "p").select(
+    med = exact_median(credits, ["doc_id"], "p", base=base).select(
         "doc_id", F.lit(MONTHLY).alias("kind"), F.lit("salary_credit").alias("source_field"),
         (F.col("median") * 2).cast("bigint").alias("amount2"))
     ok = trusted()
@@ -57,7 +57,8 @@ def employers(claims: DataFrame) -> DataFrame:
     return g.select("doc_id", F.col("c.v").alias("employer")).filter(F.coalesce("employer", F.lit("")) != "")
 
 
-def amount_pairs(obs: DataFrame, keys: list[str], amount: str, tol: str = INCOME_REL_TOLERANCE) -> DataFrame:
+def amount_pairs(obs: DataFrame, keys: list[str], amount: str, tol: str = INCOME_REL_TOLERANCE,
+                 base: DataFrame | None = None) -> DataFrame:
     """Unordered pairs of a key whose difference exceeds ``tol`` of the larger, counted without forming pairs.
 
     A pair (a <= b) disagrees when a < (1 - tol) b. Amounts and thresholds are sorted together; a running count of
@@ -71,7 +72,7 @@ def amount_pairs(obs: DataFrame, keys: list[str], amount: str, tol: str = INCOME
         F.struct((F.col("a") * keep).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("add"),
                  F.col("m").alias("ask")),
     )).alias("x")).select(*keys, "x.*")
-    s = ordered(marks, keys, ["at", "kind"], F.col("at"), sums={"below": F.col("add")})
+    s = ordered(marks, keys, ["at", "kind"], F.col("at"), sums={"below": F.col("add")}, base=obs if base is None else base)
     n = F.sum("add")
     g = s.groupBy(*keys).agg(
         n.alias("sources"), F.coalesce(F.sum(F.col("ask") * F.col("below")), F.lit(0)).alias("disagreeing"),
@@ -81,7 +82,7 @@ def amount_pairs(obs: DataFrame, keys: list[str], amount: str, tol: str = INCOME
     return g.withColumn("pairs", F.expr("sources * (sources - 1) div 2"))
 
 
-def annual_floor(obs: DataFrame, keys: list[str], amount: str) -> DataFrame:
+def annual_floor(obs: DataFrame, keys: list[str], amount: str, base: DataFrame | None = None) -> DataFrame:
     """Monthly against annual observations of a key: 12 x monthly may not exceed the slackened annual figure.
 
     Counted from one sorted pass, like ``amount_pairs``.
@@ -92,8 +93,8 @@ def annual_floor(obs: DataFrame, keys: list[str], amount: str) -> DataFrame:
     marks = obs.select(*keys, at.alias("at"), m.cast("int").alias("monthly"))
     marks = marks.groupBy(*keys, "at", "monthly").agg(F.count(F.lit(1)).alias("c"))
     # annual marks below a monthly mark are contradicted by it; at equal marks the monthly one comes first
-    s = with_chunks(marks, keys, F.col("at")).withColumn("tie", -F.col("monthly"))
-    s = running(s, keys, ["at", "tie"], sums={"annual_below": F.when(F.col("monthly") == 0, F.col("c")).otherwise(0)})
+    s = ordered(marks.withColumn("tie", -F.col("monthly")), keys, ["at", "tie"], F.col("at"),
+                sums={"annual_below": F.when(F.col("monthly") == 0, F.col("c")).otherwise(0)}, base=obs if base is None else base)
     mo = F.col("monthly") == 1
     g = s.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(mo, F.col("c"))), F.lit(0)).alias("monthly"),

@@ -45,7 +45,7 @@ def chain_rows(txns: DataFrame, scal: DataFrame) -> DataFrame:
         "printed", F.col("running_balance"))
 
 
-def misfiled_rows(txns: DataFrame) -> DataFrame:
+def misfiled_rows(txns: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Rows whose amount sits nearer the other column's median position.
 
     Needs three cells in both columns, and columns further apart than twice their spread.
@@ -58,7 +58,9 @@ def misfiled_rows(txns: DataFrame) -> DataFrame:
         )).alias("c"),
     ).select("doc_id", "index", "c.side", F.round(F.col("c.px") * 1000).cast("bigint").alias("x"))
     cells = cells.filter(F.col("x").isNotNull())
-    med = exact_median(cells, ["doc_id", "side"], "x")
+    # heavy documents are heavy on either side: the count is taken per document and side of the base
+    wide = None if base is None else base.select("doc_id", F.explode(F.array(F.lit("debit"), F.lit("credit"))).alias("side"))
+    med = exact_median(cells, ["doc_id", "side"], "x", base=wide)
     n = cells.groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n"))
     both = med.join(n, ["doc_id", "side"]).groupBy("doc_id").agg(
         F.max(F.when(F.col("side") == "debit", F.col("median"))).alias("debit_m"),
@@ -71,7 +73,7 @@ def misfiled_rows(txns: DataFrame) -> DataFrame:
     # twice the deviation is an integer: medians are whole or half units
     j = j.withColumn("dev2", F.round(F.abs(F.col("x") - own) * 2).cast("bigint")).withColumn(
         "nearer_other", F.abs(F.col("x") - other) < F.abs(F.col("x") - own))
-    spread = exact_median(j, ["doc_id"], "dev2", "spread2").join(both, "doc_id")
+    spread = exact_median(j, ["doc_id"], "dev2", "spread2", base).join(both, "doc_id")
     apart = spread.filter(
         F.abs(F.col("credit_m") - F.col("debit_m")) > F.greatest(F.col("spread2"), F.lit(0.001))).select("doc_id")
     return j.filter("nearer_other").join(apart, "doc_id", "left_semi").select("doc_id", "index").distinct()
@@ -86,12 +88,12 @@ def swap_rows(breaks: DataFrame, tol: str = MONEY_TOLERANCE) -> DataFrame:
     return breaks.filter(~F.col("has_box") & some & close(swapped, F.col("printed"), tol)).select("doc_id", "index")
 
 
-def f1(txns: DataFrame, scal: DataFrame, tol: str = MONEY_TOLERANCE) -> DataFrame:
+def f1(txns: DataFrame, scal: DataFrame, tol: str = MONEY_TOLERANCE, base: DataFrame | None = None) -> DataFrame:
     """Running balance. Breaks after unread rows, in misfiled rows or explained by a swap are pending."""
-    rows = C.linear_balance(chain_rows(txns, scal), ["doc_id"], base=txns, tol=tol)
+    rows = C.linear_balance(chain_rows(txns, scal), ["doc_id"], base=base if base is not None else txns, tol=tol)
     breaks = rows.filter("broken")
     sure = breaks.filter(F.col("unread") == 0)
-    doubt = misfiled_rows(txns).withColumn("why", F.lit("misfiled")).unionByName(
+    doubt = misfiled_rows(txns, base).withColumn("why", F.lit("misfiled")).unionByName(
         swap_rows(sure, tol).withColumn("why", F.lit("swap")))
     doubt = doubt.groupBy("doc_id", "index").agg(F.min("why").alias("why"))
     tagged = breaks.join(doubt, ["doc_id", "index"], "left")
@@ -184,9 +186,9 @@ def f4(totals: DataFrame, scal: DataFrame, tol: str = MONEY_TOLERANCE) -> DataFr
                   F.when(failed, F.col("k.printed")))
 
 
-def f5(txns: DataFrame) -> DataFrame:
+def f5(txns: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Trusted posting dates do not go back."""
-    m = C.monotonic_outcome(txns, ["doc_id"], "index", "posted_on", base=txns)
+    m = C.monotonic_outcome(txns, ["doc_id"], "index", "posted_on", base=base if base is not None else txns)
     df = txns.select("doc_id").distinct().join(m, "doc_id", "left")
     return result(df, "F5", status_of(F.col("evaluated"), F.col("breaks") == 0), F.lit(""),
                   F.when(F.col("evaluated"), F.col("first_break")))
@@ -214,13 +216,13 @@ def slab_tax(income: DataFrame, slabs: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "year", "taxable", "stated_tax").agg(tax.alias("tax"))
 
 
-def evaluate_financial(claims: DataFrame) -> DataFrame:
-    """All financial rules over a claims table."""
+def evaluate_financial(claims: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """All financial rules over a claims table; ``base`` lists the document of every transaction row."""
     bank = of_type(claims, "BANK_STATEMENT")
     txns, scal = transactions(bank), money_scalars(bank, BANK_SCALARS)
     totals = statement_totals(txns)
-    out = f1(txns, scal)
-    for part in (f2(totals, scal), f3(totals, scal), f4(totals, scal), f5(txns), f6(claims), f7(claims)):
+    out = f1(txns, scal, base=base)
+    for part in (f2(totals, scal), f3(totals, scal), f4(totals, scal), f5(txns, base), f6(claims), f7(claims)):
         out = out.unionByName(part)
     return out
 
@@ -232,14 +234,14 @@ def severity(spark) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, domain string, severity double")
 
 
-def claim_scale(txns: DataFrame, scal: DataFrame) -> DataFrame:
+def claim_scale(txns: DataFrame, scal: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Median absolute non-zero trusted balance of a statement, in half paise, exact."""
     cols = ["doc_id", "v"]
     heads = scal.select("doc_id", F.explode(F.array("opening_balance", "closing_balance")).alias("v"))
     vals = heads.select(*cols).unionByName(txns.select("doc_id", F.col("running_balance").alias("v")))
     vals = vals.filter(F.col("v").isNotNull() & (F.col("v") != 0))
     vals = vals.select("doc_id", (F.abs("v") * 100).cast("bigint").alias("p"))
-    return exact_median(vals, ["doc_id"], "p", "scale_p")
+    return exact_median(vals, ["doc_id"], "p", "scale_p", base)
 
 
 def consistency_signal(results: DataFrame, scale: DataFrame | None = None, uncaptured: DataFrame | None = None):

@@ -1,11 +1,12 @@
 """Ordered scans over groups of any size.
 
 A window over ``key`` puts a whole key in one task, which breaks when one key holds a third of the table. The
-functions here cut the few heavy keys into order-preserving chunks, run the window per (key, chunk), and add what
-the earlier chunks carry forward. Light keys stay on the plain window path.
+functions here first count rows per key on a cheap base table. Without a heavy key (the usual case) the plan is the
+plain window. With heavy keys, those are cut into order-preserving chunks, the window runs per (key, chunk), and what
+the earlier chunks carry forward is added.
 
-* ``with_chunks`` finds heavy keys (at most ``MAX_HOT`` of them, so the broadcast is bounded) and adds ``_chunk``,
-  null for light keys.
+* ``with_chunks`` adds ``_chunk``, null for light keys. At most ``MAX_HOT`` heavy keys are listed, so the list and its
+  broadcast are bounded; a key beyond that list holds less than one part in ``MAX_HOT`` of the table.
 * ``running`` adds inclusive running sums and "last value before this row" columns.
 * ``exact_median`` is a per-key exact median that never holds a heavy key in one task.
 
@@ -14,50 +15,71 @@ Which keys count as heavy changes only the physical path, never the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from docassay.session import durable
+
 HOT_ROWS = 2_000_000  # a key above this is cut into chunks
-MAX_HOT = 1_000  # bound on the broadcast of heavy keys
+MAX_HOT = 1_000  # bound on listed heavy keys
 MAX_CHUNKS = 512  # bound on chunks of one key; carry rows <= MAX_HOT * MAX_CHUNKS
 
 _THRESHOLD = {"rows": HOT_ROWS}
+_SEEN: dict[tuple, list[Row]] = {}
 
 
 def set_hot_rows(rows: int | None) -> None:
     """Override the threshold (tests force the chunked path on small tables)."""
     _THRESHOLD["rows"] = rows or HOT_ROWS
+    _SEEN.clear()
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """The heaviest keys above the threshold, with their order range. At most ``MAX_HOT`` rows."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if order is not None:
-        aggs += [F.min(order).alias("_lo"), F.max(order).alias("_hi")]
-    return (
-        df.groupBy(*keys)
-        .agg(*aggs)
-        .filter(F.col("_n") > _THRESHOLD["rows"])
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT)
-    )
+def hot_keys(base: DataFrame, keys: list[str]) -> list[Row]:
+    """The heaviest keys above the threshold, at most ``MAX_HOT``; one partial aggregation over the key columns."""
+    slim = base.select(*keys)
+    memo = (slim.semanticHash(), tuple(keys), _THRESHOLD["rows"], id(slim.sparkSession))
+    if memo not in _SEEN:
+        g = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _THRESHOLD["rows"])
+        _SEEN[memo] = g.orderBy(F.desc("_n"), *keys).limit(MAX_HOT).collect()
+    return _SEEN[memo]
+
 
+def _listed(df: DataFrame, keys: list[str], rows: list[Row]) -> DataFrame:
+    schema = df.select(*keys).schema
+    return F.broadcast(df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], schema))
 
-def split_hot(df: DataFrame, keys: list[str], base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(light rows, heavy rows); ``base`` may be a cheaper table with the same key counts."""
-    hot = F.broadcast(hot_keys(base if base is not None else df, keys).select(*keys))
+
+def split_hot(df: DataFrame, keys: list[str], base: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(light rows, heavy rows or None); ``base`` may be a cheaper table with at least the same rows per key."""
+    rows = hot_keys(base if base is not None else df, keys)
+    if not rows:
+        return df, None
+    hot = _listed(df, keys, rows)
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
 def with_chunks(df: DataFrame, keys: list[str], order: Column, base: DataFrame | None = None) -> DataFrame:
-    """Add ``_chunk``: null for light keys, else an order-preserving chunk number of the BIGINT ``order``."""
+    """Add ``_chunk``: null for light keys, else an order-preserving chunk number of the BIGINT ``order``.
+
+    With heavy keys the chunked rows are checkpointed: the carry reads them again.
+    """
+    rows = hot_keys(base if base is not None else df, keys)
+    if not rows:
+        return df.withColumn("_chunk", F.lit(None).cast("int"))
     order = order.cast("bigint")
-    hot = hot_keys(base if base is not None else df, keys, order)
+    df = durable(df.withColumn("_at", order))
+    span = df.join(_listed(df, keys, rows), keys, "left_semi").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     chunks = F.least(F.ceil(F.col("_n") / F.lit(_THRESHOLD["rows"])).cast("bigint"), F.lit(MAX_CHUNKS).cast("bigint"))
-    hot = hot.select(*keys, "_lo", "_hi", chunks.alias("_k"))
+    span = span.select(*keys, "_lo", "_hi", chunks.alias("_k"))
     width = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-    chunk = F.floor((order - F.col("_lo")).cast("double") / width * F.col("_k")).cast("int")
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", chunk).drop("_lo", "_hi", "_k")
+    chunk = F.floor((F.col("_at") - F.col("_lo")).cast("double") / width * F.col("_k")).cast("int")
+    out = df.join(F.broadcast(span), keys, "left").withColumn("_chunk", chunk).drop("_lo", "_hi", "_k", "_at")
+    return durable(out)
+
+
+def _has_chunks(df: DataFrame, keys: list[str], base: DataFrame | None) -> bool:
+    return bool(hot_keys(base if base is not None else df, keys))
 
 
 def running(
@@ -66,19 +88,30 @@ def running(
     order: list[str],
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums, and the last non-null value strictly before each row.
 
-    ``df`` carries ``_chunk`` from :func:`with_chunks`. ``lasts`` may not refer to columns of the same call's
+    ``df`` carries ``_chunk`` from :func:`with_chunks`, called with the same ``base``. ``lasts`` may not refer to columns of the same call's
     ``sums``; call twice for that (the second call reuses the partitioning and the order of the first).
     """
     sums, lasts = sums or {}, lasts or {}
-    part = [*keys, "_chunk"]
+    heavy = _has_chunks(df, keys, base)
+    part = [*keys, "_chunk"] if heavy else keys
     w = Window.partitionBy(*part).orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     for name, expr in {**sums, **lasts}.items():
         df = df.withColumn(f"_v_{name}", expr)
 
+    out = df
+    for n in sums:
+        out = out.withColumn(n, F.sum(f"_v_{n}").over(upto))
+    for n in lasts:
+        out = out.withColumn(n, F.last(f"_v_{n}", ignorenulls=True).over(before))
+    out = out.drop(*[f"_v_{n}" for n in {**sums, **lasts}])
+    if not heavy:
+        return out
+
     aggs = [F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums]
     aggs += [
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_c_{n}") for n in lasts
@@ -91,19 +124,13 @@ def running(
         *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_k_{n}") for n in lasts],
     )
 
-    out = df
-    for n in sums:
-        out = out.withColumn(n, F.sum(f"_v_{n}").over(upto))
-    for n in lasts:
-        out = out.withColumn(n, F.last(f"_v_{n}", ignorenulls=True).over(before))
-    out = out.drop(*[f"_v_{n}" for n in {**sums, **lasts}])
     out = out.join(F.broadcast(carry), part, "left")
     for n in sums:
         both = F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_k_{n}"), F.lit(0))
         out = out.withColumn(n, F.when(F.col(n).isNull() & F.col(f"_k_{n}").isNull(), None).otherwise(both))
     for n in lasts:
         out = out.withColumn(n, F.coalesce(F.col(n), F.col(f"_k_{n}")))
-    return out.drop(*[f"_k_{n}" for n in {**sums, **lasts}])
+    return durable(out.drop(*[f"_k_{n}" for n in {**sums, **lasts}]))
 
 
 def ordered(
@@ -116,22 +143,26 @@ def ordered(
     base: DataFrame | None = None,
 ) -> DataFrame:
     """``with_chunks`` + ``running`` in one call, dropping the chunk."""
-    return running(with_chunks(df, keys, rank, base), keys, order, sums, lasts).drop("_chunk")
+    base = df if base is None else base
+    return running(with_chunks(df, keys, rank, base), keys, order, sums, lasts, base).drop("_chunk")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
+                 base: DataFrame | None = None) -> DataFrame:
     """Exact median of the integer column ``value`` per key (mean of the two middle ones), as DOUBLE.
 
     Light keys use ``percentile``. Heavy keys go through a histogram and a chunked running count.
     """
     df = df.select(*keys, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
-    light, heavy = split_hot(df, keys)
+    light, heavy = split_hot(df, keys, base)
     a = light.groupBy(*keys).agg(F.percentile("_x", 0.5).alias(out))
+    if heavy is None:
+        return a
 
-    hist = heavy.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    hist = durable(heavy.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
     total = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     cum = ordered(hist, keys, ["_x"], F.col("_x"), sums={"_cum": F.col("_c")})
-    cum = cum.join(F.broadcast(total), keys)
+    cum = cum.join(F.broadcast(total), keys)  # one row per listed heavy key
     low, high = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
     start = F.col("_cum") - F.col("_c")
 

@@ -20,28 +20,29 @@ from docassay.rulebook import MATERIAL_FRACTION, MISPARSE_RATIO
 TOL_P = 100  # one rupee in paise
 
 
-def statement_scale(stmts: DataFrame, txns: DataFrame) -> DataFrame:
+def statement_scale(stmts: DataFrame, txns: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Median absolute non-zero balance in paise (double, exact)."""
     heads = stmts.select("doc_id", F.explode(F.array("opening_p", "closing_p")).alias("v"))
     vals = heads.unionByName(txns.select("doc_id", F.col("balance_p").alias("v")))
     vals = vals.filter(F.col("v").isNotNull() & (F.col("v") != 0)).select("doc_id", F.abs("v").alias("v"))
-    return exact_median(vals, ["doc_id"], "v", "scale_p")
+    return exact_median(vals, ["doc_id"], "v", "scale_p", base)
 
 
 def off_scale(v: Column, scale: Column) -> Column:
     return (F.coalesce(scale, F.lit(0.0)) > 0) & (F.abs(v) < scale * float(MISPARSE_RATIO))
 
 
-def chain(txns: DataFrame, heads: DataFrame) -> DataFrame:
+def chain(txns: DataFrame, heads: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Printed rows with ``expected_p``, ``off`` and ``broken``; ``heads`` has opening_p and scale_p per document."""
     move = F.coalesce("credit_p", F.lit(0)) - F.coalesce("debit_p", F.lit(0))
     t = txns.join(heads.select("doc_id", "opening_p", "scale_p"), "doc_id")
     t = t.withColumn("off", F.col("balance_p").isNotNull() & off_scale(F.col("balance_p"), F.col("scale_p")))
-    t = with_chunks(t, ["doc_id"], F.col("idx"), base=txns)
-    t = running(t, ["doc_id"], ["idx"], sums={"cum": move})
+    base = txns if base is None else base
+    t = with_chunks(t, ["doc_id"], F.col("idx"), base)
+    t = running(t, ["doc_id"], ["idx"], sums={"cum": move}, base=base)
     t = t.filter(F.col("balance_p").isNotNull()).withColumn("r", F.col("balance_p") - F.col("cum"))
     strong = F.when(~F.col("off"), F.struct(F.col("r").alias("r"), F.col("idx").alias("i")))
-    t = running(t, ["doc_id"], ["idx"], lasts={"anchor": strong, "prev": F.struct("r", "off")})
+    t = running(t, ["doc_id"], ["idx"], lasts={"anchor": strong, "prev": F.struct("r", "off")}, base=base)
     t = t.withColumn("seg", F.coalesce("anchor.i", F.lit(-1)))
     t = t.withColumn("seg_r", F.coalesce("anchor.r", F.col("opening_p")))
 
@@ -65,10 +66,11 @@ def chain(txns: DataFrame, heads: DataFrame) -> DataFrame:
     return t.select("doc_id", "idx", "balance_p", "expected_p", "off", "broken")
 
 
-def violations(stmts: DataFrame, txns: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
+def violations(stmts: DataFrame, txns: DataFrame, boundaries: DataFrame | None = None,
+               base: DataFrame | None = None) -> DataFrame:
     """Per statement: counts of the five invariants, unreadable figures, largest residual and the verdict inputs."""
-    heads = stmts.join(statement_scale(stmts, txns), "doc_id", "left")
-    ch = chain(txns, heads)
+    heads = stmts.join(statement_scale(stmts, txns, base), "doc_id", "left")
+    ch = chain(txns, heads, base)
     per = ch.groupBy("doc_id").agg(
         F.count_if(~(F.col("broken") & F.col("off"))).alias("chain_checks"),
         F.count_if(F.col("broken") & ~F.col("off")).alias("chain_breaks"),

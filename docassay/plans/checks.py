@@ -59,7 +59,7 @@ def ledger_rows(spark, d):
     SELECT doc_id, idx::INT AS index, expected / 100.0 AS expected, bal / 100.0 AS printed, unread::BIGINT AS unread
     FROM chain WHERE broken""", ("chain",))
 def ck04(spark, d):
-    rows = C.linear_balance(ledger_rows(spark, d), ["doc_id"]).filter("broken")
+    rows = C.linear_balance(ledger_rows(spark, d), ["doc_id"], A.ledger_keys(spark, d)).filter("broken")
     return rows.select("doc_id", "index", F.col("expected").cast("double").alias("expected"),
                        F.col("printed").cast("double").alias("printed"), "unread")
 
@@ -116,7 +116,7 @@ def ck10(spark, d):
     SELECT doc_id, count(*) >= 2 AS evaluated, coalesce(count_if(day < prev), 0)::BIGINT AS breaks, coalesce(min(idx) FILTER (day < prev), -1)::INT AS first_break
     FROM (SELECT *, lag(day) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM trusted WHERE day IS NOT NULL) GROUP BY 1""", ("trusted",))
 def ck11(spark, d):
-    m = C.monotonic_outcome(ledger_rows(spark, d), ["doc_id"], "index", "posted")
+    m = C.monotonic_outcome(ledger_rows(spark, d), ["doc_id"], "index", "posted", base=A.ledger_keys(spark, d))
     return m.withColumn("first_break", F.coalesce("first_break", F.lit(-1)))
 
 

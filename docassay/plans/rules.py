@@ -106,7 +106,7 @@ cte("financial", "SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT *
 
 @query("ru_f1_running_balance", "SELECT * FROM f1", ("f1",))
 def ru_f1(spark, d):
-    return tidy(R.f1(*bank(spark, d)))
+    return tidy(R.f1(*bank(spark, d), base=A.ledger_keys(spark, d)))
 
 
 @query("ru_f2_closing_balance", "SELECT * FROM f2", ("f2",))
@@ -129,7 +129,7 @@ def ru_f4(spark, d):
 
 @query("ru_f5_date_order", "SELECT * FROM f5", ("f5",))
 def ru_f5(spark, d):
-    return tidy(R.f5(bank(spark, d)[0]))
+    return tidy(R.f5(bank(spark, d)[0], A.ledger_keys(spark, d)))
 
 
 @query("ru_f6_salary_identity", "SELECT * FROM f67 WHERE rule_id = 'F6'", ("f67",))
@@ -160,7 +160,7 @@ def ru_f7b(spark, d):
 
 @query("ru_01_pack_routing", "SELECT rule_id, status, count(*) AS documents FROM financial GROUP BY 1, 2", ("financial",))
 def ru_01(spark, d):
-    return R.evaluate_financial(A.claims(spark, d)).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("documents"))
+    return R.evaluate_financial(A.claims(spark, d), A.ledger_keys(spark, d)).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("documents"))
 
 
 NAMES = """CASE WHEN k % 9 = 4 THEN false WHEN k % 9 = 5 THEN true ELSE true END"""
@@ -327,7 +327,7 @@ cte("statement", """
       v4::INT AS net_bad, v5::BIGINT AS zip_breaks, unreadable::BIGINT AS unreadable, violations::BIGINT AS violations, residual::BIGINT AS residual_p FROM statement""", ("statement",))
 def ru_02(spark, d):
     s, t, b = statements(spark, d)
-    return S.violations(s, t, b).select(
+    return S.violations(s, t, b, A.ledger_keys(spark, d)).select(
         "doc_id", "enough", "chain_breaks", "first_break", "closing_bad", "debits_bad", "credits_bad", "net_bad",
         "zip_breaks", "unreadable", "violations", "residual_p")
 
@@ -335,7 +335,7 @@ def ru_02(spark, d):
 @query("ru_03_statement_scale", "SELECT doc_id, scale AS scale_p FROM statement", ("statement",))
 def ru_03(spark, d):
     s, t, _ = statements(spark, d)
-    return S.statement_scale(s, t)
+    return S.statement_scale(s, t, A.ledger_keys(spark, d))
 
 
 _GRADE = """SELECT doc_id, CASE WHEN NOT enough THEN 'NOT_EVALUATED' WHEN violations > 0 AND uncaptured > 0 THEN 'NOT_EVALUATED'
@@ -346,18 +346,18 @@ _GRADE = """SELECT doc_id, CASE WHEN NOT enough THEN 'NOT_EVALUATED' WHEN violat
 
 @query("ru_04_completeness_abstain", f"SELECT status, count(*) AS documents FROM ({_GRADE}) GROUP BY 1", ("statement",))
 def ru_04(spark, d):
-    return S.grade(S.violations(*statements(spark, d))).groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
+    return S.grade(S.violations(*statements(spark, d), A.ledger_keys(spark, d))).groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("ru_05_failure_grading", f"SELECT doc_id, status, CASE WHEN status = 'VALID' THEN suspicion ELSE -1.0 END AS suspicion FROM ({_GRADE})", ("statement",))
 def ru_05(spark, d):
-    return S.grade(S.violations(*statements(spark, d))).select(
+    return S.grade(S.violations(*statements(spark, d), A.ledger_keys(spark, d))).select(
         "doc_id", "status", F.coalesce("suspicion", F.lit(-1.0)).alias("suspicion"))
 
 
 @query("ru_06_misfiled_columns", "SELECT doc_id, idx::INT AS index FROM misfiled", ("misfiled",))
 def ru_06(spark, d):
-    return R.misfiled_rows(bank(spark, d)[0])
+    return R.misfiled_rows(bank(spark, d)[0], A.ledger_keys(spark, d))
 
 
 @query("ru_07_swap_explanation", """
@@ -367,7 +367,7 @@ def ru_07(spark, d):
     from docassay.operators.checks import linear_balance
 
     t, s = bank(spark, d)
-    return R.swap_rows(linear_balance(R.chain_rows(t, s), ["doc_id"]).filter("broken"))
+    return R.swap_rows(linear_balance(R.chain_rows(t, s), ["doc_id"], A.ledger_keys(spark, d)).filter("broken"))
 
 
 cte("claim_signal", """
@@ -389,8 +389,8 @@ cte("claim_signal", """
 def claim_signal(spark, d, claims=None):
     claims = A.claims(spark, d) if claims is None else claims
     c = claims.filter(F.col("doc_type") == "BANK_STATEMENT")
-    scale = R.claim_scale(K.transactions(c), K.money_scalars(c, R.BANK_SCALARS))
-    return R.consistency_signal(R.evaluate_financial(claims), scale)
+    scale = R.claim_scale(K.transactions(c), K.money_scalars(c, R.BANK_SCALARS), A.ledger_keys(spark, d))
+    return R.consistency_signal(R.evaluate_financial(claims, A.ledger_keys(spark, d)), scale)
 
 
 @query("ru_08_consistency_signal", "SELECT * FROM claim_signal", ("claim_signal",))
@@ -422,7 +422,7 @@ def ru_09(spark, d):
                      F.lit(200000).cast("bigint").alias("total_debits_p"), F.lit(600000).cast("bigint").alias("total_credits_p"),
                      zero.alias("interest_p"), zero.alias("charges_p"), F.lit(0).alias("uncaptured"))
     heads, edited = S.edit_grid(stmts, txns)
-    v = S.violations(heads.drop("field"), edited)
+    v = S.violations(heads.drop("field"), edited, base=stmts)
     parts = F.split("doc_id", r"\|")
     return v.select(F.regexp_replace(F.get(parts, F.lit(2)), "_p$", "").alias("field"),
                     F.get(parts, F.lit(3)).cast("bigint").alias("delta"), "violations").groupBy("field", "delta").agg(
@@ -451,7 +451,7 @@ def findings(spark, d, claims=None):
     t = K.transactions(c)
     p = K.scalars(c, ["period_start", "period_end"]).select(
         "doc_id", F.to_date("period_start").alias("period_start"), F.to_date("period_end").alias("period_end"))
-    return N.round_salary(t), N.salary_jump(t), N.short_window(p)
+    return N.round_salary(t), N.salary_jump(t, A.ledger_keys(spark, d)), N.short_window(p)
 
 
 for _i, _name in enumerate(("round_salary", "salary_jump", "short_window")):
@@ -469,7 +469,7 @@ def an_04(spark, d):
     from docassay.sources.tables import rupees
 
     h = A.ledger(spark, d).select("doc_id", F.col("posted").alias("day"), rupees("credit_p").alias("credit"))
-    return N.dormant_revival(h)
+    return N.dormant_revival(h, base=A.ledger_keys(spark, d))
 
 
 @query("an_05_rapid_resale", """

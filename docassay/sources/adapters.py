@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.functions.identity import verhoeff_digit
-from docassay.operators.scan import running, with_chunks
+from docassay.operators.scan import ordered
 from docassay.sources.tables import letter, paise, rupees, table
 
 
@@ -32,8 +32,8 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         "debit_p", F.when(F.col("status") != "F", F.col("amount_p"))
     )
     move = F.coalesce("credit_p", F.lit(0)) - F.coalesce("debit_p", F.lit(0))
-    o = with_chunks(o, ["acct"], F.unix_date("day"))
-    o = running(o, ["acct"], ["day", "okey"], sums={"moved": move, "pos": F.lit(1).cast("bigint")}).drop("_chunk")
+    o = ordered(o, ["acct"], ["day", "okey"], F.unix_date("day"),
+                sums={"moved": move, "pos": F.lit(1).cast("bigint")})
     o = o.join(cust, "acct")
     k, a = F.col("okey"), F.col("acct")
     idx = (F.col("pos") - 1).cast("int")
@@ -73,6 +73,12 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ledger_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys of the ledger rows, straight from the scan: what the heavy-key count reads."""
+    return table(spark, folder, "orders").select(
+        F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("doc_id"))
+
+
 def summary(led: DataFrame) -> DataFrame:
     """Stated totals and closing balance of each statement, some of them edited."""
     a = F.col("acct")
