@@ -9,6 +9,7 @@ from docassay.functions.money import close
 from docassay.operators import checks as C
 from docassay.operators.claims import money_scalars, transactions
 from docassay.operators.scan import exact_median
+from docassay.session import durable
 from docassay.rulebook import MATERIAL_FRACTION, MONEY_TOLERANCE, RULES, SEVERITY_BANDS, TRUST_GATE
 
 RESULT = ["doc_id", "rule_id", "status", "reason_code", "at_index", "expected", "printed"]
@@ -216,10 +217,16 @@ def slab_tax(income: DataFrame, slabs: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "year", "taxable", "stated_tax").agg(tax.alias("tax"))
 
 
-def evaluate_financial(claims: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """All financial rules over a claims table; ``base`` lists the document of every transaction row."""
+def statement_view(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transactions and scalars of the bank statements, written once: the rules read them many times."""
     bank = of_type(claims, "BANK_STATEMENT")
-    txns, scal = transactions(bank), money_scalars(bank, BANK_SCALARS)
+    return durable(transactions(bank)), durable(money_scalars(bank, BANK_SCALARS))
+
+
+def evaluate_financial(claims: DataFrame, base: DataFrame | None = None,
+                       view: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All financial rules over a claims table; ``base`` lists the document of every transaction row."""
+    txns, scal = view or statement_view(claims)
     totals = statement_totals(txns)
     out = f1(txns, scal, base=base)
     for part in (f2(totals, scal), f3(totals, scal), f4(totals, scal), f5(txns, base), f6(claims), f7(claims)):

@@ -29,6 +29,10 @@ def bank(spark, d):
     return K.transactions(c), K.money_scalars(c, R.BANK_SCALARS)
 
 
+def bank_view(spark, d):
+    return R.statement_view(A.claims(spark, d))
+
+
 # -- shared pieces of the SQL side -----------------------------------------------------------------------------------
 cte("misfiled", """
     WITH cells AS (SELECT doc_id, idx, CASE WHEN dr IS NOT NULL THEN 'd' ELSE 'c' END AS side, x FROM trusted
@@ -106,7 +110,7 @@ cte("financial", "SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT *
 
 @query("ru_f1_running_balance", "SELECT * FROM f1", ("f1",))
 def ru_f1(spark, d):
-    return tidy(R.f1(*bank(spark, d), base=A.ledger_keys(spark, d)))
+    return tidy(R.f1(*bank_view(spark, d), base=A.ledger_keys(spark, d)))
 
 
 @query("ru_f2_closing_balance", "SELECT * FROM f2", ("f2",))
@@ -357,7 +361,7 @@ def ru_05(spark, d):
 
 @query("ru_06_misfiled_columns", "SELECT doc_id, idx::INT AS index FROM misfiled", ("misfiled",))
 def ru_06(spark, d):
-    return R.misfiled_rows(bank(spark, d)[0], A.ledger_keys(spark, d))
+    return R.misfiled_rows(bank_view(spark, d)[0], A.ledger_keys(spark, d))
 
 
 @query("ru_07_swap_explanation", """
@@ -388,9 +392,9 @@ cte("claim_signal", """
 
 def claim_signal(spark, d, claims=None):
     claims = A.claims(spark, d) if claims is None else claims
-    c = claims.filter(F.col("doc_type") == "BANK_STATEMENT")
-    scale = R.claim_scale(K.transactions(c), K.money_scalars(c, R.BANK_SCALARS), A.ledger_keys(spark, d))
-    return R.consistency_signal(R.evaluate_financial(claims, A.ledger_keys(spark, d)), scale)
+    keys = A.ledger_keys(spark, d)
+    view = R.statement_view(claims)
+    return R.consistency_signal(R.evaluate_financial(claims, keys, view), R.claim_scale(*view, keys))
 
 
 @query("ru_08_consistency_signal", "SELECT * FROM claim_signal", ("claim_signal",))
