@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.functions.money import close
-from docassay.functions.names import names_agree, text_ratio
+from docassay.functions.names import names_agree, normal_text, text_ratio
 from docassay.functions.binding import let
 from docassay.functions.numwords import words_to_decimal
 from docassay.operators.scan import ordered, running, with_chunks
@@ -238,11 +238,12 @@ def consistency_across(values: DataFrame, keys: list[str], value: Column) -> Dat
 def all_equal_fuzzy(values: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """All names of a key agree pairwise; the first failing pair otherwise.
 
-    Copies collapse first (same text, earliest place). Every name is then compared with the first one: a failure
+    Copies collapse first (same normalised text, earliest place). Every name is then compared with the first one: a failure
     there is the first failing pair, and one distinct name needs no pair. Only groups that pass this and still hold
     three or more distinct names go on to the pairwise join.
     """
-    d = values.groupBy(*keys, value).agg(F.min(order).alias("_o"), F.count(F.lit(1)).alias("_n"))
+    d = values.groupBy(*keys, normal_text(F.col(value)).alias("_norm")).agg(
+        F.min(order).alias("_o"), F.count(F.lit(1)).alias("_n"), F.min_by(value, order).alias(value))
     first = d.groupBy(*keys).agg(
         F.min_by(value, "_o").alias("_p"), F.min("_o").alias("_po"), F.sum("_n").alias("_total"),
         F.count(F.lit(1)).alias("_d"),

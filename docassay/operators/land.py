@@ -93,3 +93,26 @@ def reused_property(deeds: DataFrame) -> DataFrame:
     pairs = deeds.select("parcel", "applicant").distinct()
     g = pairs.groupBy("parcel").agg(F.count(F.lit(1)).alias("applicants"))
     return g.filter(F.col("applicants") > 1)
+
+
+def title_chain(bundles: DataFrame, chain: DataFrame) -> DataFrame:
+    """Seller is the recorded owner and the chain of the parcel holds. ``chain``: bundle_id, status."""
+    a = seller_is_owner(bundles).select("bundle_id", F.col("status").alias("owner_status"))
+    j = a.join(chain.select("bundle_id", F.col("status").alias("chain_status")), "bundle_id", "left")
+    bad = (F.col("owner_status") == "FAIL") | (F.col("chain_status") == "FAIL")
+    return j.select("bundle_id", F.when(F.coalesce(bad, F.lit(False)), "FAIL").otherwise("PASS").alias("status"))
+
+
+def collateral_mismatch(loans: DataFrame, deeds: DataFrame) -> DataFrame:
+    """Loans whose property is in no deed of their bundle: a rejection."""
+    norm = F.upper(F.regexp_replace("property_id", r"\s", ""))
+    return loans.withColumn("_p", norm).join(deeds.select("bundle_id", norm.alias("_p")), ["bundle_id", "_p"], "left_anti").drop("_p")
+
+
+def consideration_agreement(b: DataFrame, tol_p: int = 100) -> DataFrame:
+    """Agreement, deed and payment state one amount."""
+    amounts = [F.col(c) for c in ("agreement_p", "consideration_p", "paid_p")]
+    some = amounts[0].isNotNull() & amounts[1].isNotNull() & amounts[2].isNotNull()
+    gap = F.greatest(*amounts) - F.least(*amounts)
+    return b.select("bundle_id", some.alias("evaluated"), F.coalesce(some & (gap <= tol_p), F.lit(False)).alias("passed"),
+                    F.coalesce(gap, F.lit(-1)).alias("gap_p"))

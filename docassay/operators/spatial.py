@@ -13,21 +13,24 @@ def text_layer_cross_read(claims: DataFrame, words: DataFrame, tol: str = "1.0",
     """Confirm a claimed number by the words printed in its box, else anywhere on its page.
 
     ``claims``: claim_id, doc_id, page, claimed DECIMAL, x, y, w, h (null box = ungrounded). ``words``: doc_id, page, x,
-    y, w, h, text. A box meets its words by page and vertical strip, so a crowded page splits over its strips; the page
+    y, w, h, text. A box meets its words by page and grid cell, so a crowded page splits over its cells; the page
     question is an equi join on the rounded amount, never page x claims.
     """
     strip = 0.05
     n = words.select("doc_id", "page", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"),
                      F.explode(numbers_in(F.col("text"))).alias("n"))
     box = claims.filter(F.col("x").isNotNull())
-    first = F.floor((F.col("y") - pad) / strip).cast("int")
-    last = F.floor((F.col("y") + F.col("h") + pad) / strip).cast("int")
-    b = box.withColumn("strip", F.explode(F.sequence(first, last)))
+
+    def span(at: str, size: str):
+        return F.sequence(F.floor((F.col(at) - pad) / strip).cast("int"), F.floor((F.col(at) + F.col(size) + pad) / strip).cast("int"))
+
+    b = box.withColumn("gx", F.explode(span("x", "w"))).withColumn("gy", F.explode(span("y", "h")))
+    cells = n.withColumn("gx", F.floor(F.col("cx") / strip).cast("int")).withColumn("gy", F.floor(F.col("cy") / strip).cast("int"))
     inside = (
         F.col("cx").between(F.col("x") - pad, F.col("x") + F.col("w") + pad)
         & F.col("cy").between(F.col("y") - pad, F.col("y") + F.col("h") + pad))
     near = F.abs(F.col("n") - F.col("claimed")) <= F.lit(tol).cast("decimal(10,4)")
-    cell = b.join(n.withColumn("strip", F.floor(F.col("cy") / strip).cast("int")), ["doc_id", "page", "strip"]).filter(inside)
+    cell = b.join(cells, ["doc_id", "page", "gx", "gy"]).filter(inside)
     cell = cell.groupBy("claim_id").agg(F.count(F.lit(1)).alias("in_cell"), F.max(near).alias("cell_ok"))
     # page presence: an amount within tolerance lies in one of three neighbouring whole-unit buckets
     pages = n.select("doc_id", "page", "n").distinct()

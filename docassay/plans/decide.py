@@ -373,3 +373,32 @@ def de06(spark, d):
     docs = V.verdicts(A.signals(spark, d), ["doc_id"]).withColumn("bundle_id", F.col("doc_id") % 1000)
     ident = CO.identity_signal(identity_comparisons(spark, d), ["bundle_id"])
     return V.bundle_verdicts(docs, ident, income_signal(spark, d), "bundle_id")
+
+
+@query("co11_party_identity", """
+    SELECT bundle_id, CASE WHEN bundle_id % 23 = 7 THEN 'disagree' ELSE 'agree' END AS name_status, CASE WHEN bundle_id % 31 = 2 THEN 'disagree' ELSE 'agree' END AS pan_status FROM entities WHERE ord = 3""", ("entities",))
+def co11(spark, d):
+    """Party anchors of a deed (as read from the fourth document) against the KYC record (the first one)."""
+    e = A.entities(spark, d)
+    k = F.col("bundle_id")
+    pan = F.when((k % 31 == 2) & (F.col("ord") == 3), F.lit("QQQPQ0000Q")).otherwise(F.col("pan"))
+    pair = e.filter(F.col("ord").isin(0, 3)).withColumn("pan", pan)
+    c = CO.identity_comparison(CO.identity_values(pair, ["bundle_id"]), ["bundle_id"])
+    return c.groupBy("bundle_id").agg(F.max(F.when(F.col("field") == "name", F.col("status"))).alias("name_status"),
+                                      F.max(F.when(F.col("field") == "pan", F.col("status"))).alias("pan_status"))
+
+
+@query("co13_declared_values", f"""
+    SELECT cust AS bundle_id, abs(d - net_p) * 100 <= 12 * greatest(d, net_p) AS income_agrees, CASE WHEN a = b THEN true ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.85 END AS employer_agrees
+    FROM (SELECT cust, net_p, CASE WHEN cust % 7 = 1 THEN net_p * 2 ELSE net_p END AS d, {_ORG.format('employer')} AS a, {_ORG.format('employer_proof')} AS b FROM income)""", ("income",))
+def co13(spark, d):
+    """Application values against the observed ones: income within 12 %, employer by edit ratio."""
+    from docassay.functions.names import org_ratio
+
+    i = A.income(spark, d)
+    app = i.select("cust", F.when(F.col("cust") % 7 == 1, F.col("net_p") * 2).otherwise(F.col("net_p")).alias("declared_p"),
+                   F.col("employer_proof").alias("declared_employer"))
+    j = app.join(i.select("cust", "net_p", "employer"), "cust", "left")
+    near = F.abs(F.col("declared_p") - F.col("net_p")) * 100 <= F.greatest("declared_p", "net_p") * 12
+    return j.select(F.col("cust").alias("bundle_id"), near.alias("income_agrees"),
+                    (org_ratio(F.col("declared_employer"), F.col("employer")) >= 0.85).alias("employer_agrees"))

