@@ -73,7 +73,7 @@ def identity_fields(text: Column) -> list[Column]:
 
 
 def letters_in(text: Column, block: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{block}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{block}]+", ""))
 
 
 def script_counts(text: Column) -> list[Column]:
