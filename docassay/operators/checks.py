@@ -91,15 +91,16 @@ def formula_instalment(principal: Column, annual_rate: Column, months: Column, o
     return outcome(F.abs(expected - observed.cast("double")) <= tol, expected, observed)
 
 
-def unit_factors(spark, dimension: str) -> DataFrame:
+def unit_factor(unit: Column, dimension: str) -> Column:
+    """Factor to the canonical unit; null where the unit is unknown or depends on the region."""
     factors = AREA_FACTORS if dimension == "area" else TIME_FACTORS
-    return spark.createDataFrame(list(factors.items()), "unit string, factor double")
+    known = [x for u, f in factors.items() if f is not None for x in (F.lit(u), F.lit(f))]
+    return F.try_element_at(F.create_map(*known), unit)
 
 
 def to_canonical(df: DataFrame, value: str, unit: str, out: str, dimension: str) -> DataFrame:
-    """Value in the canonical unit; null where the unit is unknown or depends on the region."""
-    dim = F.broadcast(unit_factors(df.sparkSession, dimension).withColumnRenamed("unit", unit))  # fixed vocabulary
-    return df.join(dim, unit, "left").withColumn(out, F.col(value) * F.col("factor")).drop("factor")
+    """Value in the canonical unit."""
+    return df.withColumn(out, F.col(value) * unit_factor(F.col(unit), dimension))
 
 
 def quantity_equal(df: DataFrame, left: tuple[str, str], right: tuple[str, str], dimension: str, tol: float):

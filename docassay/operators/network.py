@@ -89,7 +89,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """Smallest member as component of every node, by alternating large-star and small-star rounds.
 
     Neighbour minima are partial aggregations, so a hub with a third of the edges is no hot task; the join that
-    redirects its edges is left to skew splitting. Every round is a reliable checkpoint, and the loop ends when the
+    redirects its edges is left to skew splitting. Every round is a written table, and the loop ends when the
     edge set is a fixed point. ``nodes``: case_id; ``edges``: a, b.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:

@@ -61,7 +61,7 @@ def split_hot(df: DataFrame, keys: list[str], base: DataFrame | None = None) ->
 def with_chunks(df: DataFrame, keys: list[str], order: Column, base: DataFrame | None = None) -> DataFrame:
     """Add ``_chunk``: null for light keys, else an order-preserving chunk number of the BIGINT ``order``.
 
-    With heavy keys the chunked rows are checkpointed: the carry reads them again.
+    With heavy keys the chunked rows are written once: the carry reads them again.
     """
     rows = hot_keys(base if base is not None else df, keys)
     if not rows:

@@ -146,9 +146,10 @@ def clm16(spark, d):
 def statement_signals(spark, d):
     """Consistency and anomaly signals of the bank statements in the common signal shape."""
     claims = A.claims(spark, d)
-    fin = RQ.claim_signal(spark, d, claims).filter(F.col("doc_id").startswith("S")).select(
+    view = RQ.R.statement_view(claims)
+    fin = RQ.claim_signal(spark, d, claims, view).filter(F.col("doc_id").startswith("S")).select(
         "doc_id", "name", "status", "suspicion", F.lit(0.40).alias("weight"), F.lit(False).alias("review_only"))
-    a, b, c = RQ.findings(spark, d, claims)
+    a, b, c = RQ.findings(spark, d, claims, view[0])
     from docassay.operators.anomaly import anomaly_signal
 
     an = anomaly_signal(a.unionByName(b).unionByName(c)).select(

@@ -43,6 +43,7 @@ cte(
       CASE WHEN okey % 101 = 7 THEN day - 40 ELSE day END AS posted,
       credit_p, debit_p,
       CASE WHEN okey % 13 = 6 THEN NULL WHEN okey % 23 = 9 THEN 100
+           WHEN okey % 62 = 4 THEN opening_p + moved - 2 * (coalesce(credit_p, 0) - coalesce(debit_p, 0))
            WHEN acct % 7 = 3 AND pos = 3 THEN opening_p + moved + 100000 ELSE opening_p + moved END AS balance_p,
       opening_p,
       CASE priority WHEN '1-URGENT' THEN 'NEFT SALARY CREDIT' WHEN '2-HIGH' THEN 'IMPS/SAL/ACME'

@@ -390,10 +390,10 @@ cte("claim_signal", """
     FROM g LEFT JOIN sc ON g.doc_id = sc.doc_id""", "trusted", "totals", "financial")
 
 
-def claim_signal(spark, d, claims=None):
+def claim_signal(spark, d, claims=None, view=None):
     claims = A.claims(spark, d) if claims is None else claims
     keys = A.ledger_keys(spark, d)
-    view = R.statement_view(claims)
+    view = view or R.statement_view(claims)
     return R.consistency_signal(R.evaluate_financial(claims, keys, view), R.claim_scale(*view, keys))
 
 
@@ -449,10 +449,10 @@ cte("anomalies", """
     """, "salary", "ledger", "summary")
 
 
-def findings(spark, d, claims=None):
+def findings(spark, d, claims=None, txns=None):
     claims = A.claims(spark, d) if claims is None else claims
     c = claims.filter(F.col("doc_type") == "BANK_STATEMENT")
-    t = K.transactions(c)
+    t = K.transactions(c) if txns is None else txns
     p = K.scalars(c, ["period_start", "period_end"]).select(
         "doc_id", F.to_date("period_start").alias("period_start"), F.to_date("period_end").alias("period_end"))
     return N.round_salary(t), N.salary_jump(t, A.ledger_keys(spark, d)), N.short_window(p)

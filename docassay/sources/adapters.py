@@ -31,16 +31,18 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     o = o.withColumn("credit_p", F.when(F.col("status") == "F", F.col("amount_p"))).withColumn(
         "debit_p", F.when(F.col("status") != "F", F.col("amount_p"))
     )
-    move = F.coalesce("credit_p", F.lit(0)) - F.coalesce("debit_p", F.lit(0))
+    moved = F.coalesce("credit_p", F.lit(0)) - F.coalesce("debit_p", F.lit(0))
     o = ordered(o, ["acct"], ["day", "okey"], F.unix_date("day"),
-                sums={"moved": move, "pos": F.lit(1).cast("bigint")})
+                sums={"moved": moved, "pos": F.lit(1).cast("bigint")})
     o = o.join(cust, "acct")
     k, a = F.col("okey"), F.col("acct")
     idx = (F.col("pos") - 1).cast("int")
     true_balance = F.col("opening_p") + F.col("moved")
+    move = F.coalesce("credit_p", F.lit(0)) - F.coalesce("debit_p", F.lit(0))
     printed = (
         F.when(k % 13 == 6, None)
         .when(k % 23 == 9, F.lit(100).cast("bigint"))
+        .when(k % 62 == 4, true_balance - move * 2)
         .when((a % 7 == 3) & (idx == 2), true_balance + 100000)
         .otherwise(true_balance)
     )
