@@ -13,12 +13,19 @@ from docassay.rulebook import MAX_FILE_BYTES, SUMMARY_KINDS
 MAGIC = {"application/pdf": "255044462D", "image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF"}
 
 
-def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as path, length and first bytes. Oversized files are listed without being read."""
+def binary_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Files as path, length and first bytes. Oversized files are listed without being read.
+
+    Spark's file source plans no split for an empty file, so an empty file never shows up in its rows. Where the
+    upload list (path, length) is known, pass it as ``manifest``: its entries stay whole, empty ones included.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.filter(F.col("length") <= MAX_FILE_BYTES).select("path", "length", F.substring("content", 1, 16).alias("head"))
     large = files.filter(F.col("length") > MAX_FILE_BYTES).select("path", "length", F.lit(None).cast("binary").alias("head"))
-    return small.unionByName(large)
+    seen = small.unionByName(large)
+    if manifest is None:
+        return seen
+    return manifest.select("path", "length").join(seen.select("path", "head"), "path", "left")
 
 
 def guard(files: DataFrame, mime: Column | None = None) -> DataFrame:
