@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docassay.operators.match import hash_matches
 from docassay.rulebook import HAMMING_THRESHOLD, RING_DEFAULT_WEIGHT, RING_KIND_WEIGHT, RING_MIN_SIZE, RING_MIN_WEIGHT
-from docassay.session import durable
+from docassay.session import durable, release
 
 
 def registry_entries(reports: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def token_edges(apps: DataFrame) -> DataFrame:
         F.col("case_id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest member as component of every node, by alternating large-star and small-star rounds.
 
     Neighbour minima are partial aggregations, so a hub with a third of the edges is no hot task; the join that
@@ -114,15 +114,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         r = x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         return r["n"], r["h"]
 
-    last = mark(e)
-    for _ in range(max_rounds):
-        e = durable(star(star(e, True), False))
+    last, settled = mark(e), False
+    while not settled:
+        before, e = e, durable(star(star(e, True), False))
+        release(before)
         now = mark(e)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        last, settled = now, now == last
     return nodes.join(e.select(F.col("a").alias("case_id"), F.col("b").alias("component")), "case_id", "left").withColumn(
         "component", F.coalesce("component", "case_id"))
 

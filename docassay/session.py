@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "docassay", master: str | None = None, shuffle: int | None = None) -> SparkSession:
-    """A session with the settings the operators assume (UTC, AQE with skew handling, Arrow)."""
+def build_session(app: str = "docassay", master: str | None = None, shuffle: int | None = None,
+                  shared: str | None = None) -> SparkSession:
+    """A session with the settings the operators assume (UTC, AQE with skew handling, Arrow); ``shared``: the folder
+    for checkpoints and intermediate tables."""
     b = SparkSession.builder.appName(app)
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     if master:
         b = b.master(master)
     b = (
@@ -28,24 +34,47 @@ def build_session(app: str = "docassay", master: str | None = None, shuffle: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for checkpoints and intermediate tables, seen by the driver and all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a
-    temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of this application below the
+    warehouse takes its place and is deleted when the driver ends; a warehouse on a machine's own disk is refused on
+    a cluster, since other executors would not see it.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
+        return configured.rstrip("/")
+    current = sc.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
-    made = tempfile.mkdtemp(prefix="docassay-")
-    spark.sparkContext.setCheckpointDir(made)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not sc.master.startswith("local") and re.match(r"(file:|/|\w+$)", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = f"{warehouse}/run-{sc.applicationId}"
+    if made not in _OWN:
+        _OWN.add(made)
+        atexit.register(_leave, spark, made)
     return made
 
 
+#: Folders of this process that end with it.
+_OWN: set[str] = set()
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    # the session may have ended before the interpreter; a local folder can still be removed
+    if path.startswith("file:") or path.startswith("/"):
+        shutil.rmtree(re.sub(r"^file:/+", "/", path), ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data through Spark's own file system layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared folder, so that a lost executor loses no work.
 
@@ -54,5 +83,14 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*cuts: DataFrame | None) -> None:
+    """Delete the tables behind ``durable`` frames that nothing reads any more (the turns of a loop)."""
+    for df in cuts:
+        if df is not None:
+            remove(df.sparkSession, df.written_to)

@@ -12,8 +12,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "local[4]", 4)
+def spark(tmp_path_factory):
+    s = build_session("tests", "local[4]", 4, str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
