@@ -2,23 +2,83 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docassay.llm import decontaminate, lines, mixing
+from docassay.llm.chunks import repeated_passages
 from docassay.llm.minhash import near_duplicates
+from docassay.llm.orc_tokens import index, write_tokens
+from docassay.llm.secrets import secrets
+from docassay.llm.toxicity import toxicity
+from docassay.session import shared_dir
 from docassay.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add(fn) if fn else add
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a classifier learnt from the labels outside the held-out fold."""
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(sql=mixing.SQL)
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document, by systematic sampling to the sources' targets."""
+    m = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"), with_text=False)
+    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query(sql=lines.SQL)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line that repeats an earlier one, or is within one edit of it."""
+    return lines.dropped_lines(table(spark, folder, "documents"))
 
 
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity 0.85."""
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+@query
+def op6_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token places and checksums of all documents, read back from the ORC files they were written to."""
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return index(spark, path)
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of all documents that one with a smaller id holds as well."""
+    return repeated_passages(table(spark, folder, "documents"))
+
+
+@query(sql=decontaminate.SQL)
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of ten words that occur in the documents."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of all documents: the base formats, and what inferred grammars add."""
+    return secrets(table(spark, folder, "documents"))
