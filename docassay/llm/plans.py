@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docassay.llm import decontaminate, lines, mixing
 from docassay.llm.chunks import repeated_passages
 from docassay.llm.minhash import near_duplicates
 from docassay.llm.orc_tokens import index, write_tokens
+from docassay.llm.pii import surrogates
 from docassay.llm.secrets import secrets
 from docassay.llm.toxicity import toxicity
+from docassay.llm.vectors import near_vectors
 from docassay.session import shared_dir
 from docassay.sources.tables import table
 
@@ -56,6 +59,12 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
 
+@query
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op6_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token places and checksums of all documents, read back from the ORC files they were written to."""
@@ -82,3 +91,15 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of all documents: the base formats, and what inferred grammars add."""
     return secrets(table(spark, folder, "documents"))
+
+
+@query
+def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates in place of personal data, and what was replaced."""
+    return surrogates(table(spark, folder, "documents").select("doc_id", "text"), "k1")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, folder)
