@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def hmac_sha256(key: str, message: Column) -> Column:
     """HMAC-SHA256 of a text under a fixed key, as hex; two nested digests."""
-    k = key.encode().ljust(64, b"\0")
-    if len(key.encode()) > 64:
-        raise ValueError("keys of at most 64 bytes")
+    raw = key.encode()
+    k = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in k).hex(), bytes(b ^ 0x5C for b in k).hex()
     first = F.sha2(F.concat(F.unhex(F.lit(inner)), F.encode(message, "UTF-8")), 256)
     return F.sha2(F.concat(F.unhex(F.lit(outer)), F.unhex(first)), 256)

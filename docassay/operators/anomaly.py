@@ -37,7 +37,7 @@ def salary_jump(txns: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Largest ratio between salary sums of consecutive months that have one, in either direction."""
     m = txns.filter(_salary() & F.col("posted_any").isNotNull()).groupBy(
         "doc_id", F.trunc("posted_any", "MM").alias("month")).agg(F.sum("credit").alias("total"))
-    m = ordered(m, ["doc_id"], ["month"], F.unix_date("month"), lasts={"before": F.col("total")},
+    m = ordered(m, ["doc_id"], ["month"], lasts={"before": F.col("total")},
                 base=base)
     a, b = F.col("before").cast("double"), F.col("total").cast("double")
     ratio = F.when(a > 0, F.when(b >= a, F.try_divide(b, a)).otherwise(F.try_divide(a, b)))
@@ -61,7 +61,7 @@ def dormant_revival(history: DataFrame, gap_days: int = 180, factor: int = 2,
     """
     h = history.filter(F.col("day").isNotNull()).groupBy("doc_id", "day").agg(
         F.coalesce(F.sum("credit"), F.lit(0).cast("decimal(20,2)")).alias("credit"))
-    h = ordered(h, ["doc_id"], ["day"], F.unix_date("day"), lasts={"before": F.col("day")},
+    h = ordered(h, ["doc_id"], ["day"], lasts={"before": F.col("day")},
                 sums={"cum": F.col("credit")}, base=base)
     gap = F.datediff("day", "before")
     g = h.groupBy("doc_id").agg(

@@ -124,11 +124,11 @@ def linear_balance(rows: DataFrame, keys: list[str], base: DataFrame | None = No
     """
     move = F.coalesce("credit", F.lit(0).cast("decimal(20,2)")) - F.coalesce("debit", F.lit(0).cast("decimal(20,2)"))
     base = rows if base is None else base
-    rows = with_chunks(rows, keys, F.col("index"), base)
-    rows = running(rows, keys, ["index"], sums={"_cum": move, "_pos": F.lit(1).cast("bigint")}, base=base)
+    rows = with_chunks(rows, keys, ["index"], base)
+    rows = running(rows, keys, ["index"], sums={"_cum": move, "_pos": F.lit(1).cast("bigint")})
     printed = F.when(F.col("printed").isNotNull(), F.struct(F.col("printed").alias("b"), F.col("_cum").alias("c"),
                                                             F.col("_pos").alias("p")))
-    rows = running(rows, keys, ["index"], lasts={"_last": printed}, base=base)
+    rows = running(rows, keys, ["index"], lasts={"_last": printed})
     since = F.col("_cum") - F.coalesce("_last.c", F.lit(0).cast("decimal(20,2)"))
     rows = rows.withColumn("expected", F.coalesce("_last.b", "anchor") + since)
     rows = rows.withColumn("unread", F.col("_pos") - 1 - F.coalesce("_last.p", F.lit(0)))
@@ -159,7 +159,7 @@ def sequence_monotonic(rows: DataFrame, keys: list[str], index: str, value: str,
                        base: DataFrame | None = None) -> DataFrame:
     """Present values with ``previous`` and ``broken``; null values are skipped."""
     present = rows.filter(F.col(value).isNotNull())
-    present = ordered(present, keys, [index], F.col(index), lasts={"previous": F.col(value)}, base=base)
+    present = ordered(present, keys, [index], lasts={"previous": F.col(value)}, base=base)
     bad = F.col(value) <= F.col("previous") if strict else F.col(value) < F.col("previous")
     return present.withColumn("broken", bad)
 

@@ -190,7 +190,7 @@ def merge_pages(items: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
     w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     per_page = rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
     offset = per_page.select("doc_id", "page", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    local = ordered(rows, ["doc_id", "page"], ["seq"], F.col("seq"), sums={"_local": F.lit(1).cast("bigint")})
+    local = ordered(rows, ["doc_id", "page"], ["seq"], sums={"_local": F.lit(1).cast("bigint")})
     numbered = local.join(offset, ["doc_id", "page"])
     numbered = numbered.withColumn("index", (F.col("_local") - 1 + F.col("before")).cast("int")).drop("_local", "before")
     return first, numbered

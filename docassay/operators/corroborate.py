@@ -72,7 +72,7 @@ def amount_pairs(obs: DataFrame, keys: list[str], amount: str, tol: str = INCOME
         F.struct((F.col("a") * keep).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("add"),
                  F.col("m").alias("ask")),
     )).alias("x")).select(*keys, "x.*")
-    s = ordered(marks, keys, ["at", "kind"], F.col("at"), sums={"below": F.col("add")}, base=obs if base is None else base)
+    s = ordered(marks, keys, ["at", "kind"], sums={"below": F.col("add")}, base=obs if base is None else base)
     n = F.sum("add")
     g = s.groupBy(*keys).agg(
         n.alias("sources"), F.coalesce(F.sum(F.col("ask") * F.col("below")), F.lit(0)).alias("disagreeing"),
@@ -93,7 +93,7 @@ def annual_floor(obs: DataFrame, keys: list[str], amount: str, base: DataFrame |
     marks = obs.select(*keys, at.alias("at"), m.cast("int").alias("monthly"))
     marks = marks.groupBy(*keys, "at", "monthly").agg(F.count(F.lit(1)).alias("c"))
     # annual marks below a monthly mark are contradicted by it; at equal marks the monthly one comes first
-    s = ordered(marks.withColumn("tie", -F.col("monthly")), keys, ["at", "tie"], F.col("at"),
+    s = ordered(marks.withColumn("tie", -F.col("monthly")), keys, ["at", "tie"],
                 sums={"annual_below": F.when(F.col("monthly") == 0, F.col("c")).otherwise(0)}, base=obs if base is None else base)
     mo = F.col("monthly") == 1
     g = s.groupBy(*keys).agg(
@@ -176,7 +176,7 @@ def identity_comparison(values: DataFrame, keys: list[str]) -> DataFrame:
         F.col("v0") == F.col("v1"), "agree").when(F.col("spots") <= 1, "near").otherwise("disagree")
     sev = F.create_map(*[x for f, s in FIELD_SEVERITY.items() for x in (F.lit(f), F.lit(s))])
     severity = F.when(status == "agree", 0.0).when(status == "near", REVIEW_CAP).when(
-        is_name, min(FIELD_SEVERITY["name"], REVIEW_CAP)).otherwise(F.try_element_at(sev, F.col("field")))
+        is_name, min(FIELD_SEVERITY["name"], REVIEW_CAP)).otherwise(F.coalesce(F.try_element_at(sev, F.col("field")), F.lit(0.5)))
     return j.select(*k, "documents", status.alias("status"), severity.alias("severity"))
 
 

@@ -174,13 +174,13 @@ def bundle_verdicts(documents: DataFrame, identity: DataFrame, income: DataFrame
         (i_bad | c_bad | err | F.col("closed")).alias("fail_closed"))
 
 
-def evidence_packs(signals: DataFrame, verdict: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+def evidence_packs(signals: DataFrame, verdict: DataFrame, keys: list[str]) -> DataFrame:
     """One nested record per document.
 
-    A document has one signal per analyzer; repeats collapse to the most suspicious. The list of a pack is therefore
-    bounded by ``names``, the analyzer vocabulary.
+    Every signal of a document goes in, those of user-defined detectors included. A detector that reports more than
+    once counts with its most suspicious signal, so a pack has one entry per detector.
     """
-    s = signals.filter(F.col("name").isin(names))
+    s = signals
     pick = F.struct(F.coalesce("suspicion", F.lit(-1.0)), F.col("status"), -F.col("ord"))
     one = s.groupBy(*keys, "name").agg(F.max_by(F.struct("status", "suspicion", "weight"), pick).alias("s"))
     one = one.select(*keys, F.struct("name", "s.status", "s.suspicion", "s.weight").alias("signal"))

@@ -52,7 +52,7 @@ def encumbrance_disclosure(listed: DataFrame, disclosed: DataFrame, universe: Da
 
 def chain_of_title(deeds: DataFrame) -> DataFrame:
     """Along a parcel: dates rise strictly and the seller is the buyer before. Links with their fault."""
-    d = ordered(deeds, ["parcel"], ["executed", "deed_id", "consideration_p"], F.unix_date("executed"),
+    d = ordered(deeds, ["parcel"], ["executed", "deed_id", "consideration_p"],
                 lasts={"prior": F.struct("buyer", "executed")}, base=deeds)
     link = F.col("prior").isNotNull()
     return d.filter(link).select(
@@ -73,7 +73,7 @@ def chain_result(deeds: DataFrame) -> DataFrame:
 
 def rapid_resale(deeds: DataFrame, days: int = 30) -> DataFrame:
     """Shortest gap between two transfers of a parcel; flagged within ``days``."""
-    d = ordered(deeds, ["parcel"], ["executed", "deed_id", "consideration_p"], F.unix_date("executed"),
+    d = ordered(deeds, ["parcel"], ["executed", "deed_id", "consideration_p"],
                 lasts={"before": F.col("executed")}, base=deeds)
     g = d.groupBy("parcel").agg(
         F.count(F.lit(1)).alias("transfers"), F.min(F.datediff("executed", "before")).alias("shortest_gap"))

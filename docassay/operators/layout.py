@@ -27,10 +27,10 @@ def cluster_rows(words: DataFrame, keys: list[str], out: str = "row_id", base: D
     med = exact_median(words, keys, "height", base=base).select(*keys, F.greatest(F.col("median") * 0.8, F.lit(6.0)).alias("band"))
     w = words.withColumn("y2", F.col("top") * 2 + F.col("height"))
     ys = w.select(*keys, "y2").distinct()
-    ys = ordered(ys, keys, ["y2"], F.col("y2"), lasts={"before": F.col("y2")}, base=base if base is not None else words)
+    ys = ordered(ys, keys, ["y2"], lasts={"before": F.col("y2")}, base=base if base is not None else words)
     ys = ys.join(med, keys)
     new = F.coalesce(((F.col("y2") - F.col("before")) / 2.0 > F.col("band")).cast("int"), F.lit(0)).cast("bigint")
-    ys = ordered(ys, keys, ["y2"], F.col("y2"), sums={out: new}, base=base if base is not None else words)
+    ys = ordered(ys, keys, ["y2"], sums={out: new}, base=base if base is not None else words)
     return w.join(ys.select(*keys, "y2", out), [*keys, "y2"]).drop("y2")
 
 

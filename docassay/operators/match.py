@@ -41,10 +41,9 @@ def _pairs(q: DataFrame, s: DataFrame, parts: int) -> DataFrame:
     sb = bands(s, "s_hex", parts)
     crowded = hot_keys(sb, ["band", "bits"])
     qb = bands(q, "q_hex", parts)
-    if not crowded:
+    if crowded is None:
         return qb.join(sb, ["band", "bits"]).drop("band", "bits")
-    hot = F.broadcast(q.sparkSession.createDataFrame([(r["band"], r["bits"]) for r in crowded],
-                                                     sb.select("band", "bits").schema))
+    hot = crowded.select("band", "bits")
     light = qb.join(hot, ["band", "bits"], "left_anti").join(sb, ["band", "bits"]).drop("band", "bits")
     cuts = _cuts(parts)
 
@@ -131,9 +130,10 @@ def template_scores(vectors: DataFrame, library: DataFrame, doc: str = "doc_id")
                 for t, y in blocks:
                     if len(y) < 2:
                         continue
-                    d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if len(y) <= 64 else np.sqrt(
-                        np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
-                    two = np.partition(d, 1, axis=1)[:, :2]
+                    two = np.full((len(x), 2), np.inf)
+                    for at in range(0, len(y), 64):  # differences in one form whatever the size, a few templates rows at a time
+                        d = np.sqrt(((x[:, None, :] - y[None, at:at + 64, :]) ** 2).sum(2))
+                        two = np.sort(np.concatenate((two, d), axis=1), axis=1)[:, :2]
                     good = two[:, 0] < RATIO_TEST * np.maximum(two[:, 1], 1e-6)
                     g = b.loc[good, [doc]].groupby(doc).size()
                     yield pd.DataFrame({doc: g.index, "template": t, "good": g.to_numpy(), "n_template": len(y)})
@@ -147,13 +147,19 @@ def template_scores(vectors: DataFrame, library: DataFrame, doc: str = "doc_id")
 
 
 def template_verdict(scores: DataFrame, vectors: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Best template of a document; recognised with twenty good matches at ratio 0.40, otherwise 0.55."""
+    """Best template of a document; recognised with twenty good matches at ratio 0.40, otherwise 0.55.
+
+    A document with fewer than two descriptors, or any document while no template has scores, is NOT_EVALUATED.
+    """
     best = scores.groupBy(doc).agg(F.max_by(F.struct("template", "good", "ratio"), F.struct("ratio", "template")).alias("b"))
-    j = vectors.select(doc).distinct().join(best, doc, "left")
+    library = scores.select(F.lit(True).alias("has_library")).limit(1)
+    j = vectors.groupBy(doc).agg(F.count(F.lit(1)).alias("descriptors")).join(best, doc, "left").join(F.broadcast(library), F.lit(True), "left")
+    ready = F.col("has_library").isNotNull() & (F.col("descriptors") >= 2)
     ok = F.coalesce((F.col("b.good") >= TEMPLATE_MIN_GOOD) & (F.col("b.ratio") >= TEMPLATE_MIN_RATIO), F.lit(False))
     return j.select(doc, F.coalesce("b.template", F.lit("")).alias("template"), F.coalesce("b.good", F.lit(0)).alias("good"),
                     F.round(F.coalesce("b.ratio", F.lit(0.0)), 6).alias("ratio"), ok.alias("recognised"),
-                    F.when(ok, 0.0).otherwise(TEMPLATE_NO_MATCH).alias("suspicion"))
+                    F.when(ready, "VALID").otherwise("NOT_EVALUATED").alias("status"),
+                    F.when(~ready, -1.0).when(ok, 0.0).otherwise(TEMPLATE_NO_MATCH).alias("suspicion"))
 
 
 def duplicate_regions(pairs: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -172,7 +178,7 @@ def duplicate_regions(pairs: DataFrame, doc: str = "doc_id") -> DataFrame:
         return F.max(a) - F.min(a)
 
     bins = p.groupBy(doc, "bx", "by").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ox").alias("ox"), F.avg("oy").alias("oy"),
+        F.count(F.lit(1)).alias("n"), F.percentile("ox", 0.5).alias("ox"), F.percentile("oy", 0.5).alias("oy"),
         F.hypot(span("x0"), span("y0")).alias("src"), F.hypot(span("x1"), span("y1")).alias("dst"),
         F.max(F.hypot("width", "height")).alias("diag"))
     g = bins.groupBy(doc).agg(

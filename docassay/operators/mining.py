@@ -33,7 +33,7 @@ def midpoints(cases: DataFrame, features: list[str]) -> DataFrame:
     """
     long = cases.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x"))
     d = long.select("x.*").filter(F.col("v").isNotNull()).distinct()
-    d = ordered(d, ["feature"], ["v"], F.floor("v"), sums={"pos": F.lit(1).cast("bigint")}, lasts={"before": F.col("v")})
+    d = ordered(d, ["feature"], ["v"], sums={"pos": F.lit(1).cast("bigint")}, lasts={"before": F.col("v")})
     m = d.filter(F.col("before").isNotNull()).select("feature", (F.col("pos") - 2).alias("i"), ((F.col("before") + F.col("v")) / 2).alias("mid"))
     n = m.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     picks = n.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(THIN_TO - 1)))).select(

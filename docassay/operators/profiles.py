@@ -50,7 +50,7 @@ def marker_counts(files: DataFrame) -> DataFrame:
 def font_consistency(spans: DataFrame) -> DataFrame:
     """Base faces that occur under more than one subset tag. ``spans``: doc_id, font. Distinct first, then counted."""
     tag = F.regexp_extract("font", r"^([A-Z]{6})\+(.+)$", 1)
-    base = F.when(tag != "", F.substring("font", 8, 10000)).otherwise(F.col("font"))
+    base = F.when(tag != "", F.regexp_extract("font", r"^([A-Z]{6})\+(.+)$", 2)).otherwise(F.col("font"))
     n = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"))
     tags = spans.select("doc_id", base.alias("base"), tag.alias("tag")).distinct().groupBy("doc_id", "base").agg(
         F.count(F.lit(1)).alias("tags"))

@@ -2,84 +2,81 @@
 
 A window over ``key`` puts a whole key in one task, which breaks when one key holds a third of the table. The
 functions here first count rows per key on a cheap base table. Without a heavy key (the usual case) the plan is the
-plain window. With heavy keys, those are cut into order-preserving chunks, the window runs per (key, chunk), and what
-the earlier chunks carry forward is added.
+plain window. Rows of heavy keys are dealt out by ranges of (key, order, hash of the row) with sampled cut points, so
+even rows of one order value are split; the window runs per (key, range), and what earlier ranges carry is added.
 
-* ``with_chunks`` adds ``_chunk``, null for light keys. At most ``MAX_HOT`` heavy keys are listed, so the list and its
-  broadcast are bounded; a key beyond that list holds less than one part in ``MAX_HOT`` of the table.
+* ``with_chunks`` adds ``_chunk`` to tables with heavy keys (null for rows of light ones), and leaves others alone.
 * ``running`` adds inclusive running sums and "last value before this row" columns.
 * ``exact_median`` is a per-key exact median that never holds a heavy key in one task.
 
-Which keys count as heavy changes only the physical path, never the result.
+Which keys count as heavy changes the physical path, never the result or its types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.session import durable
 
-HOT_ROWS = 2_000_000  # a key above this is cut into chunks
-MAX_HOT = 1_000  # bound on listed heavy keys
-MAX_CHUNKS = 512  # bound on chunks of one key; carry rows <= MAX_HOT * MAX_CHUNKS
+HOT_ROWS = 2_000_000  # a key above this is split
+SMALL = 10_000  # so many heavy keys are broadcast; more are joined by shuffle
 
 _THRESHOLD = {"rows": HOT_ROWS}
-_SEEN: dict[tuple, list[Row]] = {}
 
 
 def set_hot_rows(rows: int | None) -> None:
-    """Override the threshold (tests force the chunked path on small tables)."""
+    """Override the threshold (tests force the split path on small tables)."""
     _THRESHOLD["rows"] = rows or HOT_ROWS
-    _SEEN.clear()
-
 
-def hot_keys(base: DataFrame, keys: list[str]) -> list[Row]:
-    """The heaviest keys above the threshold, at most ``MAX_HOT``; one partial aggregation over the key columns."""
-    slim = base.select(*keys)
-    memo = (slim.semanticHash(), tuple(keys), _THRESHOLD["rows"], id(slim.sparkSession))
-    if memo not in _SEEN:
-        g = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _THRESHOLD["rows"])
-        _SEEN[memo] = g.orderBy(F.desc("_n"), *keys).limit(MAX_HOT).collect()
-    return _SEEN[memo]
 
+def hot_keys(base: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys above the threshold with their row counts ``_n``, or None; one partial aggregation over the key columns.
 
-def _listed(df: DataFrame, keys: list[str], rows: list[Row]) -> DataFrame:
-    schema = df.select(*keys).schema
-    return F.broadcast(df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], schema))
+    The answer is kept with the ``base`` object, so several scans over one base count once.
+    """
+    kept = base.__dict__.setdefault("_heavy", {})
+    at = (tuple(keys), _THRESHOLD["rows"])
+    if at not in kept:
+        g = base.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _THRESHOLD["rows"])
+        rows = g.limit(SMALL + 1).collect()
+        if not rows:
+            kept[at] = None
+        elif len(rows) <= SMALL:
+            kept[at] = F.broadcast(base.sparkSession.createDataFrame(rows, g.schema))
+        else:
+            kept[at] = durable(g)
+    return kept[at]
 
 
 def split_hot(df: DataFrame, keys: list[str], base: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(light rows, heavy rows or None); ``base`` may be a cheaper table with at least the same rows per key."""
-    rows = hot_keys(base if base is not None else df, keys)
-    if not rows:
+    """(light rows, heavy rows or None); ``base`` may be a cheaper table with at least the same rows per key. A null is a
+    key like any other."""
+    hot = hot_keys(base if base is not None else df, keys)
+    if hot is None:
         return df, None
-    hot = _listed(df, keys, rows)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    hot = hot.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)])
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: Column, base: DataFrame | None = None) -> DataFrame:
-    """Add ``_chunk``: null for light keys, else an order-preserving chunk number of the BIGINT ``order``.
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], base: DataFrame | None = None) -> DataFrame:
+    """``df``, and where it has heavy keys a column ``_chunk`` that numbers ranges of their rows in ``order``.
 
-    With heavy keys the chunked rows are written once: the carry reads them again.
+    The ranges are written once: the carry reads them again, and sampled cut points must not be drawn twice.
     """
-    rows = hot_keys(base if base is not None else df, keys)
-    if not rows:
-        return df.withColumn("_chunk", F.lit(None).cast("int"))
-    order = order.cast("bigint")
-    df = durable(df.withColumn("_at", order))
-    span = df.join(_listed(df, keys, rows), keys, "left_semi").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    chunks = F.least(F.ceil(F.col("_n") / F.lit(_THRESHOLD["rows"])).cast("bigint"), F.lit(MAX_CHUNKS).cast("bigint"))
-    span = span.select(*keys, "_lo", "_hi", chunks.alias("_k"))
-    width = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-    chunk = F.floor((F.col("_at") - F.col("_lo")).cast("double") / width * F.col("_k")).cast("int")
-    out = df.join(F.broadcast(span), keys, "left").withColumn("_chunk", chunk).drop("_lo", "_hi", "_k", "_at")
-    return durable(out)
-
-
-def _has_chunks(df: DataFrame, keys: list[str], base: DataFrame | None) -> bool:
-    return bool(hot_keys(base if base is not None else df, keys))
+    base = base if base is not None else df
+    light, heavy = split_hot(df, keys, base)
+    if heavy is None:
+        return df
+    rows = hot_keys(base, keys).agg(F.sum("_n")).first()[0]
+    most = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(2, min(-(-rows // _THRESHOLD["rows"]), most))
+    tie = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])
+    heavy = durable(heavy.repartitionByRange(ranges, *keys, *order, tie).withColumn("_chunk", F.spark_partition_id()))
+    return light.withColumn("_chunk", F.lit(None).cast("int")).unionByName(heavy)
 
 
 def running(
@@ -88,16 +85,15 @@ def running(
     order: list[str],
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
-    base: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums, and the last non-null value strictly before each row.
 
-    ``df`` carries ``_chunk`` from :func:`with_chunks`, called with the same ``base``. ``lasts`` may not refer to columns of the same call's
+    ``df`` comes from :func:`with_chunks` with the same ``order``. ``lasts`` may not refer to columns of the same call's
     ``sums``; call twice for that (the second call reuses the partitioning and the order of the first).
     """
     sums, lasts = sums or {}, lasts or {}
-    heavy = _has_chunks(df, keys, base)
-    part = [*keys, "_chunk"] if heavy else keys
+    split = "_chunk" in df.columns
+    part = [*keys, "_chunk"] if split else keys
     w = Window.partitionBy(*part).orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     for name, expr in {**sums, **lasts}.items():
@@ -109,7 +105,7 @@ def running(
     for n in lasts:
         out = out.withColumn(n, F.last(f"_v_{n}", ignorenulls=True).over(before))
     out = out.drop(*[f"_v_{n}" for n in {**sums, **lasts}])
-    if not heavy:
+    if not split:
         return out
 
     aggs = [F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums]
@@ -119,15 +115,16 @@ def running(
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = df.filter(F.col("_chunk").isNotNull()).groupBy(*part).agg(*aggs)
     carry = carry.select(
-        *part,
-        *[F.sum(f"_c_{n}").over(earlier).alias(f"_k_{n}") for n in sums],
+        *[F.col(k).alias(f"_carry_{i}") for i, k in enumerate(part)],
+        *[F.sum(f"_c_{n}").over(earlier).cast(out.schema[n].dataType).alias(f"_k_{n}") for n in sums],
         *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_k_{n}") for n in lasts],
     )
-
-    out = out.join(F.broadcast(carry), part, "left")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_carry_{i}")) for i, k in enumerate(part)])
+    out = out.join(carry, same, "left").drop(*[f"_carry_{i}" for i in range(len(part))])
     for n in sums:
-        both = F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_k_{n}"), F.lit(0))
-        out = out.withColumn(n, F.when(F.col(n).isNull() & F.col(f"_k_{n}").isNull(), None).otherwise(both))
+        kind = out.schema[n].dataType
+        both = (F.col(n) + F.col(f"_k_{n}")).cast(kind)
+        out = out.withColumn(n, F.coalesce(both, F.col(n), F.col(f"_k_{n}")))
     for n in lasts:
         out = out.withColumn(n, F.coalesce(F.col(n), F.col(f"_k_{n}")))
     return durable(out.drop(*[f"_k_{n}" for n in {**sums, **lasts}]))
@@ -137,14 +134,12 @@ def ordered(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    rank: Column,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """``with_chunks`` + ``running`` in one call, dropping the chunk."""
-    base = df if base is None else base
-    return running(with_chunks(df, keys, rank, base), keys, order, sums, lasts, base).drop("_chunk")
+    return running(with_chunks(df, keys, order, base), keys, order, sums, lasts).drop("_chunk")
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
@@ -161,8 +156,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
 
     hist = durable(heavy.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
     total = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    cum = ordered(hist, keys, ["_x"], F.col("_x"), sums={"_cum": F.col("_c")})
-    cum = cum.join(F.broadcast(total), keys)  # one row per listed heavy key
+    cum = ordered(hist, keys, ["_x"], sums={"_cum": F.col("_c")})
+    total = total.select("_n", *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)])
+    cum = cum.join(total, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)]))
     low, high = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
     start = F.col("_cum") - F.col("_c")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,22 +13,55 @@ from docassay.operators.scan import ordered
 from docassay.rulebook import LIVE_VAR, LOOP_AUTOCORR, MIN_FRAMES, STATIC_VAR
 
 
-def positions(df: DataFrame, key: str, order: list[str], rank) -> DataFrame:
-    """Dense position of each row of a series, from 0; heavy series are numbered in chunks."""
-    return ordered(df, [key], order, rank, sums={"_p": F.lit(1).cast("bigint")}).withColumn("pos", F.col("_p") - 1).drop("_p")
+#: Positions of a block; a pair of blocks is one product of bounded size.
+BLOCK = 256
+
+
+def positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Dense position of each row of a series, from 0; heavy series are numbered in parts."""
+    return ordered(df, [key], order, sums={"_p": F.lit(1).cast("bigint")}).withColumn("pos", F.col("_p") - 1).drop("_p")
+
+
+def lag_products(c: DataFrame, key: str) -> DataFrame:
+    """``key, lag, xy``: the sum of x at a position times x ``lag`` positions on, for every lag from 2 to the last.
+
+    ``c``: key, pos, x. Series are cut into blocks of ``BLOCK`` positions, gathered as arrays. Each block meets those at or
+    behind it, and one correlation of two arrays gives all lags between them, summed by (key, lag). So all lags are taken,
+    whatever the length, and no task holds more than a pair of blocks at once.
+    """
+    blocks = c.groupBy(key, F.expr(f"pos div {BLOCK}").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct((F.col("pos") % BLOCK).cast("int").alias("at"), "x"))).alias("s"))
+    blocks = blocks.select(key, "block", F.transform("s", lambda p: p["at"]).alias("at"), F.transform("s", lambda p: p["x"]).alias("x"))
+    later = blocks.select(key, F.col("block").alias("block2"), F.col("at").alias("at2"), F.col("x").alias("x2"))
+    pairs = blocks.join(later, key).filter("block <= block2").select(key, ((F.col("block2") - F.col("block")) * BLOCK).alias("gap"), "at", "x", "at2", "x2")
+
+    def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, gap, at, x, at2, x2 in b.itertuples(index=False):
+                p, q = np.zeros(BLOCK), np.zeros(BLOCK)
+                p[at], q[at2] = x, x2
+                n, m = int(at[-1]) + 1, int(at2[-1]) + 1
+                products = np.correlate(q[:m], p[:n], "full")
+                lags = gap + np.arange(-(n - 1), m)
+                # a lag of a pair stands for some product only if both positions exist
+                keep = lags >= 2
+                out.append(pd.DataFrame({key: k, "lag": lags[keep], "xy": products[keep]}))
+            if out:
+                yield pd.concat(out).groupby([key, "lag"], as_index=False).sum()
+
+    schema = f"{key} {c.schema[key].dataType.simpleString()}, lag bigint, xy double"
+    return pairs.mapInPandas(correlate, schema).groupBy(key, "lag").agg(F.sum("xy").alias("xy"))
 
 
-def loop_suspicion(series: DataFrame, key: str, max_lag: int = 32) -> DataFrame:
+def loop_suspicion(series: DataFrame, key: str) -> DataFrame:
     """Frozen (variance below 1) or looped (autocorrelation from lag 2 on at or above 0.6); otherwise graded.
 
-    ``series``: key, pos, v. Every row meets the rows at most ``max_lag`` after it, through an equi join on (key,
-    position), so a long series costs lag x rows and spreads over all tasks.
+    ``series``: key, pos, v.
     """
     m = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
     c = series.join(m.select(key, "mean"), key).select(key, "pos", (F.col("v") - F.col("mean")).alias("x"))
-    ahead = c.withColumn("lag", F.explode(F.sequence(F.lit(2), F.lit(max_lag)))).select(
-        key, (F.col("pos") + F.col("lag")).alias("pos"), "lag", F.col("x").alias("y"))
-    lagged = c.join(ahead, [key, "pos"]).groupBy(key, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    lagged = lag_products(c, key)
     power = c.groupBy(key).agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
     peak = lagged.join(power, key).groupBy(key).agg(F.max(F.col("xy") / (F.col("xx") + 1e-12)).alias("peak"))
     j = m.join(peak, key, "left")

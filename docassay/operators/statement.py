@@ -38,11 +38,11 @@ def chain(txns: DataFrame, heads: DataFrame, base: DataFrame | None = None) -> D
     t = txns.join(heads.select("doc_id", "opening_p", "scale_p"), "doc_id")
     t = t.withColumn("off", F.col("balance_p").isNotNull() & off_scale(F.col("balance_p"), F.col("scale_p")))
     base = txns if base is None else base
-    t = with_chunks(t, ["doc_id"], F.col("idx"), base)
-    t = running(t, ["doc_id"], ["idx"], sums={"cum": move}, base=base)
+    t = with_chunks(t, ["doc_id"], ["idx"], base)
+    t = running(t, ["doc_id"], ["idx"], sums={"cum": move})
     t = t.filter(F.col("balance_p").isNotNull()).withColumn("r", F.col("balance_p") - F.col("cum"))
     strong = F.when(~F.col("off"), F.struct(F.col("r").alias("r"), F.col("idx").alias("i")))
-    t = running(t, ["doc_id"], ["idx"], lasts={"anchor": strong, "prev": F.struct("r", "off")}, base=base)
+    t = running(t, ["doc_id"], ["idx"], lasts={"anchor": strong, "prev": F.struct("r", "off")})
     t = t.withColumn("seg", F.coalesce("anchor.i", F.lit(-1)))
     t = t.withColumn("seg_r", F.coalesce("anchor.r", F.col("opening_p")))
 

@@ -109,7 +109,7 @@ def snk01(spark, d):
 
 def packs(spark, d):
     s = A.signals(spark, d)
-    return V.evidence_packs(s, V.verdicts(s, ["doc_id"]), ["doc_id"], NAMES)
+    return V.evidence_packs(s, V.verdicts(s, ["doc_id"]), ["doc_id"])
 
 
 @query("clm15_signal_detail", """

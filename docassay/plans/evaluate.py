@@ -55,7 +55,13 @@ def extraction_pages(spark, d):
                      item("mood", F.lit(0.9), good), item("closing_balance", F.when(k % 4 == 2, 1.5).otherwise(0.8), good))
     amount = F.struct(F.lit("10").alias("value"), good.alias("bbox"), F.lit(0.7).alias("confidence"))
     rows = F.array(F.struct(F.when(k % 5 == 1, "mystery").otherwise("total_debits").alias("kind"), amount.alias("amount")))
-    js = F.to_json(F.struct(F.lit("BANK_STATEMENT").alias("doc_type"), F.lit("en").alias("primary_language"), fields.alias("fields"), rows.alias("summary_rows")))
+    cell = F.struct(F.col("o_totalprice").cast("string").alias("value"), good.alias("bbox"), F.lit(0.9).alias("confidence"))
+    none = F.lit(None).cast(I.VALUE)
+    moves = F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), lambda i: F.struct(
+        i.alias("seq"), cell.alias("posted_on"), cell.alias("description"), F.when(i % 2 == 0, cell).otherwise(none).alias("debit"),
+        F.when(i % 2 == 1, cell).otherwise(none).alias("credit"), cell.alias("running_balance")))
+    kind = F.when(k % 7 != 4, F.lit("BANK_STATEMENT"))  # some pages do not say
+    js = F.to_json(F.struct(kind.alias("doc_type"), F.lit("en").alias("primary_language"), fields.alias("fields"), moves.alias("transactions"), rows.alias("summary_rows")))
     return o.select(k.alias("doc_id"), F.lit(0).alias("page"), F.when(k % 17 == 5, F.lit("{broken")).otherwise(js).alias("json"))
 
 
@@ -66,12 +72,22 @@ def extraction_pages(spark, d):
       UNION ALL SELECT '', 'opening_balance', k % 3 <> 1 FROM o WHERE NOT broken
       UNION ALL SELECT 'unknown_predicate', 'mood', true FROM o WHERE NOT broken
       UNION ALL SELECT CASE WHEN k % 4 = 2 THEN 'malformed' ELSE '' END, 'closing_balance', true FROM o WHERE NOT broken
+      UNION ALL SELECT '', p, true FROM (SELECT unnest(['posted_on', 'description', 'running_balance', CASE WHEN i % 2 = 0 THEN 'debit' ELSE 'credit' END]) AS p
+        FROM (SELECT unnest(generate_series(0, k % 3)) AS i FROM o WHERE NOT broken))
       UNION ALL SELECT CASE WHEN k % 5 = 1 THEN 'unknown_predicate' ELSE '' END, CASE WHEN k % 5 = 1 THEN 'mystery' ELSE 'total_debits' END, true FROM o WHERE NOT broken) GROUP BY 1, 2, 3""")
 def src02(spark, d):
     i = I.extraction_items(extraction_pages(spark, d))
     return i.groupBy("reject", "predicate", F.col("bbox").isNotNull().alias("boxed")).agg(F.count(F.lit(1)).alias("items"))
 
 
+@query("src02_page_types", """
+    SELECT CASE WHEN o_orderkey % 7 = 4 THEN 'OTHER' ELSE 'BANK_STATEMENT' END AS doc_type, 'en' AS primary_language, count(*) AS pages FROM orders WHERE o_orderkey % 17 <> 5 GROUP BY 1, 2""")
+def src02_types(spark, d):
+    p = extraction_pages(spark, d)
+    readable = I.extraction_items(p).filter("part = 'page'").select("doc_id", "page")
+    return I.page_types(p).join(readable, ["doc_id", "page"], "left_anti").groupBy("doc_type", "primary_language").agg(F.count(F.lit(1)).alias("pages"))
+
+
 @query("src03_rulebook_dimensions", """
     SELECT value_type, critical, count(*) AS claims FROM (SELECT CASE WHEN predicate IN ('opening_balance', 'closing_balance', 'gross_earnings', 'total_deductions', 'net_pay', 'gross_income', 'taxable_income') THEN 'Money'
       WHEN predicate IN ('period_start', 'period_end') THEN 'Date' WHEN predicate = 'employer' THEN 'OrgName' ELSE '' END AS value_type,
@@ -363,7 +379,7 @@ def st07(spark, d):
 
 def user_series(spark, d):
     e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("value").alias("v"))
-    return durable(S.positions(e, "user_id", ["at", "event_id"], F.col("at")).select("user_id", "pos", "v"))
+    return durable(S.positions(e, "user_id", ["at", "event_id"]).select("user_id", "pos", "v"))
 
 
 cte("series", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS v FROM events")
@@ -371,7 +387,7 @@ cte("series", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 
 @query("st08_loop_detection", """
     WITH m AS (SELECT user_id, count(*) AS n, avg(v) AS mean, var_pop(v) AS var FROM series GROUP BY 1), c AS (SELECT user_id, pos, v - mean AS x FROM series JOIN m USING (user_id)),
-    p AS (SELECT user_id, sum(x * x) AS xx FROM c GROUP BY 1), l AS (SELECT a.user_id, b.pos - a.pos AS lag, sum(a.x * b.x) AS xy FROM c a JOIN c b ON a.user_id = b.user_id AND b.pos - a.pos BETWEEN 2 AND 32 GROUP BY 1, 2),
+    p AS (SELECT user_id, sum(x * x) AS xx FROM c GROUP BY 1), l AS (SELECT a.user_id, b.pos - a.pos AS lag, sum(a.x * b.x) AS xy FROM c a JOIN c b ON a.user_id = b.user_id AND b.pos - a.pos >= 2 GROUP BY 1, 2),
     k AS (SELECT user_id, greatest(0, max(xy / (xx + 1e-12))) AS peak FROM l JOIN p USING (user_id) GROUP BY 1)
     SELECT user_id, n, CASE WHEN n < 4 THEN 'NOT_EVALUATED' ELSE 'VALID' END AS status, round(CASE WHEN n < 4 THEN -1.0 WHEN var < 1 THEN 1.0 ELSE least(1.0, greatest(CASE WHEN coalesce(peak, 0) >= 0.6 THEN least(1.0, peak) ELSE 0 END, CASE WHEN var < 8 THEN 0.5 * (1 - (var - 1) / 7.0) ELSE 0 END)) END, 6)::DOUBLE AS suspicion
     FROM m LEFT JOIN k USING (user_id)""", ("series",))

@@ -329,7 +329,7 @@ def jn14(spark, d):
 @query("jn15_duplicate_regions", """
     WITH p AS (SELECT l_suppkey AS doc_id, l_quantity * 4 AS x0, l_discount * 1000 AS y0, CASE WHEN l_suppkey % 3 = 0 AND l_linenumber <= 4 THEN 60 ELSE l_partkey % 40 * 13 - 200 END AS dx, CASE WHEN l_suppkey % 3 = 0 AND l_linenumber <= 4 THEN 36 ELSE l_orderkey % 50 * 11 END AS dy FROM lineitem),
     q AS (SELECT *, CASE WHEN dx < 0 OR (dx = 0 AND dy < 0) THEN -1 ELSE 1 END AS f FROM p WHERE sqrt(dx * dx + dy * dy) >= 16),
-    b AS (SELECT doc_id, round_even(dx * f / 12.0::DOUBLE, 0)::INT AS bx, round_even(dy * f / 12.0::DOUBLE, 0)::INT AS b_y, count(*) AS n, avg(dx) AS ox, avg(dy) AS oy, sqrt(pow(max(x0) - min(x0), 2) + pow(max(y0) - min(y0), 2)) AS src,
+    b AS (SELECT doc_id, round_even(dx * f / 12.0::DOUBLE, 0)::INT AS bx, round_even(dy * f / 12.0::DOUBLE, 0)::INT AS b_y, count(*) AS n, median(dx) AS ox, median(dy) AS oy, sqrt(pow(max(x0) - min(x0), 2) + pow(max(y0) - min(y0), 2)) AS src,
         sqrt(pow(max(x0 + dx) - min(x0 + dx), 2) + pow(max(y0 + dy) - min(y0 + dy), 2)) AS dst FROM q GROUP BY 1, 2, 3),
     g AS (SELECT doc_id, sum(n)::BIGINT AS pairs, arg_max(struct_pack(n, ox, oy, src, dst), (n, -bx, -b_y)) AS t FROM b GROUP BY 1)
     SELECT doc_id, pairs, t.n AS dominant, round(t.n / pairs, 6) AS share, pairs >= 12 AND sqrt(pow(t.ox, 2) + pow(t.oy, 2)) >= 24 AND t.n / pairs >= 0.3 AND t.n >= 12 AND t.src <= 0.45 * sqrt(2) * 1000 AND t.dst <= 0.45 * sqrt(2) * 1000 AS duplicated FROM g""")

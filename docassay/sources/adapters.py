@@ -32,7 +32,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         "debit_p", F.when(F.col("status") != "F", F.col("amount_p"))
     )
     moved = F.coalesce("credit_p", F.lit(0)) - F.coalesce("debit_p", F.lit(0))
-    o = ordered(o, ["acct"], ["day", "okey"], F.unix_date("day"),
+    o = ordered(o, ["acct"], ["day", "okey"],
                 sums={"moved": moved, "pos": F.lit(1).cast("bigint")})
     o = o.join(cust, "acct")
     k, a = F.col("okey"), F.col("acct")

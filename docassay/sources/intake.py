@@ -57,10 +57,23 @@ def unit_box(b: Column) -> Column:
     return F.when(inside, b)
 
 
+#: Cells of a transaction.
+CELLS = ("posted_on", "description", "debit", "credit", "running_balance")
+
+
+def page_types(pages: DataFrame) -> DataFrame:
+    """``doc_id, page, doc_type, primary_language`` of readable pages; OTHER and en where a page does not say."""
+    x = F.from_json("json", EXTRACTION, {"mode": "PERMISSIVE"})
+    p = pages.withColumn("x", x).filter("x is not null")
+    return p.select("doc_id", "page", F.coalesce(F.nullif("x.doc_type", F.lit("")), F.lit("OTHER")).alias("doc_type"),
+                    F.substring(F.coalesce(F.nullif("x.primary_language", F.lit("")), F.lit("en")), 1, 12).alias("primary_language"))
+
+
 def extraction_items(pages: DataFrame) -> DataFrame:
     """JSON pages (doc_id, page, json) to items with ``reject``: empty for kept ones.
 
-    Lenient by item: a bad item is marked, the page survives. An unparseable page gives one rejected row.
+    Lenient by item: a bad item is marked, the page survives. Every cell of every transaction is an item with the
+    transaction's ``seq``. An unparseable page gives one rejected row; a page without a type is kept (see ``page_types``).
     """
     p = pages.withColumn("x", F.from_json("json", EXTRACTION, {"mode": "PERMISSIVE"}))
     fields = p.select("doc_id", "page", F.explode("x.fields").alias("i")).select(
@@ -68,19 +81,25 @@ def extraction_items(pages: DataFrame) -> DataFrame:
     rows = p.select("doc_id", "page", F.explode("x.summary_rows").alias("i")).select(
         "doc_id", "page", F.lit("summary").alias("part"), F.col("i.kind").alias("predicate"), "i.amount.value", "i.amount.bbox",
         "i.amount.confidence")
-    broken = p.filter(F.col("x").isNull() | F.col("x.doc_type").isNull()).select(
+    line = p.select("doc_id", "page", F.explode("x.transactions").alias("t"))
+    cells = F.array(*[F.struct(F.lit(c).alias("predicate"), F.col(f"t.{c}").alias("v")) for c in CELLS])
+    moves = line.select("doc_id", "page", F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("i"), F.col("t.seq").alias("seq")).select(
+        "doc_id", "page", F.lit("transaction").alias("part"), "i.predicate", "i.v.value", "i.v.bbox", "i.v.confidence", "seq")
+    broken = p.filter(F.col("x").isNull() | (F.col("json").isNotNull() & F.forall(F.array(*[F.col(f"x.{c}") for c in ("doc_type", "primary_language")]), lambda c: c.isNull())
+                                             & F.col("x.fields").isNull() & F.col("x.transactions").isNull() & F.col("x.summary_rows").isNull())).select(
         "doc_id", "page", F.lit("page").alias("part"), F.lit("").alias("predicate"), F.lit("").alias("value"),
         F.lit(None).cast(BOX).alias("bbox"), F.lit(None).cast("double").alias("confidence"))
-    items = fields.unionByName(rows).unionByName(broken)
+    items = fields.unionByName(rows).unionByName(broken).withColumn("seq", F.lit(None).cast("int")).unionByName(moves)
     vocab = F.broadcast(vocabulary(pages.sparkSession).withColumn("known", F.lit(True)))  # fixed vocabulary
     j = items.join(vocab, "predicate", "left")
     bad_conf = ~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))
-    known = F.when(F.col("part") == "summary", F.col("predicate").isin(*SUMMARY_KINDS)).otherwise(F.coalesce("known", F.lit(False)))
+    known = F.when(F.col("part") == "transaction", F.lit(True)).when(F.col("part") == "summary", F.col("predicate").isin(*SUMMARY_KINDS)).otherwise(F.coalesce("known", F.lit(False)))
     reject = (
         F.when(F.col("part") == "page", "unreadable_page").when(F.col("value").isNull() | bad_conf, "malformed")
         .when(~known, "unknown_predicate").otherwise(""))
-    return j.select("doc_id", "page", "part", "predicate", "value", unit_box(F.col("bbox")).alias("bbox"), "confidence",
-                    F.coalesce("value_type", F.when(F.col("part") == "summary", F.lit("Money"))).alias("value_type"), reject.alias("reject"))
+    return j.select("doc_id", "page", "part", "seq", "predicate", "value", unit_box(F.col("bbox")).alias("bbox"), "confidence",
+                    F.coalesce("value_type", F.when(F.col("part") == "summary", F.lit("Money")), F.when(F.col("part") == "transaction", F.when(
+                        F.col("predicate") == "posted_on", "Date").when(F.col("predicate") == "description", "Text").otherwise("Money"))).alias("value_type"), reject.alias("reject"))
 
 
 RESULTS = T.StructType([
