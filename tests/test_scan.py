@@ -31,13 +31,13 @@ def expected(rows):
 
 def test_running_sum_and_last_value(spark, hot):
     rows, df = skewed(spark)
-    got = ordered(df, ["k"], ["o", "id"], F.col("o"), sums={"s": F.col("v")}, lasts={"l": F.col("m")})
+    got = ordered(df, ["k"], ["o", "id"], sums={"s": F.col("v")}, lasts={"l": F.col("m")})
     assert {r.id: (r.s, r.l) for r in got.collect()} == expected(rows)
 
 
 def test_light_path_is_one_window(spark):
     _, df = skewed(spark)
-    plan = ordered(df, ["k"], ["o", "id"], F.col("o"), sums={"s": F.col("v")})._jdf.queryExecution().toString()
+    plan = ordered(df, ["k"], ["o", "id"], sums={"s": F.col("v")})._jdf.queryExecution().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
 
 
@@ -111,3 +111,50 @@ def test_statement_chain_against_loop(spark):
     heads = s.join(S.statement_scale(s, t), "doc_id", "left")
     got = {(r.doc_id, r.idx): (r.expected_p, r.broken) for r in S.chain(t, heads).collect()}
     assert got == want
+
+
+def test_split_path_gives_rows_and_schema_of_the_plain_path(spark):
+    """Null order values and null keys, one value on most rows, decimals, and many heavy keys at once."""
+    rnd = random.Random(11)
+    rows = []
+    for n in range(6000):
+        k = None if n % 50 == 0 else "hot" if n % 3 == 0 else f"k{rnd.randrange(400)}"
+        o = None if rnd.random() < 0.1 else 7 if rnd.random() < 0.8 else rnd.randrange(20)
+        rows.append((k, o, n, rnd.randrange(-500, 500), None if rnd.random() < 0.5 else n))
+    df = spark.createDataFrame(rows, "k string, o int, id int, cents int, m int").selectExpr("k", "o", "id", "m", "cast(cents / 100 AS decimal(20,2)) AS v")
+
+    def build():
+        return ordered(df.select("*"), ["k"], ["o", "id"], sums={"s": F.col("v"), "n": F.lit(1).cast("bigint"), "some": F.when(F.col("m").isNotNull(), F.col("v"))},
+                       lasts={"l": F.col("m"), "t": F.struct("id", "v")})
+
+    set_hot_rows(None)
+    plain = build()
+    want, kinds = canon(plain), plain.dtypes
+    for limit in (3, 500):
+        set_hot_rows(limit)
+        try:
+            split = build()
+            assert split.dtypes == kinds and canon(split) == want
+        finally:
+            set_hot_rows(None)
+
+
+def test_one_order_value_is_split(spark, hot):
+    df = spark.range(2000).selectExpr("'a' AS k", "1 AS o", "id")
+    from docassay.operators.scan import with_chunks
+
+    sizes = [r["count"] for r in with_chunks(df, ["k"], ["o"]).groupBy("_chunk").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 500
+
+
+def test_loop_longer_than_a_block(spark):
+    from docassay.operators.series import lag_products, loop_suspicion
+
+    wave = [(s, i, float((i * 7 + (i % 50) ** 2) % 50 if s == "loop" else (i * i * 31 + i) % 97)) for s in ("loop", "free") for i in range(600)]
+    df = spark.createDataFrame(wave, "k string, pos bigint, v double")
+    got = {(r.k, r.lag): r.xy for r in lag_products(df.selectExpr("k", "pos", "v AS x"), "k").collect()}
+    for s in ("loop", "free"):
+        v = [x for t, _, x in wave if t == s]
+        for lag in (2, 50, 255, 256, 257, 512, 599):
+            assert abs(got[s, lag] - sum(a * b for a, b in zip(v, v[lag:]))) < 1e-6
+    assert {r.k: r.suspicion for r in loop_suspicion(df, "k").collect()}["loop"] > 0.9
