@@ -1,21 +1,18 @@
 """Rule mining from labelled cases, and scoring with approved rules.
 
-Cases stay distributed. What comes back to the driver per step is a count per (rule in progress, atom): a table whose
-size depends on the atoms, not on the cases, and whose bound is checked.
+Mining is a sequence of joins and grouped counts. Cases that satisfy the same atomic predicates are one profile with its
+number of cases and of fraud among them; atoms, profiles and rules in progress are tables, and so is the result. Each step
+counts, for every open rule and every atom of another feature, the profiles that hold both, and picks the best by rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.operators.scan import ordered
+from docassay.session import durable
 
-MAX_ATOMS = 4_000
 THIN_TO = 12
 
 Atom = tuple[str, str, object]  # feature, op, value
@@ -43,22 +40,27 @@ def midpoints(cases: DataFrame, features: list[str]) -> DataFrame:
     return thin.unionByName(m.join(F.broadcast(many), "feature", "left_anti"))
 
 
-def atoms(cases: DataFrame, features: list[str]) -> list[Atom]:
-    """Atomic predicates: >= and < at the midpoints of numeric features, equality otherwise."""
+def atoms(cases: DataFrame, features: list[str]) -> DataFrame:
+    """Atomic predicates, (feature, op, bound, text): ``ge`` and ``lt`` at the midpoints of numeric features, ``eq`` for
+    each text of the others. ``bound`` is null for texts."""
     num = numeric_features(cases, features)
-    out: list[Atom] = []
+    kinds = "feature string, op string, bound double, text string"
+    out = cases.sparkSession.createDataFrame([], kinds)
     if num:
-        rows = midpoints(cases, num).orderBy("feature", "i").limit(MAX_ATOMS + 1).collect()
-        out += [(r["feature"], op, r["mid"]) for r in rows for op in ("ge", "lt")]
-    for f in features:
-        if f not in num:
-            vals = cases.select(F.col(f).cast("string").alias("v")).filter("v is not null").distinct().orderBy("v").limit(MAX_ATOMS + 1).collect()
-            out += [(f, "eq", r["v"]) for r in vals]
-    if len(out) > MAX_ATOMS:
-        raise ValueError(f"more than {MAX_ATOMS} atomic predicates; bin the features first")
+        both = F.explode(F.array(F.lit("ge"), F.lit("lt"))).alias("op")
+        out = out.unionByName(midpoints(cases, num).select("feature", both, F.col("mid").alias("bound"), F.col("mid").cast("string").alias("text")))
+    other = [f for f in features if f not in num]
+    if other:
+        out = out.unionByName(_long(cases, other, "string").filter("v is not null").distinct().select(
+            "feature", F.lit("eq").alias("op"), F.lit(None).cast("double").alias("bound"), F.col("v").alias("text")))
     return out
 
 
+def _long(cases: DataFrame, features: list[str], kind: str, *keep: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("v")) for f in features])
+    return cases.select(*keep, F.explode(pairs).alias("x")).select(*keep, "x.*")
+
+
 def predicate(p: Atom) -> Column:
     """A predicate as a condition; an absent feature or a wrong type is false."""
     f, op, v = p
@@ -71,91 +73,99 @@ def predicate(p: Atom) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def atom_counts(cases: DataFrame, every: list[Atom], rules: list[list[int]], target: str) -> dict[tuple[int, int], tuple[int, int]]:
-    """(rule, atom) -> (matching cases, matching fraud) for each rule in progress extended by each atom.
+def rule_metrics(cases: DataFrame, by: list[str], target: str) -> DataFrame:
+    """Matching cases, matching fraud, support and confidence of every conjunction of one value for each column of ``by``."""
+    fraud = cases.agg(F.count_if(F.col(target)).alias("all_fraud"))
+    g = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n_match"), F.count_if(F.col(target)).alias("n_fraud"))
+    return g.join(F.broadcast(fraud), F.lit(True)).select(  # one row
+        *by, "n_match", "n_fraud", F.round(F.col("n_fraud") / F.col("all_fraud"), 6).alias("support"), F.round(F.col("n_fraud") / F.col("n_match"), 6).alias("confidence"))
 
-    One pass: every batch becomes a boolean matrix cases x atoms, and two matrix products count all extensions. A task
-    emits one row per (rule, atom); the sums are a partial aggregation.
+
+def profiles(cases: DataFrame, every: DataFrame, features: list[str], target: str) -> DataFrame:
+    """``held`` (atom ids), ``n``, ``f``: cases and fraud by the set of atoms they satisfy.
+
+    A numeric feature has two dozen atoms at most, which join on the feature; texts join on feature and text.
     """
-    feats = sorted({a[0] for a in every})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((len(rules), len(every)))
-        f = np.zeros_like(n)
-        for b in batches:
-            m = np.zeros((len(b), len(every)), dtype=bool)
-            for k, (feat, op, v) in enumerate(every):
-                col = b[feat].to_numpy()
-                m[:, k] = (col == v) if op == "eq" else (col >= v) if op == "ge" else (col < v)
-            a = m.astype(np.float64)
-            held = np.stack([m[:, r].all(axis=1) for r in rules], axis=1).astype(np.float64)
-            y = b[target].to_numpy(dtype=bool).astype(np.float64)
-            n += held.T @ a
-            f += (held * y[:, None]).T @ a
-        r, k = np.meshgrid(np.arange(len(rules)), np.arange(len(every)), indexing="ij")
-        yield pd.DataFrame({"r": r.ravel(), "a": k.ravel(), "n": n.ravel().astype("int64"), "f": f.ravel().astype("int64")})
-
-    part = cases.select(*feats, target).mapInPandas(count, "r bigint, a bigint, n bigint, f bigint")
-    g = part.groupBy("r", "a").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).filter("n > 0")
-    return {(x["r"], x["a"]): (x["n"], x["f"]) for x in g.toLocalIterator()}
+    num = numeric_features(cases, features)
+    keyed = durable(cases.select(F.monotonically_increasing_id().alias("_case"), F.coalesce(F.col(target), F.lit(False)).alias("_fraud"), *features))
+    met = None
+    if num:
+        bounds = every.filter("op <> 'eq'").select("atom", F.col("feature").alias("of"), "op", "bound")
+        v = _long(keyed, num, "double", "_case")
+        holds = F.when(F.col("op") == "ge", F.col("v") >= F.col("bound")).otherwise(F.col("v") < F.col("bound"))
+        met = v.join(bounds, (F.col("feature") == F.col("of")) & holds).select("_case", "atom")
+    other = [f for f in features if f not in num]
+    if other:
+        texts = every.filter("op = 'eq'").select("atom", "feature", F.col("text").alias("v"))
+        eq = _long(keyed, other, "string", "_case").join(texts, ["feature", "v"]).select("_case", "atom")
+        met = eq if met is None else met.unionByName(eq)
+    held = met.groupBy("_case").agg(F.sort_array(F.collect_list("atom")).alias("held"))
+    return keyed.select("_case", "_fraud").join(held, "_case").groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.count_if("_fraud").alias("f"))
+
+
+def _measured(df: DataFrame, total: int, fraud: int) -> DataFrame:
+    return df.withColumn("confidence", F.col("f") / F.col("n")).withColumn("support", F.col("f") / F.lit(fraud)).withColumn(
+        "lift", F.col("confidence") / F.lit(fraud / total))
 
 
 def mine(cases: DataFrame, features: list[str], target: str = "is_fraud", min_support: float = 0.1, min_confidence: float = 0.8,
-         max_predicates: int = 3, top_k: int = 10) -> list[dict]:
-    """Greedy conjunctions: each useful atom seeds a rule, grown by the atom that raises confidence most.
+         max_predicates: int = 3, top_k: int = 10) -> DataFrame:
+    """``rule_id, predicates, confidence, support, lift, suspicion`` of the best conjunctions; ``predicates`` is an array of
+    (feature, op, bound, text).
 
-    Ties keep the order of the atoms (lift, confidence, feature, operator, text of the value), gains are strict.
+    Every atom with a lift above 1 seeds a rule. A rule takes, step by step, the atom of a new feature that raises its
+    confidence most at enough support, and closes when none does. Atoms are placed by lift, confidence, feature, operator
+    and text; the earlier place wins ties among atoms, and among rules with equal figures.
     """
     t = cases.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target)).alias("f")).first()
     total, fraud = t["n"], t["f"]
+    kinds = ("rule_id string, predicates array<struct<feature:string,op:string,bound:double,text:string>>, confidence double, support double, "
+             "lift double, suspicion double")
     if not total or not fraud:
-        return []
-    base = fraud / total
-    every = atoms(cases, features)
-    single = atom_counts(cases, every, [[]], target)
-
-    def measure(n: int, f: int) -> tuple[float, float, float]:
-        return (f / n, f / fraud, f / n / base) if n else (0.0, 0.0, 0.0)
-
-    met = {k: measure(*single.get((0, k), (0, 0))) for k in range(len(every))}
-    order = sorted(met, key=lambda k: (-met[k][2], -met[k][0], every[k][0], every[k][1], str(every[k][2])))
-    useful = [k for k in order if met[k][2] > 1.0]
-    if not useful:
-        return []
-    pool = [every[k] for k in useful]
-    state = [([i], met[k], True) for i, k in enumerate(useful)]
+        return cases.sparkSession.createDataFrame([], kinds)
+    every = durable(atoms(cases, features).withColumn("atom", F.monotonically_increasing_id()))
+    prof = durable(profiles(cases, every, features, target).withColumn("profile", F.monotonically_increasing_id()))
+    holds = prof.select("profile", "n", "f", F.explode("held").alias("atom"))
+    single = _measured(holds.groupBy("atom").agg(F.sum("n").alias("n"), F.sum("f").alias("f")), total, fraud).filter("lift > 1")
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("lift"), F.desc("confidence"), "feature", "op", "text"))
+    useful = durable(single.join(every, "atom").withColumn("place", place))
+    met = durable(holds.join(useful.select("atom", "place", "feature"), "atom").select("profile", "n", "f", "place", "feature"))
+    rules = useful.select(F.col("place").alias("seed"), F.array("place").alias("taken"), F.array("feature").alias("used"), "confidence", "support", "lift", F.lit(True).alias("open"))
     for _ in range(max_predicates - 1):
-        open_ = [j for j, s in enumerate(state) if s[2]]
-        if not open_:
-            break
-        counts = atom_counts(cases, pool, [state[j][0] for j in open_], target)
-        for r, j in enumerate(open_):
-            chosen, cur, _ = state[j]
-            taken, best, pick = {pool[i][0] for i in chosen}, cur, None
-            for a in range(len(pool)):
-                if pool[a][0] in taken:
-                    continue
-                m = measure(*counts.get((r, a), (0, 0)))
-                if m[0] > best[0] and m[1] >= min_support:
-                    best, pick = m, a
-            state[j] = (chosen, cur, False) if pick is None else ([*chosen, pick], best, True)
-    found: dict[frozenset, tuple] = {}
-    for chosen, m, _ in state:
-        if m[1] >= min_support and m[0] >= min_confidence:
-            found[frozenset(chosen)] = m
-    ranked = sorted(found.items(), key=lambda kv: (-kv[1][0], -kv[1][1], -kv[1][2]))[:top_k]
-    out = []
-    for i, (chosen, m) in enumerate(ranked, 1):
-        preds = sorted((pool[c] for c in chosen), key=lambda p: (p[0], p[1], str(p[2])))
-        out.append({"rule_id": f"R-{i:03d}", "predicates": preds, "confidence": round(m[0], 3), "support": round(m[1], 3),
-                    "lift": round(m[2], 3), "suspicion": round(min(0.9, m[0]), 2)})
-    return out
-
-
-def rules_frame(spark, rules: list[dict]) -> DataFrame:
-    rows = [(r["rule_id"], " AND ".join(f"{f} {op} {v}" for f, op, v in r["predicates"]), r["confidence"], r["support"], r["lift"], r["suspicion"])
-            for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, predicates string, confidence double, support double, lift double, suspicion double")
+        rules = durable(rules)
+        growing = rules.filter("open").select("seed", "taken", "used", F.col("confidence").alias("now"))
+        # profiles that hold all of a rule's atoms, then the atoms they hold besides
+        within = growing.select("seed", F.size("taken").alias("parts"), F.explode("taken").alias("place")).join(met, "place").groupBy(
+            "seed", "parts", "profile").agg(F.count(F.lit(1)).alias("c")).filter("c = parts").select("seed", "profile")
+        longer = _measured(within.join(met, "profile").groupBy("seed", "place", "feature").agg(F.sum("n").alias("n"), F.sum("f").alias("f")), total, fraud)
+        better = longer.join(growing, "seed").filter(~F.array_contains("used", F.col("feature")) & (F.col("confidence") > F.col("now")) & (F.col("support") >= min_support))
+        pick = better.groupBy("seed").agg(F.max_by(F.struct("place", "feature", "confidence", "support", "lift"), F.struct("confidence", -F.col("place"))).alias("p"))
+        j = rules.join(pick, "seed", "left")
+        grown = F.col("p").isNotNull()
+        rules = j.select("seed", F.when(grown, F.concat("taken", F.array("p.place"))).otherwise(F.col("taken")).alias("taken"),
+                         F.when(grown, F.concat("used", F.array("p.feature"))).otherwise(F.col("used")).alias("used"),
+                         *[F.when(grown, F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in ("confidence", "support", "lift")], grown.alias("open"))
+    good = rules.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
+    sets = good.groupBy(F.sort_array("taken").alias("taken")).agg(F.min("seed").alias("seed"), *[F.max(c).alias(c) for c in ("confidence", "support", "lift")])
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("confidence"), F.desc("support"), F.desc("lift"), "seed"))
+    best = sets.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    named = best.withColumn("place", F.explode("taken")).join(useful.select("place", "feature", "op", "bound", "text"), "place")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("feature", "op", "text", "bound"))), lambda p: F.struct(p["feature"].alias("feature"), p["op"].alias("op"), p["bound"].alias("bound"), p["text"].alias("text")))
+    return named.groupBy("rank", "confidence", "support", "lift").agg(listed.alias("predicates")).select(
+        F.format_string("R-%03d", "rank").alias("rule_id"), "predicates", F.round("confidence", 3).alias("confidence"), F.round("support", 3).alias("support"),
+        F.round("lift", 3).alias("lift"), F.round(F.least(F.lit(0.9), F.col("confidence")), 2).alias("suspicion"))
+
+
+def rules_list(mined: DataFrame) -> list[dict]:
+    """The mined rules, ``top_k`` at most, in the form that scoring takes."""
+    return [{"rule_id": r["rule_id"], "predicates": [(p["feature"], p["op"], p["text"] if p["bound"] is None else p["bound"]) for p in r["predicates"]],
+             "confidence": r["confidence"], "support": r["support"], "lift": r["lift"], "suspicion": r["suspicion"]} for r in mined.orderBy("rule_id").collect()]
+
+
+def rules_frame(mined: DataFrame) -> DataFrame:
+    """The mined rules with their predicates as one text."""
+    said = F.array_join(F.transform("predicates", lambda p: F.concat_ws(" ", p["feature"], p["op"], p["text"])), " AND ")
+    return mined.withColumn("predicates", said)
 
 
 def current_rules(rules: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -157,29 +157,21 @@ def mi01(spark, d):
     SELECT source, lang, count(*) AS n_match, count_if(is_fraud)::BIGINT AS n_fraud, round(count_if(is_fraud) / (SELECT count_if(is_fraud) FROM labelled_cases), 6) AS support, round(count_if(is_fraud) / count(*), 6) AS confidence
     FROM labelled_cases GROUP BY 1, 2""", ("labelled_cases",))
 def mi02(spark, d):
-    c = durable(A.labelled_cases(spark, d))
-    every = MI.atoms(c, ["lang", "source"])
-    lang = [i for i, a in enumerate(every) if a[0] == "lang"]
-    n = MI.atom_counts(c, every, [[i] for i in lang], "is_fraud")
-    fraud = c.filter("is_fraud").count()
-    rows = [(every[a][2], every[lang[r]][2], m, f, round(f / fraud, 6), round(f / m, 6)) for (r, a), (m, f) in n.items() if every[a][0] == "source"]
-    return spark.createDataFrame(rows, "source string, lang string, n_match bigint, n_fraud bigint, support double, confidence double")
+    return MI.rule_metrics(A.labelled_cases(spark, d), ["source", "lang"], "is_fraud")
 
 
 def mined(spark, d):
-    c = durable(A.labelled_cases(spark, d))
-    return c, MI.mine(c, FEATURES, min_support=0.02, min_confidence=0.5)
+    return MI.mine(durable(A.labelled_cases(spark, d)), FEATURES, min_support=0.02, min_confidence=0.5)
 
 
 @query("mi03_mined_rules")
 def mi03(spark, d):
-    return MI.rules_frame(spark, mined(spark, d)[1])
+    return MI.rules_frame(mined(spark, d))
 
 
 @query("or01_top_rules")
 def or01(spark, d):
-    f = MI.rules_frame(spark, mined(spark, d)[1])
-    return f.orderBy(F.desc("confidence"), F.desc("support"), F.desc("lift"), "rule_id").limit(5)
+    return MI.rules_frame(mined(spark, d)).orderBy(F.desc("confidence"), F.desc("support"), F.desc("lift"), "rule_id").limit(5)
 
 
 @query("mi04_predicate_evaluation", """

@@ -95,12 +95,12 @@ def test_mined_rule_finds_the_pattern(spark):
     rows += [(60 + i, 3.0, 100000.0 + i, 12.0, False) for i in range(25)]
     rows += [(85 + i, 60.0, 900000.0, 13.0, False) for i in range(15)]
     c = spark.createDataFrame(rows, "case_no int, age double, loan double, hour double, is_fraud boolean")
-    rules = MI.mine(c, ["age", "loan", "hour"])
+    rules = MI.rules_list(MI.mine(c, ["age", "loan", "hour"]))
     assert rules and rules[0]["confidence"] >= 0.8 and rules[0]["support"] >= 0.5
     fired = {r.case_no for r in MI.score(c, rules[:1], ["case_no"]).filter("fired > 0").collect()}
     assert fired == set(range(20))
     flat = spark.createDataFrame([(i, float(i % 4), i % 8 < 4) for i in range(40)], "case_no int, age double, is_fraud boolean")
-    assert MI.mine(flat, ["age"]) == []
+    assert MI.rules_list(MI.mine(flat, ["age"])) == []
 
 
 def test_audit_chain(spark):
