@@ -43,6 +43,12 @@ def latency_by_tier(runs: DataFrame, accuracy: int = 10000) -> DataFrame:
         "tier", "runs", F.get("q", F.lit(0)).alias("p50"), F.get("q", F.lit(1)).alias("p95"), F.get("q", F.lit(2)).alias("p99"))
 
 
+def exact_latency(runs: DataFrame) -> DataFrame:
+    """Exact quantiles, interpolated, where the runs of a tier fit a task; the sketch above is for any size."""
+    return runs.groupBy("tier").agg(F.count(F.lit(1)).alias("runs"), *[
+        F.round(F.percentile("latency_ms", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
 def mutate_amounts(df: DataFrame, key: str, amount: str) -> DataFrame:
     """One deterministic variant per row of an amount in paise: x1.1, x1.5, zero, or +0.99."""
     k = F.pmod(F.col(key), F.lit(4))
@@ -70,7 +76,7 @@ def constant_detectors(pairs: DataFrame) -> DataFrame:
 
 def identity_matrix(values: DataFrame, comparisons: DataFrame, key: str, labels: list[str]) -> DataFrame:
     """Field x document grid with the agreement of each field."""
-    grid = values.groupBy(key, "field").pivot("label", labels).agg(F.first("value"))
+    grid = values.groupBy(key, "field").pivot("label", labels).agg(F.min_by("value", "ord"))
     return grid.join(comparisons.select(key, "field", "status", "severity"), [key, "field"], "left")
 
 

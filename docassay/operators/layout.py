@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.functions.money import currency_like, parse_money
-from docassay.operators.scan import exact_median, ordered
+from docassay.operators.scan import exact_median, exact_medians, ordered
 from docassay.rulebook import (
     HEADER_SYNONYMS, HETEROGENEITY_FRACTION, HETEROGENEITY_MIN_WORDS, LINE_FLOOR, LINE_MIN_CHARS, LINE_MIN_CONF,
     LINE_MIN_WORDS, LINE_SLOPE, LINE_STROKE_FLOOR, LINE_SUSPICION, LINE_Z, OCR_MIN_CONFIDENCE, ROW_LABELS,
@@ -138,13 +138,11 @@ def line_outliers(words: DataFrame, keys: list[str]) -> DataFrame:
     n = w.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stroke") > 0).alias("inked")).filter(
         F.col("n") >= LINE_MIN_WORDS)
     j = w.join(n, keys)
-    for c in ("baseline", "height", "stroke"):
-        j = j.join(exact_median(w, keys, c, f"m_{c}", base=words), keys)
+    measures = ("baseline", "height", "stroke")
+    j = j.join(exact_medians(w, keys, {c: f"m_{c}" for c in measures}, words), keys)
     for c in ("baseline", "height", "stroke"):
         j = j.withColumn(f"d_{c}", F.round(F.abs(F.col(c) - F.col(f"m_{c}")) * 2).cast("bigint"))
-    base = j
-    for c in ("baseline", "height", "stroke"):
-        j = j.join(exact_median(base, keys, f"d_{c}", f"q_{c}", base=words), keys)
+    j = j.join(exact_medians(j, keys, {f"d_{c}": f"q_{c}" for c in measures}, words), keys)
     floor = LINE_FLOOR * F.when(F.col("m_height") == 0, 1.0).otherwise(F.col("m_height"))
 
     def z(c: str, low: Column) -> Column:

@@ -142,6 +142,22 @@ def ordered(
     return running(with_chunks(df, keys, order, base), keys, order, sums, lasts).drop("_chunk")
 
 
+def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str], base: DataFrame | None = None) -> DataFrame:
+    """Exact medians of several integer columns per key in one grouping; ``values``: column to name. A key without any
+    value of a column has a null there."""
+    light, heavy = split_hot(df.select(*keys, *values), keys, base)
+    out = light.groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(n) for c, n in values.items()])
+    if heavy is None:
+        return out
+    heavy = durable(heavy)
+    found = heavy.select(*keys).distinct()
+    for c, n in values.items():
+        m = exact_median(heavy, keys, c, n).select(n, *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)])
+        found = found.join(m, same, "left").drop(*[f"_of_{i}" for i in range(len(keys))])
+    return out.unionByName(found)
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
                  base: DataFrame | None = None) -> DataFrame:
     """Exact median of the integer column ``value`` per key (mean of the two middle ones), as DOUBLE.

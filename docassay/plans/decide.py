@@ -10,6 +10,7 @@ from docassay.operators import decision as V
 from docassay.plans import rules as RQ
 from docassay.plans.oracle_inputs import cte
 from docassay.plans.registry import query
+from docassay.session import durable
 from docassay.sources import adapters as A
 from docassay.sources.tables import table
 
@@ -145,7 +146,7 @@ def clm16(spark, d):
 
 def statement_signals(spark, d):
     """Consistency and anomaly signals of the bank statements in the common signal shape."""
-    claims = A.claims(spark, d)
+    claims = durable(A.claims(spark, d))  # read by both packs
     view = RQ.R.statement_view(claims)
     fin = RQ.claim_signal(spark, d, claims, view).filter(F.col("doc_id").startswith("S")).select(
         "doc_id", "name", "status", "suspicion", F.lit(0.40).alias("weight"), F.lit(False).alias("review_only"))
@@ -214,7 +215,6 @@ def au03(spark, d):
 @query("au03_anchors", """
     SELECT chain_id, n % 5 > 1 AS ok, CASE n % 5 WHEN 0 THEN 'truncated' WHEN 1 THEN 'reforged' ELSE '' END AS fault FROM (SELECT DISTINCT chain_id, substr(chain_id, 2)::BIGINT AS n FROM audit_events)""", ("audit_events",))
 def au03_anchors(spark, d):
-    from docassay.session import durable
 
     led = durable(chained(spark, d))
     n = F.regexp_extract("chain_id", "([0-9]+)", 1).cast("bigint") % 5
@@ -273,7 +273,6 @@ cte("income_sig", """
 
 
 def observations(spark, d, claims=None):
-    from docassay.session import durable
 
     claims = A.claims(spark, d) if claims is None else claims
     return durable(bundled(CO.income_observations(claims, A.ledger_keys(spark, d))))

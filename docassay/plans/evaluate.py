@@ -183,14 +183,17 @@ def mi04(spark, d):
 
 
 @query("mi05_rule_lifecycle", """
-    SELECT 'R' || s AS rule_id, coalesce(CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' ELSE 'CANDIDATE' END, 'CANDIDATE') AS status FROM (SELECT DISTINCT s_suppkey AS s FROM supplier) LEFT JOIN (
-      SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1) ON s = user_id""")
+    SELECT 'R' || s AS rule_id, coalesce(CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' ELSE 'CANDIDATE' END, 'CANDIDATE') AS status, CASE WHEN event_type IS NULL THEN '' ELSE 'analyst' END AS decided_by FROM (SELECT DISTINCT s_suppkey AS s FROM supplier) LEFT JOIN (
+      SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1) ON s = user_id
+    UNION ALL SELECT DISTINCT 'R' || user_id, 'UNKNOWN_RULE', '' FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)""")
 def mi05(spark, d):
     rules = table(spark, d, "supplier").select(F.concat(F.lit("R"), F.col("s_suppkey").cast("string")).alias("rule_id"))
     e = table(spark, d, "events")
     st = F.when(F.col("event_type") == "purchase", "APPROVED").when(F.col("event_type") == "error", "REJECTED").otherwise("CANDIDATE")
     dec = e.select(F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("rule_id"), st.alias("status"), F.lit("analyst").alias("decided_by"), "ts")
-    return MI.current_rules(rules, dec)[0].select("rule_id", "status")
+    known, unknown = MI.current_rules(rules, dec)
+    return known.select("rule_id", "status", F.coalesce("decided_by", F.lit("")).alias("decided_by")).unionByName(
+        unknown.select("rule_id", F.lit("UNKNOWN_RULE").alias("status"), F.lit("").alias("decided_by")).distinct())
 
 
 @query("mi06_promoted_rules", """
@@ -249,10 +252,10 @@ def ev03(spark, d):
 
 
 @query("ev04_latency_by_tier", """
-    SELECT event_type AS tier, count(*) AS runs FROM events GROUP BY 1""")
+    SELECT event_type AS tier, count(*) AS runs, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
 def ev04(spark, d):
     r = table(spark, d, "events").select(F.col("event_type").alias("tier"), F.col("value").alias("latency_ms"))
-    return E.latency_by_tier(r).select("tier", "runs")
+    return E.exact_latency(r)
 
 
 @query("ev04_latency_quantiles")
@@ -283,13 +286,13 @@ def ev06(spark, d):
 
 
 @query("ev07_identity_matrix", """
-    SELECT bundle_id, field, status, max(value) FILTER (doc_label = 'statement') IS NOT NULL AS statement, max(value) FILTER (doc_label = 'payslip') IS NOT NULL AS payslip, max(value) FILTER (doc_label = 'pan_card') IS NOT NULL AS pan_card FROM (
+    SELECT bundle_id, field, status, max(value) FILTER (doc_label = 'statement') AS statement, max(value) FILTER (doc_label = 'payslip') AS payslip, max(value) FILTER (doc_label = 'pan_card') AS pan_card, max(value) FILTER (doc_label = 'aadhaar_card') AS aadhaar_card FROM (
       SELECT bundle_id, doc_label, field, value FROM (SELECT bundle_id, doc_label, pan, aadhaar, ifsc, account_number, name, dob FROM entities) UNPIVOT (value FOR field IN (pan, aadhaar, ifsc, account_number, name, dob))) JOIN identity_cmp USING (bundle_id, field) GROUP BY 1, 2, 3""", ("entities", "identity_cmp"))
 def ev07(spark, d):
     v = CO.identity_values(A.entities(spark, d), ["bundle_id"])
     labels = ["statement", "payslip", "pan_card", "aadhaar_card"]
     m = E.identity_matrix(v, CO.identity_comparison(v, ["bundle_id"]), "bundle_id", labels)
-    return m.filter(F.col("status").isNotNull()).select("bundle_id", "field", "status", *[F.col(l).isNotNull().alias(l) for l in labels[:3]])
+    return m.filter(F.col("status").isNotNull()).select("bundle_id", "field", "status", *labels)
 
 
 @query("ev08_pack_rollup", """

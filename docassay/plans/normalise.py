@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docassay.functions import extract as X
-from docassay.functions.dates import date_shape, parse_date
+from docassay.functions.dates import date_shape, parse_date, parse_pdf_date
+from docassay.functions.hashing import hash_words, salted
 from docassay.functions.money import numbers_in, parse_money
 from docassay.functions.names import names_match
 from docassay.operators import checks as C
@@ -54,6 +55,23 @@ def nj02(spark, d):
     return t.select("k", F.coalesce(parse_date(F.col("t")).cast("string"), F.lit("")).alias("day"), date_shape(F.col("t")).alias("shape"))
 
 
+@query("nj02_pdf_dates", """
+    SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:15:30' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' WHEN 2 THEN strftime(o_orderdate, '%Y-%m') || '-01 00:00:00' ELSE '' END AS at FROM orders""")
+def nj02_pdf(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"))
+    s = F.col("k") % 4
+    text = F.when(s == 0, F.concat(F.lit("D:"), F.date_format("day", "yyyyMMdd"), F.lit("101530+05'30'"))).when(
+        s == 1, F.concat(F.lit("D:"), F.date_format("day", "yyyyMMdd"))).when(s == 2, F.concat(F.lit(" D:"), F.date_format("day", "yyyyMM"), F.lit("00"))).otherwise("someday")
+    return o.select("k", F.coalesce(F.date_format(parse_pdf_date(text), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("at"))
+
+
+@query("nj12_salted_hash_words", """
+    SELECT doc_id, printf('%016x', xor(('0x' || substr(sha256(text), 1, 16))::UBIGINT, 81985529216486895::UBIGINT)) AS w0, printf('%016x', xor(('0x' || substr(sha256(text), 49, 16))::UBIGINT, 7::UBIGINT)) AS w3 FROM documents""")
+def nj12_salted(spark, d):
+    x = table(spark, d, "documents").select("doc_id", salted(hash_words(F.sha2("text", 256)), [81985529216486895, 1, 0, 7]).alias("w"))
+    return x.select("doc_id", *[F.lower(F.lpad(F.hex(F.get("w", F.lit(i))), 16, "0")).alias(f"w{i}") for i in (0, 3)])
+
+
 _AAD = f"{_digit('aadhaar', 0)} = 0"
 
 

@@ -13,6 +13,7 @@ from docassay.operators import statement as S
 from docassay.plans.checks import _ENC, survey_values
 from docassay.plans.oracle_inputs import cte
 from docassay.plans.registry import query
+from docassay.session import durable
 from docassay.sources import adapters as A
 from docassay.sources import adapters_legal as L
 from docassay.sources.tables import table
@@ -164,7 +165,7 @@ def ru_f7b(spark, d):
 
 @query("ru_01_pack_routing", "SELECT rule_id, status, count(*) AS documents FROM financial GROUP BY 1, 2", ("financial",))
 def ru_01(spark, d):
-    return R.evaluate_financial(A.claims(spark, d), A.ledger_keys(spark, d)).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("documents"))
+    return R.evaluate_financial(durable(A.claims(spark, d)), A.ledger_keys(spark, d)).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("documents"))
 
 
 NAMES = """CASE WHEN k % 9 = 4 THEN false WHEN k % 9 = 5 THEN true ELSE true END"""
@@ -391,7 +392,7 @@ cte("claim_signal", """
 
 
 def claim_signal(spark, d, claims=None, view=None):
-    claims = A.claims(spark, d) if claims is None else claims
+    claims = durable(A.claims(spark, d)) if claims is None else claims
     keys = A.ledger_keys(spark, d)
     view = view or R.statement_view(claims)
     return R.consistency_signal(R.evaluate_financial(claims, keys, view), R.claim_scale(*view, keys))
@@ -450,7 +451,7 @@ cte("anomalies", """
 
 
 def findings(spark, d, claims=None, txns=None):
-    claims = A.claims(spark, d) if claims is None else claims
+    claims = durable(A.claims(spark, d)) if claims is None else claims
     c = claims.filter(F.col("doc_type") == "BANK_STATEMENT")
     t = K.transactions(c) if txns is None else txns
     p = K.scalars(c, ["period_start", "period_end"]).select(
