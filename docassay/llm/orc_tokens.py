@@ -15,8 +15,10 @@ any other word goes through the whole tokenizer. Both give the ids that the whol
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 from docassay.llm.tokens import pieces
 
 END = 1
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words remembered by a Python worker; a full cache is emptied and filled again.
-CACHE = 300_000
+CACHE = 800_000
 FILE_SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 #: ORC settings: rows of an index group, and a Bloom filter with few false hits on the ids.
 LAYOUT = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.compress": "ZSTD"}
-_LETTERS = re.compile("([a-zß-öø-ÿ]+)([.,]*)")
+_LETTERS = re.compile(r"""([a-zß-öø-ÿ]+)([!"#$%&()*+,./:;=?@\[\\\]^_`{|}~-]*)""")
 
 
 class WordIds(dict):
@@ -43,6 +46,7 @@ class WordIds(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.marks: dict[str, bytes] = {}
         # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -57,14 +61,29 @@ class WordIds(dict):
         if len(self) >= CACHE:
             self.clear()
         text = word.decode()
-        m = _LETTERS.fullmatch(text.lower()) if self.direct and len(text) <= 200 else None
-        if m:
-            ids = [t.id for part in m.groups() if part for t in self.model.tokenize(self._mapped(part))]
+        lower = text.lower()
+        m = _LETTERS.fullmatch(lower) if self.direct and len(text) <= 200 else None
+        if m and (m[2] or lower != text):
+            # the letters and the marks behind them are words of their own in the cache, shared by all such words
+            out = self[m[1].encode()] + (self._marks(m[2]) if m[2] else b"")
+        elif m:
+            out = self._packed(t.id for t in self.model.tokenize(text if text.isascii() else self._mapped(text)))
         else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, dtype="<u4").tobytes()
+            out = self._packed(self.whole.encode(text, add_special_tokens=False).ids)
+        self[word] = out
         return out
 
+    @staticmethod
+    def _packed(ids: Iterable[int]) -> bytes:
+        return array("I", ids).tobytes() if _LITTLE else np.array(list(ids), dtype="<u4").tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= CACHE:
+                self.marks.clear()
+            self.marks[marks] = self._packed(t.id for t in self.model.tokenize(marks))
+        return self.marks[marks]
+
     def encode(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
