@@ -31,6 +31,8 @@ SAMPLE, FEATURES = 8000, 6000
 #: Least number of documents with a feature, least separation in standard errors, weight of the absolute penalty, weight
 #: of the counterfactual penalty.
 LEAST, SEPARATION, SPARSE, COUNTERFACTUAL = 3, 2.5, 5e-4, 1.0
+#: Share of the absolute penalty that the second fit keeps.
+REFIT = 0.05
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
@@ -73,7 +75,7 @@ def _squash(z: float) -> float:
 
 def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_features: int,
         swaps: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], sparse: float = SPARSE, counterfactual: float = COUNTERFACTUAL,
-        rounds: int = 400) -> tuple[float, np.ndarray]:
+        rounds: int = 500, balanced: bool = True) -> tuple[float, np.ndarray]:
     """Intercept and weights by accelerated proximal gradient steps.
 
     ``rows, cols, vals``: the sample's features as coordinates. ``swaps``: coordinates of the feature changes of each swap
@@ -81,20 +83,22 @@ def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_f
     """
     n = max(len(y), 1)
     s_row, s_col, s_val, share = swaps
-    square = np.bincount(rows, weights=vals * vals, minlength=n)
+    square = np.bincount(rows, weights=vals * vals, minlength=n)  # the weights of the labels average one
     # the largest curvature of either part, bounded by row sums of squares
     steep = 0.25 * (square.mean() * 4 + 1) + (2 * counterfactual * float((np.bincount(s_row, weights=s_val * s_val, minlength=len(share)) * share).sum()) if len(share) else 0)
-    w, b = np.zeros(n_features), math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    # either label weighs half of the sum, so the score of a rare label is not held down by its rarity
+    each = np.where(y > 0, 0.5 * n / max(y.sum(), 1), 0.5 * n / max(n - y.sum(), 1)) if balanced else np.ones(n)
+    w, b = np.zeros(n_features), 0.0 if balanced else math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     v, c, t = w.copy(), b, 1.0
     last = math.inf
     for _ in range(rounds):
         z = c + np.bincount(rows, weights=vals * v[cols], minlength=n)
-        r = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        r = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         grad = np.bincount(cols, weights=vals * r[rows], minlength=n_features) / n
         if len(share):
             change = np.bincount(s_row, weights=s_val * v[s_col], minlength=len(share))
             grad += 2 * counterfactual * np.bincount(s_col, weights=s_val * (share * change)[s_row], minlength=n_features)
-        loss = float(np.logaddexp(0, np.where(y > 0, -z, z)).mean())
+        loss = float((each * np.logaddexp(0, np.where(y > 0, -z, z))).mean())
         if loss > last + 1e-9:  # the step was too long, or the momentum overshot
             steep, v, c, t = steep * 1.3, w.copy(), b, 1.0
             last = math.inf
@@ -161,7 +165,12 @@ def train(labelled: DataFrame, identity: dict[str, list[str]] = IDENTITY, counte
     cols = np.array(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
     vals = np.array(table.column("vals").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
     y = table.column("toxic").to_numpy().astype(np.float64)
-    b, w = fit(rows, cols, vals, y, len(names), swap_changes(table.column("said").to_pylist(), identity, place), counterfactual=counterfactual)
+    swaps = swap_changes(table.column("said").to_pylist(), identity, place)
+    _, chosen_w = fit(rows, cols, vals, y, len(names), swaps, counterfactual=counterfactual)
+    # the penalty that chooses features also shrinks them; the chosen ones are fitted once more with little of it
+    kept = chosen_w != 0
+    on, change = kept[cols], kept[swaps[1]] if len(swaps[1]) else np.zeros(0, dtype=bool)
+    b, w = fit(rows[on], cols[on], vals[on], y, len(names), (swaps[0][change], swaps[1][change], swaps[2][change], swaps[3]), SPARSE * REFIT, counterfactual)
     return Model(float(b), {f: float(x) for f, x in zip(names, w) if x != 0})
 
 
