@@ -59,9 +59,9 @@ def block_variants(rows: DataFrame, width: Callable[[Column], Column]) -> DataFr
                        F.substr("r", F.col("at") + 1, F.col("n") - F.col("at") - F.col("tail")).alias("r"), *rest)
 
 
-def _meeting(rows: DataFrame, by: str) -> DataFrame:
+def _meeting(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     """The keys that rows with different ``by`` share."""
-    return rows.groupBy("h", "k").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo < hi").select("h", "k")
+    return rows.groupBy(*key).agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo < hi").select(*key)
 
 
 def _root(lines: DataFrame, *keep: str) -> DataFrame:
@@ -70,32 +70,35 @@ def _root(lines: DataFrame, *keep: str) -> DataFrame:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """``line, ord, earlier``: distinct lines with the earliest line within one edit of them, where that is before them."""
-    named = lines.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(7), "line"))
-    first = block_variants(_root(named, "a", "b"), _half)
-    shared = durable(_meeting(first.drop("r"), "a"))
-    survivors = durable(first.select("h", "k", "a", "b").join(shared, ["h", "k"], "left_semi").select("a", "b").distinct())
+    named = lines.withColumn("a", F.xxhash64("line"))
+    # the first step only chooses lines to look at, so single 64-bit hashes do: a clash adds a line, and loses none
+    first = block_variants(_root(named, "a"), _half).select("h", "a")
+    shared = durable(_meeting(first, ["h"], "a"))
+    survivors = durable(first.join(shared, "h", "left_semi").select("a").distinct())
     survivors = F.broadcast(survivors) if survivors.count() <= SMALL else survivors
-    some = durable(named.join(survivors, ["a", "b"], "left_semi").groupBy("line").agg(F.min("ord").alias("ord")))
-    rows = _root(some, "ord")
+    some = named.join(survivors, "a", "left_semi").groupBy("line").agg(F.min("ord").alias("ord"))
+    # short numbers in the order of ``ord``; the written table fixes them
+    some = durable(some.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("id", F.monotonically_increasing_id()))
+    rows = _root(some, "id")
     for width in (_half, _small_block):
         rows = block_variants(rows, width)
-        rows = durable(rows.join(_meeting(rows, "ord"), ["h", "k"], "left_semi"))
+        rows = durable(rows.join(_meeting(rows, ["h", "k"], "id"), ["h", "k"], "left_semi"))
     place = F.sequence(F.lit(1), F.length("r"))
     cut = F.filter(F.transform(place, lambda i: F.struct(i.alias("i"), F.concat(F.substr("r", F.lit(1), i - 1), F.substr("r", i + 1, F.length("r"))).alias("v"))),
                    lambda s: F.length("r") > 0)
-    variants = rows.select("h", "k", "ord", F.explode(F.concat(cut, F.array(F.struct(F.lit(0).alias("i"), F.col("r").alias("v"))))).alias("s")).select(
-        "ord", "s.i", F.xxhash64("h", "k", "s.v").alias("h"), F.xxhash64(F.lit(7), "h", "k", "s.v").alias("k"))
+    variants = rows.select("h", "k", "id", F.explode(F.concat(cut, F.array(F.struct(F.lit(0).alias("i"), F.col("r").alias("v"))))).alias("s")).select(
+        "id", "s.i", F.xxhash64("h", "k", "s.v").alias("h"), F.xxhash64(F.lit(7), "h", "k", "s.v").alias("k"))
     variants = durable(variants.distinct())
     # i = 0: the line itself; the others lost their i-th character
-    same_place = variants.filter("i > 0").groupBy("h", "k", "i").agg(F.min("ord").alias("earlier"), F.max("ord").alias("last")).filter("earlier < last").drop("last")
-    star = variants.groupBy("h", "k").agg(F.min(F.when(F.col("i") == 0, F.col("ord"))).alias("centre"), F.min(F.when(F.col("i") > 0, F.col("ord"))).alias("leaf"),
-                                          F.max(F.when(F.col("i") > 0, F.col("ord"))).alias("last_leaf")).filter("centre < last_leaf or leaf < centre")
-    pairs = variants.join(same_place, ["h", "k", "i"]).select("ord", "earlier").unionByName(
-        variants.join(star, ["h", "k"]).select("ord", F.when(F.col("i") == 0, F.col("leaf")).otherwise(F.col("centre")).alias("earlier")))
-    pairs = pairs.filter("earlier < ord").distinct()
-    checked = pairs.join(some.select("ord", "line"), "ord").join(some.select(F.col("ord").alias("earlier"), F.col("line").alias("other")), "earlier").filter(
-        F.levenshtein("line", "other", 1) >= 0)
-    return checked.groupBy("line", "ord").agg(F.min("earlier").alias("earlier"))
+    same_place = variants.filter("i > 0").groupBy("h", "k", "i").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).filter("earlier < last").drop("last")
+    star = variants.groupBy("h", "k").agg(F.min(F.when(F.col("i") == 0, F.col("id"))).alias("centre"), F.min(F.when(F.col("i") > 0, F.col("id"))).alias("leaf"),
+                                          F.max(F.when(F.col("i") > 0, F.col("id"))).alias("last_leaf")).filter("centre < last_leaf or leaf < centre")
+    pairs = variants.join(same_place, ["h", "k", "i"]).select("id", "earlier").unionByName(
+        variants.join(star, ["h", "k"]).select("id", F.when(F.col("i") == 0, F.col("leaf")).otherwise(F.col("centre")).alias("earlier")))
+    pairs = pairs.filter("earlier < id").distinct()
+    before = some.select(F.col("id").alias("earlier"), F.col("line").alias("other"), F.col("ord").alias("other_ord"))
+    checked = pairs.join(some, "id").join(before, "earlier").filter(F.levenshtein("line", "other", 1) >= 0)
+    return checked.groupBy("line", "ord").agg(F.min("other_ord").alias("earlier"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
