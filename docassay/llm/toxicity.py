@@ -36,6 +36,8 @@ REFIT = 0.05
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
+#: Documents of which the features are held as Python objects at once.
+ROWS = 64
 #: Identity terms by group; the first of each group is the neutral one.
 IDENTITY = {
     "gender": ["person", "woman", "women", "man", "men", "girl", "boy", "female", "male", "transgender"],
@@ -119,18 +121,21 @@ def train(labelled: DataFrame, identity: dict[str, list[str]] = IDENTITY, counte
     terms = {t for group in identity.values() for t in group}
     known = labelled.filter("toxic is not null").select(
         "doc_id", F.col("text").cast("string").alias("text"), (F.col("toxic") == 1).cast("int").alias("toxic"))
-    chosen = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    # ids are chosen first: a limit on whole rows would gather their texts in one task
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = durable(known.join(F.broadcast(ids), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
-            for text in batch.column(1).to_pylist():
-                found: dict[str, int] = {}
-                for w in distinct_words(text):
-                    for f in features(w):
-                        found[f] = found.get(f, 0) + 1
-                counts.append(list(found.items()))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "features"])
+            for at in range(0, batch.num_rows, ROWS):
+                part, counts = batch.slice(at, ROWS), []
+                for text in part.column(1).to_pylist():
+                    found: dict[str, int] = {}
+                    for w in distinct_words(text):
+                        for f in features(w):
+                            found[f] = found.get(f, 0) + 1
+                    counts.append(list(found.items()))
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(counts, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "features"])
 
     bags = durable(chosen.mapInArrow(run, "doc_id bigint, toxic int, features map<string,int>"))
     totals = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -145,18 +150,19 @@ def train(labelled: DataFrame, identity: dict[str, list[str]] = IDENTITY, counte
     vocabulary = each.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).withColumn("gap", gap).filter(
         named | (F.col("df") >= LEAST) & (F.col("gap") >= SEPARATION)).orderBy(named.desc(), F.desc("gap"), "feature").limit(FEATURES)
     names = [r["feature"] for r in vocabulary.select("feature").collect()]
-    place = {f: i for i, f in enumerate(names)}
+    place, spoken = {f: i for i, f in enumerate(names)}, {"=" + t for t in terms}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols, vals, said = [], [], []
-            for bag in batch.column(1).to_pylist():
-                here = [(place[f], n) for f, n in bag if f in place]
-                cols.append([c for c, _ in here])
-                vals.append([v for _, v in here])
-                said.append([t for t in terms if any(f == "=" + t for f, _ in bag)] if terms else [])
-            yield pa.record_batch([batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.string()))],
-                                  ["toxic", "cols", "vals", "said"])
+            for at in range(0, batch.num_rows, ROWS):
+                part, cols, vals, said = batch.slice(at, ROWS), [], [], []
+                for bag in part.column(1).to_pylist():
+                    here = [(place[f], n) for f, n in bag if f in place]
+                    cols.append([c for c, _ in here])
+                    vals.append([v for _, v in here])
+                    said.append([f[1:] for f, _ in bag if f in spoken])
+                yield pa.record_batch([part.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.string()))],
+                                      ["toxic", "cols", "vals", "said"])
 
     table = bags.select("toxic", "features").mapInArrow(pick, "toxic int, cols array<int>, vals array<int>, said array<string>").toArrow()
     lists = table.column("cols").combine_chunks()
