@@ -1,17 +1,17 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of each text; a chunk ends where its high bits are zero, so cuts depend on the last 32
-bytes alone and find themselves again behind any insertion. Chunks of all documents are grouped by digest. A chunk that a
-document with a smaller id also holds is a copy; copies that follow each other make a repeated passage, reported once its
-words reach a bound, so that a common short line is left alone.
-
-Each task rolls the hash over whole texts with array operations. Only digests and places are shuffled: once into a
-pre-aggregated table of the digests that several documents hold, and once to find the copies.
+A gear hash rolls over the bytes of each text. Of any ``NEAR`` ends of words that follow each other, the one with the
+smallest hash ends a chunk (the last one on ties), so cuts depend on nearby bytes alone and find themselves again behind
+any insertion. The ``SEED`` words before a cut are its seed. Any ``SURE`` = 51 words of a text hold a seed whole, and hold
+the same one wherever they occur, so every passage of more than 50 words has a seed in common with its copies.
+
+Seeds of all documents are grouped by digest. Only documents with a seed that another document holds are read again:
+around such seeds every window of ``LEAST_WORDS`` words is hashed, byte for byte, and a window that a document with a
+smaller id holds is a copy. Copies that touch make a repeated passage, which thus reaches as far as whole words agree.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm.tokens import pieces, seeds
+from docassay.llm.tokens import _BYTE, _GOLD, _SPACE, _power_tables, mix, seeds
 from docassay.session import durable
 
-#: Shortest chunk, cut mask (one place in 32 beyond it), longest chunk, in bytes.
-SHORTEST, MASK_BITS, LONGEST = 16, 5, 512
-#: Words that a run of copied chunks needs to be reported.
+#: Words of a seed (with blanks at least the 32 bytes the gear hash sees), words of a passage that surely holds one.
+SEED, SURE = 17, 51
+#: Places of which one is a cut, and the longest chunk in bytes.
+NEAR, LONGEST = SURE - SEED + 1, 512
+#: Words that a run of copied windows needs to be reported.
 LEAST_WORDS = 24
 _GEAR = (seeds(256, 1234) >> np.uint64(32)).astype(np.uint32)
 
@@ -37,59 +39,123 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of bytes without white space."""
+    space = np.concatenate(([True], _SPACE[raw], [True]))
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
+def places(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First words of the seeds, in order."""
+    n = len(ends) - SEED + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    h = gear(raw)[ends[SEED - 1:] - 1]
+    wide = min(NEAR, n)
+    # the last of equal minima is the first one from behind
+    behind = np.lib.stride_tricks.sliding_window_view(h[::-1], wide).argmin(axis=1) + np.arange(n - wide + 1)
+    return np.unique(n - 1 - behind)
+
+
 def cuts(text: bytes) -> list[int]:
     """Ends of the chunks of a text."""
     n = len(text)
     if not n:
         return []
-    places = np.flatnonzero(gear(np.frombuffer(text, dtype=np.uint8)) >> np.uint32(32 - MASK_BITS) == 0) + 1
+    raw = np.frombuffer(text, dtype=np.uint8)
+    ends = words(raw)[1]
     out, last = [], 0
-    for p in [*places.tolist(), n]:
+    for p in [*ends[places(raw, ends) + SEED - 1].tolist(), n]:
         while p - last > LONGEST:
             last += LONGEST
             out.append(last)
-        if p - last >= SHORTEST or p == n and p > last:
+        if p > last:
             out.append(p)
             last = p
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, start, size, words, digest`` of every chunk of every text; ``digest`` is 64 bits of BLAKE2b."""
-    schema = "doc_id bigint, place int, start int, size int, words int, digest bigint"
+def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each range of bytes: a polynomial as a difference of running sums."""
+    power, inverse = _power_tables(len(raw))
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64)))
+        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_GOLD)).view(np.int64)
+
+
+def chunk_seeds(docs: DataFrame) -> DataFrame:
+    """``doc_id, tid, word, digest`` of every seed of every text; ``word`` is the place of its first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, tid, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())):
+                raw = np.frombuffer(text.as_py() or b"", dtype=np.uint8)
+                starts, ends = words(raw)
+                at = places(raw, ends)
+                if len(at):
+                    digest = _digests(raw, starts[at], ends[at + SEED - 1])
+                    yield pa.record_batch([pa.repeat(doc, len(at)), pa.repeat(tid, len(at)), pa.array(at.astype(np.int32)), pa.array(digest)], ["doc_id", "tid", "word", "digest"])
+
+    return docs.mapInArrow(run, "doc_id bigint, tid bigint, word int, digest bigint")
+
+
+def windows(docs: DataFrame, least_words: int) -> DataFrame:
+    """``doc_id, tid, word, start, size, before, whole, digest`` of the windows of ``least_words`` words that lie with one
+    of the seeds in ``at`` inside ``SURE`` words; ``before`` and ``whole`` number the chunks that start before the window
+    and that end with it or earlier."""
+    reach = max(SURE, least_words)
+    schema = "doc_id bigint, tid bigint, word int, start int, size int, before int, whole int, digest bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for piece in pieces(texts):
-                cols: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, text in zip(ids[piece], texts[piece]):
-                    start = 0
-                    for place, end in enumerate(cuts(text or b"")):
-                        chunk = text[start:end]
-                        for c, v in zip(cols, (doc, place, start, end - start, chunk.count(b" ") + chunk.count(b"\n"),
-                                               int.from_bytes(hashlib.blake2b(chunk, digest_size=8).digest(), "little", signed=True))):
-                            c.append(v)
-                        start = end
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "place", "start", "size", "words", "digest"])
-
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+            for doc, tid, text, at in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()):
+                text = text.as_py()
+                raw = np.frombuffer(text, dtype=np.uint8)
+                starts, ends = words(raw)
+                n = len(starts) - least_words + 1
+                if n < 1:
+                    continue
+                near, at = np.zeros(n + 1, dtype=np.int64), np.array(at)
+                np.add.at(near, np.clip(at + SEED - reach, 0, n), 1)
+                np.add.at(near, np.clip(at + reach - least_words + 1, 0, n), -1)
+                w = np.flatnonzero(np.cumsum(near)[:n] > 0)
+                a, b = starts[w], ends[w + least_words - 1]
+                edges = np.array([0, *cuts(text)])
+                digest = _digests(raw, a, b)
+                cols = [w, a, b - a, np.searchsorted(edges[:-1], a), np.searchsorted(edges[1:], b, "right")]
+                for i in range(0, len(w), 1 << 16):
+                    part = [pa.array(c[i:i + (1 << 16)].astype(np.int32)) for c in cols]
+                    yield pa.record_batch([pa.repeat(doc, len(part[0])), pa.repeat(tid, len(part[0])), *part, pa.array(digest[i:i + (1 << 16)])],
+                                          ["doc_id", "tid", "word", "start", "size", "before", "whole", "digest"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _shared(df: DataFrame) -> DataFrame:
+    """Digests that several documents hold, with the smallest id."""
+    return df.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).filter("first < other").drop("other")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, start, end, n_words, n_chunks, first_doc_id``: passages that a document shares with one of a smaller id.
 
     ``start`` and ``end`` are byte places in UTF-8; removing them leaves every passage once, in ``first_doc_id`` (the
-    smallest id over the passage's chunks). Defined cases: null ids and null or empty texts give nothing; rows that share
-    an id are one document, so what only they share is not reported; an empty table gives an empty table.
+    smallest id over the passage's windows). Words are what white space separates, and ``n_chunks`` counts the chunks that
+    lie whole in the passage. Every passage of more than 50 words is found whole; of shorter ones, from ``least_words``
+    words on, those that hold a seed. Defined cases: null ids and null or empty texts give nothing; rows that share an id
+    are one document, so what only they share is not reported; an empty table gives an empty table.
     """
-    all_chunks = durable(chunks(docs))
-    shared = all_chunks.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).filter("first < other").drop("other")
-    copies = all_chunks.join(shared, ["digest", "size"]).filter("doc_id > first").select("doc_id", "place", "start", "size", "words", "first").distinct()
-    # runs of neighbouring copies: the place less its rank stays the same along a run
-    along = Window.partitionBy("doc_id").orderBy("place", "start")
-    runs = copies.withColumn("island", F.col("place") - F.dense_rank().over(along)).groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"), F.min("first").alias("first_doc_id"))
-    return runs.filter(F.col("n_words") >= least_words).select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id")
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    all_seeds = durable(chunk_seeds(texts))
+    near = all_seeds.join(_shared(all_seeds), "digest").groupBy("doc_id", "tid").agg(F.collect_set("word").alias("at"))
+    near = texts.join(near, ["doc_id", "tid"]).select("doc_id", "tid", "text", "at")
+    all_windows = durable(windows(near, least_words))
+    copies = all_windows.join(_shared(all_windows), "digest").filter("doc_id > first")
+    # windows that touch belong to one passage
+    along = Window.partitionBy("doc_id", "tid").orderBy("word")
+    apart = F.coalesce(F.col("word") - F.lag("word").over(along) > least_words, F.lit(False)).cast("int")
+    runs = copies.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along)).groupBy("doc_id", "tid", "island").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), (F.max("word") - F.min("word") + least_words).cast("bigint").alias("n_words"),
+        F.greatest(F.max("whole") - F.min("before"), F.lit(0)).cast("bigint").alias("n_chunks"), F.min("first").alias("first_doc_id"))
+    return runs.select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id")

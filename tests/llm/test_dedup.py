@@ -155,6 +155,21 @@ def test_passages_are_found_behind_insertions(documents):
     assert chunks.repeated_passages(documents([])).count() == 0
 
 
+def test_passages_of_51_words_are_found_whole(documents):
+    rng = random.Random(6)
+    docs, where = [], {}
+    for i in range(150):
+        # one-letter words and tabs as well
+        passage = text(rng, 51).split() if i % 3 else [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51)]
+        passage = ("\t" if i % 2 else " ").join(passage)
+        for doc in (i, 1000 + i):
+            lead = text(rng, rng.randrange(1, 60)) + f" {doc}l "
+            docs.append((doc, f"{lead}{passage} {doc}r " + text(rng, rng.randrange(1, 60))))
+            where[doc] = (len(lead), len(lead) + len(passage), 51, doc % 1000)
+    found = {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["first_doc_id"]) for r in chunks.repeated_passages(documents(docs)).collect()}
+    assert found == {doc: v for doc, v in where.items() if doc >= 1000}
+
+
 def test_cuts_cover_the_text():
     rng = random.Random(1)
     for t in (b"", b"a", b"z" * 5000, text(rng, 500).encode()):
