@@ -1,8 +1,9 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Patterns find mail addresses, phone, card and social-security numbers, IP addresses and names behind a title or a known
-given name. What identifies an entity is its canonical form (lower case, digits only, the name without its title), so all
-its mentions in all documents get one surrogate. Surrogates come from a keyed digest: digits for digits, letters for
+given name, with any number of further given names, initials, particles and capitalised words. What identifies an entity
+is its canonical form (lower case, digits only, each word of a surname), so all its mentions in all documents get one
+surrogate: "Smith" is one entity in "Mr. John Smith", "Mrs Smith" and "Mr J. Smith". Surrogates come from a keyed digest: digits for digits, letters for
 letters of the same script, address parts in range, card numbers with a valid check digit where the original has one,
 given names of the same gender and script, Slavic surnames with the ending of the title's gender. They are rendered in
 each mention's own format and case.
@@ -31,13 +32,21 @@ GIVEN = {("latin", "f"): ["Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "M
          ("cyrillic", "m"): ["Антон", "Борис", "Иван", "Максим", "Павел", "Сергей"]}
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_PARTICLES = "van von vom zu zur der den ten ter de del della di da do dos das du la las le los el al bin ibn".split()
+#: Letters of a name; initials; a word of a surname, and one that follows another, which is no title.
+_IN = r"[\p{L}\p{M}'’-]"
+_INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}"
+_BETWEEN = rf"(?:(?:{_INITIAL}|{'|'.join(_PARTICLES)}) )*+"
+_WORD = rf"\p{{Lu}}{_IN}+"
+#: What follows a title or given name. Possessive, so that long runs of capitalised words need no stack.
+_REST = rf"{_BETWEEN}{_WORD}(?: {_BETWEEN}(?!(?:{_TITLE})(?!{_LETTER})){_WORD})*+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "name": rf"(?<!{_LETTER})(?:(?:{_TITLE})\.? |(?:{_GIVEN}) )\p{{Lu}}[{_LETTER}'-]+",
+    "name": rf"(?<!{_LETTER})(?:(?:(?:{_TITLE})\.? )+|(?:{_GIVEN}) ){_REST}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with an entity contains.
@@ -63,14 +72,47 @@ def script(s: Column) -> Column:
     return F.when(s.rlike(r"\p{IsCyrillic}"), "cyrillic").when(s.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _parts(df: DataFrame) -> DataFrame:
-    """Adds ``kind``, ``canonical`` and, for names, the words before (``lead``) and the name proper (``proper``)."""
-    raw, k = F.col("raw"), F.col("kind")
-    df = df.withColumn("kind", kind(raw)).withColumn("lead", F.when(k == "name", F.regexp_extract(raw, rf"^(\S+) ", 1)))
-    df = df.withColumn("proper", F.when(k == "name", F.regexp_extract(raw, r"^\S+ (.*)$", 1)))
-    # Slavic surnames of a man and a woman of one family differ in the ending
-    stem = F.when(script(F.col("proper")) == "cyrillic", F.regexp_replace(F.lower("proper"), "(ов|ев|ин)а?$", "")).otherwise(F.lower("proper"))
-    return df.withColumn("canonical", F.when(k == "name", stem).when(k == "email", F.lower(raw)).when(k == "ip", raw).otherwise(F.regexp_replace(raw, "[^0-9]", "")))
+def _stem(word: Column) -> Column:
+    """What identifies a word of a surname. Slavic surnames of a man and a woman of one family differ in the ending."""
+    return F.when(script(word) == "cyrillic", F.regexp_replace(F.lower(word), "(ов|ев|ин)а?$", "")).otherwise(F.lower(word))
+
+
+def _forename(word: Column, person: Column, key: str) -> Column:
+    """A title or particle as it is; given names and initials follow the person, so mentions of one keep one given name."""
+    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), person, word), 256), 1, 8), 16, 10).cast("bigint")
+    out = word
+    for names in GIVEN.values():
+        out = F.when(word.isin(names), F.element_at(F.array(*[F.lit(x) for x in names]), (number % len(names) + 1).cast("int"))).otherwise(out)
+    letters = F.when(script(word) == "cyrillic", "АБВГДЕЖЗИКЛМНОПРСТУФХ").when(script(word) == "greek", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    # each letter moves by a number of places that is not 0
+    initials = F.array_join(F.transform(F.split(word, ""), lambda c: F.when(c.rlike(r"\p{Lu}"), F.substr(
+        letters, ((F.greatest(F.instr(letters, c), F.lit(1)) + number % (F.length(letters) - 1)) % F.length(letters) + 1).cast("int"), F.lit(1))).otherwise(c)), "")
+    return F.when(word.rlike(rf"^(?:{_INITIAL})$"), initials).otherwise(out)
+
+
+def _parts(df: DataFrame, key: str = "") -> DataFrame:
+    """Adds ``kind``, ``part``, ``before``, ``proper`` and ``canonical``.
+
+    A mention is one row, a name of more than two words one for each of its words, numbered by ``part``. ``before`` is what
+    to show before the surname's word ``proper``; a word that is none has it all in ``before`` and no ``canonical``. ``lead``
+    is the first word of a name.
+    """
+    raw, k, n, word = F.col("raw"), F.col("kind"), F.col("_n"), F.col("word")
+    words = F.split(raw, " ")
+    df = df.withColumn("kind", kind(raw))
+    one = F.array(F.struct(F.lit(0).alias("part"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("word")))
+    two = F.array(F.struct(F.lit(0).alias("part"), F.regexp_extract(raw, r"^(\S+) ", 1).alias("first"), F.regexp_extract(raw, r"^\S+ (.*)$", 1).alias("word")))
+    more = F.transform(words, lambda w, i: F.struct(i.alias("part"), F.lit(None).cast("string").alias("first"), w.alias("word")))
+    df = df.withColumn("lead", F.when(k == "name", F.regexp_extract(raw, r"^(\S+) ", 1))).withColumn("_last", F.when(k == "name", F.regexp_extract(raw, r"(\S+)$", 1)))
+    df = df.withColumn("_n", F.when(k == "name", F.size(words))).withColumn("_part", F.explode(F.when(k != "name", one).when(raw.rlike(r"^\S+ \S+$"), two).otherwise(more)))
+    df = df.select("*", "_part.*").drop("_part")
+    fixed = [x for names in GIVEN.values() for x in names] + _PARTICLES
+    surname = F.col("first").isNotNull() | (F.col("part") == n - 1) | ~(word.isin(fixed) | word.rlike(rf"^(?:{_INITIAL})$|^(?:{_TITLE})\.?$"))
+    person, blank = _stem(F.col("_last")), F.when(F.col("part") > 0, " ").otherwise("")
+    df = df.withColumn("before", F.when(k != "name", None).when(F.col("first").isNotNull(), F.concat(_forename(F.col("first"), person, key), F.lit(" "))).when(
+        surname, blank).otherwise(F.concat(blank, _forename(word, person, key)))).withColumn("proper", F.when((k == "name") & surname, word))
+    df = df.withColumn("canonical", F.when(k == "name", _stem(F.col("proper"))).when(k == "email", F.lower(raw)).when(k == "ip", raw).otherwise(F.regexp_replace(raw, "[^0-9]", "")))
+    return df.drop("_n", "_last", "first", "word")
 
 
 def _stream(key: str, length: Column) -> Column:
@@ -132,7 +174,7 @@ def draw(entities_: DataFrame, key: str) -> DataFrame:
 def mapping(found: DataFrame, key: str) -> DataFrame:
     """``kind, canonical, surrogate`` of all distinct entities, surrogates distinct within a kind and, as long as draws
     allow, none of them an entity itself."""
-    known = durable(found.select("kind", "canonical").distinct())
+    known = durable(found.filter("canonical is not null").select("kind", "canonical").distinct())
     settled, waiting, at = None, known.withColumn("draw", F.lit(0)), 0
     while True:
         drawn = durable(draw(waiting, key))
@@ -165,11 +207,7 @@ def _rendered() -> Column:
     female = F.regexp_replace("lead", r"\.$", "").isin(TITLES["f"] + [x for (_, g), names in GIVEN.items() if g == "f" for x in names])
     proper = F.when(script(F.col("proper")) == "cyrillic", F.concat(s, F.when(F.col("proper").rlike("[а-я](ова|ева|ина|ов|ев|ин)$"), F.when(female, "ова").otherwise("ов")).otherwise(""))).otherwise(s)
     proper = F.when(F.col("proper") == F.upper("proper"), F.upper(proper)).otherwise(F.concat(F.upper(F.substr(proper, F.lit(1), F.lit(1))), F.substr(proper, F.lit(2), F.length(proper))))
-    lead = F.col("lead")
-    for names in GIVEN.values():
-        # a given name follows the person's surrogate, so mentions of one person keep one given name
-        lead = F.when(F.col("lead").isin(names), F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.xxhash64("surrogate", "lead"), F.lit(len(names))) + 1).cast("int"))).otherwise(lead)
-    return F.when(k == "name", F.concat(lead, F.lit(" "), proper)).when(k == "email", mail).when(k == "ip", s).otherwise(numbers)
+    return F.when(k == "name", F.concat(F.col("before"), proper)).when(k == "email", mail).when(k == "ip", s).otherwise(numbers)
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
@@ -184,14 +222,17 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     names = F.when(hinted, entities(F.col("text")))
     found = keyed.filter(hinted).select("_id", "_tid", F.posexplode(names).alias("place", "raw")).distinct()
-    found = durable(_parts(found))
-    replaced = found.join(mapping(found, key), ["kind", "canonical"]).withColumn("shown", _rendered())
-    per_doc = replaced.groupBy("_id", "_tid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "shown"))), lambda x: x["shown"]).alias("_shown"),
-                                                  *[F.sum((F.col("kind") == k).cast("bigint")).alias(f"n_{k}") for k in PATTERNS])
+    found = durable(_parts(found, key))
+    replaced = found.join(mapping(found, key), ["kind", "canonical"]).withColumn("shown", _rendered()).select("_id", "_tid", "kind", "place", "part", "shown")
+    replaced = replaced.unionByName(found.filter("canonical is null").select("_id", "_tid", "kind", "place", "part", F.col("before").alias("shown")))
+    per_doc = replaced.groupBy("_id", "_tid").agg(F.sort_array(F.collect_list(F.struct("place", "part", "shown"))).alias("_shown"),
+                                                  *[F.sum(((F.col("kind") == k) & (F.col("part") == 0)).cast("bigint")).alias(f"n_{k}") for k in PATTERNS])
     per_doc = durable(per_doc)
     has = hinted & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    pieces = F.split("text", ANY, -1)
-    rebuilt = F.array_join(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.concat(F.element_at(pieces, i), F.coalesce(F.get("_shown", i - 1), F.lit("")))), "")
-    changed = keyed.filter(has).join(per_doc, ["_id", "_tid"]).withColumn("text", rebuilt).select(*kept, *counts)
+    # split before the join, so that it is not done again for each piece
+    split = keyed.filter(has).withColumn("text", F.split("text", ANY, -1))
+    # the text before a mention comes with its first part
+    rebuilt = F.concat(F.array_join(F.transform("_shown", lambda x: F.concat(F.when(x["part"] == 0, F.get("text", x["place"])).otherwise(F.lit("")), x["shown"])), ""), F.element_at("text", -1))
+    changed = split.join(per_doc, ["_id", "_tid"]).withColumn("text", rebuilt).select(*kept, *counts)
     plain = keyed.filter(~has).select(*kept, *[F.lit(0).cast("bigint").alias(c) for c in counts])
     return plain.unionByName(changed)

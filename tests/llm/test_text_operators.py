@@ -189,6 +189,21 @@ def test_surrogates(documents):
     assert other[1] != one and pii.surrogates(documents([]), "k").count() == 0
 
 
+def test_surrogates_of_full_names(documents):
+    t = ("Mr. John Smith, Mrs Smith, Mr J. Smith; Dr. Anna Schmidt, Maria Garcia Lopez, Frau Lopez, Prof. Dr. Peter van der Berg, Anna M. Berg-Adler, "
+         "Mr. O’Brien, Господин Иван Петрович Сидоров, Госпожа Сидорова, Mr. " + "Word " * 3000 + "end")
+    got = pii.surrogates(documents([(1, t)], clash=("part", "before", "proper", "lead")), "k").collect()[0]
+    out = got["text"]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+), Mrs (\w+), Mr ([A-Z])\. (\w+); Dr\. (\w+) (\w+), (\w+) (\w+) (\w+), Frau (\w+), Prof\. Dr\. (\w+) van der (\w+), "
+                     r"(\w+) ([A-Z])\. (\w+), Mr\. (\w+), Господин (\w+) (\w+) (\w+)ов, Госпожа (\w+)ова, Mr\. ((?:\w+ )+)end", out)
+    assert m and m[2] == m[3] == m[5] and m[10] == m[11] and m[20] == m[21] and m[4] != "J" and m[15] != "M"
+    assert m[1] in pii.GIVEN["latin", "m"] and {m[6], m[8], m[14]} <= set(pii.GIVEN["latin", "f"]) and m[18] in pii.GIVEN["cyrillic", "m"]
+    assert len(set(m[22].split())) == 1 and len(m[22].split()) == 3000
+    for x in ("Smith", "Schmidt", "Garcia", "Lopez", "Peter", "Berg", "Adler", "Brien", "Петрович", "Сидор", "Word"):
+        assert x not in out
+    assert got["n_name"] == 12
+
+
 def test_surrogates_stay_distinct_in_a_full_space(documents):
     docs = [(i, f"at {i % 10}.{i // 10}.0.0 and {i}.1.1.1") for i in range(100)]
     found = pii._parts(documents(docs).selectExpr("explode(array(regexp_extract(text, 'at (\\\\S+)', 1), regexp_extract(text, 'and (\\\\S+)', 1))) AS raw"))
