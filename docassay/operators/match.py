@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from docassay.rulebook import (
     HAMMING_THRESHOLD, MAX_SPREAD, MIN_CLUSTER, MIN_DOMINANT, MIN_OFFSET_PX, MIN_PAIR_DISTANCE_PX, OFFSET_BIN_PX,
     RATIO_TEST, TEMPLATE_MIN_GOOD, TEMPLATE_MIN_RATIO, TEMPLATE_NO_MATCH,
 )
+from docassay.session import durable
 
 _BITS = 256
 
@@ -97,52 +99,58 @@ def resubmission_signal(queries: DataFrame, matches: DataFrame, threshold: int =
                     F.when(F.col("distance").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.round(0.8 + 0.2 * near, 6))).alias("suspicion"))
 
 
-MAX_LIBRARY = 200_000  # descriptors a task can hold (about 100 MB at 64 floats)
+BLOCK = 2048  # descriptors of a block (1 MB at 64 doubles)
+
+
+def _blocks(df: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` dealt by hash into blocks: ``name`` (its number) and ``name_rows``."""
+    n = -(-df.count() // BLOCK) or 1
+    number = F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    return df.groupBy(number.alias(name)).agg(F.collect_list(F.struct(*df.columns)).alias(f"{name}_rows"))
 
 
 def template_scores(vectors: DataFrame, library: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Good matches of each document against each template: best distance < 0.75 x second best.
 
-    The library is a reference set. Its size is checked; up to ``MAX_LIBRARY`` descriptors it travels to the tasks and
-    the vectors stream past it in Arrow batches. A larger one is taken in slices of whole templates, one pass each.
+    Vectors and library are cut into hashed blocks, and every block of one meets every block of the other in a task of its
+    own. A pair of blocks gives the two best distances of each vector to each template it holds a part of; those of a
+    template's parts are put together afterwards. Neither side passes through the driver, and no template has to fit a task.
+    Templates of fewer than two descriptors have no second best and are left out.
     """
-    sizes = library.groupBy("template").agg(F.count(F.lit(1)).alias("n")).orderBy("template").toLocalIterator()
-    slices: list[list[str]] = [[]]
-    room, counts = MAX_LIBRARY, {}
-    for r in sizes:
-        counts[r["template"]] = r["n"]
-        if r["n"] > room and slices[-1]:
-            slices.append([])
-            room = MAX_LIBRARY
-        slices[-1].append(r["template"])
-        room -= r["n"]
     n_doc = vectors.groupBy(doc).agg(F.count(F.lit(1)).alias("n_query"))
-    out = None
-    for names in slices:
-        lib = library.filter(F.col("template").isin(names)).select("template", "embedding").toPandas()
-        blocks = [(t, np.stack(g.embedding.to_numpy()).astype(np.float64)) for t, g in lib.groupby("template", sort=True)]
-
-        def score(batches: Iterator[pd.DataFrame], blocks=blocks) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if b.empty:
-                    continue
-                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                for t, y in blocks:
-                    if len(y) < 2:
-                        continue
+    n_lib = library.groupBy("template").agg(F.count(F.lit(1)).alias("n_template")).filter("n_template >= 2")
+    # equal vectors of a document are one row with their number; equal descriptors of a template stay apart
+    v = _blocks(vectors.groupBy(doc, "embedding").agg(F.count(F.lit(1)).alias("copies")), "vb")
+    lib = _blocks(library.join(n_lib.select("template"), "template", "left_semi").select("template", "embedding"), "lb")
+    kind = vectors.schema[doc].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vb, xs, ys in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.array([r["embedding"] for r in xs], dtype=np.float64)
+                parts: dict[str, list] = {}
+                for r in ys:
+                    parts.setdefault(r["template"], []).append(r["embedding"])
+                for t, rows in parts.items():
+                    y = np.array(rows, dtype=np.float64)
                     two = np.full((len(x), 2), np.inf)
                     for at in range(0, len(y), 64):  # differences in one form whatever the size, a few templates rows at a time
-                        d = np.sqrt(((x[:, None, :] - y[None, at:at + 64, :]) ** 2).sum(2))
-                        two = np.sort(np.concatenate((two, d), axis=1), axis=1)[:, :2]
-                    good = two[:, 0] < RATIO_TEST * np.maximum(two[:, 1], 1e-6)
-                    g = b.loc[good, [doc]].groupby(doc).size()
-                    yield pd.DataFrame({doc: g.index, "template": t, "good": g.to_numpy(), "n_template": len(y)})
-
-        schema = f"{doc} {vectors.schema[doc].dataType.simpleString()}, template string, good bigint, n_template bigint"
-        part = vectors.select(doc, "embedding").mapInPandas(score, schema)
-        out = part if out is None else out.unionByName(part)
-    g = out.groupBy(doc, "template").agg(F.sum("good").alias("good"), F.max("n_template").alias("n_template"))
-    return g.join(n_doc, doc).withColumn(
+                        for low in range(0, len(x), 256):
+                            d = np.sqrt(((x[low:low + 256, None, :] - y[None, at:at + 64, :]) ** 2).sum(2))
+                            two[low:low + 256] = np.sort(np.concatenate((two[low:low + 256], d), axis=1), axis=1)[:, :2]
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                        "vb": np.full(len(x), vb, dtype=np.int32), "vi": np.arange(len(x), dtype=np.int32), "d0": two[:, 0], "d1": two[:, 1]}).assign(
+                        template=t, key=[r[doc] for r in xs], copies=[r["copies"] for r in xs])[["vb", "vi", "key", "copies", "template", "d0", "d1"]], preserve_index=False)
+
+    v = durable(v)  # so that a vector's place in its block stays what it is
+    pairs = v.crossJoin(lib).select("vb", "vb_rows", "lb_rows").repartition(vectors.sparkSession.sparkContext.defaultParallelism * 4)
+    near = pairs.mapInArrow(score, f"vb int, vi int, key {kind}, copies bigint, template string, d0 double, d1 double")
+    best = near.groupBy("vb", "vi", "template").agg(
+        F.first("key").alias(doc), F.first("copies").alias("copies"),
+        F.sort_array(F.flatten(F.collect_list(F.array("d0", "d1")))).alias("two"))
+    is_good = F.get("two", F.lit(0)) < RATIO_TEST * F.greatest(F.get("two", F.lit(1)), F.lit(1e-6))
+    g = best.filter(is_good).groupBy(doc, "template").agg(F.sum("copies").alias("good")).join(n_lib, "template")
+    return g.join(n_doc, doc).select(doc, "template", "good", "n_template", "n_query").withColumn(
         "ratio", F.col("good") / F.greatest(F.lit(1), F.least("n_query", "n_template")))
 
 
