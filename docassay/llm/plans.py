@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docassay.llm import decontaminate, lines, mixing
+from docassay.llm import decontaminate, lines, mixing, negatives, periodic
 from docassay.llm.chunks import repeated_passages
 from docassay.llm.minhash import near_duplicates
 from docassay.llm.orc_tokens import index, write_tokens
+from docassay.llm.packing import packed
 from docassay.llm.pii import surrogates
 from docassay.llm.secrets import secrets
 from docassay.llm.toxicity import toxicity
@@ -99,6 +100,31 @@ def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates(table(spark, folder, "documents").select("doc_id", "text"), "k1")
 
 
+@query(sql=negatives.SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by integer inner products; every seventh label is moved by one first."""
+    v = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(v.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of all documents, after the contract's periods are put into every tenth one."""
+    docs = table(spark, folder, "documents")
+    made = docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digests(periodic.periodic_runs(made))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens, packed into sequences."""
+    import public_tokenizers
+
+    p = packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over all documents."""
