@@ -4,9 +4,8 @@ Unlike the claim rule, a printed balance that breaks the chain and is far below
 misread cell and does not become the new anchor. Whether such a cell breaks depends on the anchor before it, so the
 result is path dependent - but only inside a run of off-scale cells: every cell on scale is an anchor no matter what.
 
-The chain is therefore cut at on-scale anchors. With r = printed - cumulative movement, an off-scale cell re-anchors
-only if its r is within tolerance of the current anchor's r. Each segment folds over the off-scale cells whose r
-differs from the cell before (equal neighbours cannot change the state), which is a handful of values.
+With r = printed - cumulative movement, an on-scale cell makes its r the anchor, and an off-scale cell does so only if
+its r is within tolerance of the anchor: the carried anchor of ``operators/anchors.py``, a parallel scan.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docassay.operators.anchors import before
 from docassay.operators.scan import exact_median, running, with_chunks
 from docassay.rulebook import MATERIAL_FRACTION, MISPARSE_RATIO
 
@@ -40,28 +40,10 @@ def chain(txns: DataFrame, heads: DataFrame, base: DataFrame | None = None) -> D
     base = txns if base is None else base
     t = with_chunks(t, ["doc_id"], ["idx"], base)
     t = running(t, ["doc_id"], ["idx"], sums={"cum": move})
-    t = t.filter(F.col("balance_p").isNotNull()).withColumn("r", F.col("balance_p") - F.col("cum"))
-    strong = F.when(~F.col("off"), F.struct(F.col("r").alias("r"), F.col("idx").alias("i")))
-    t = running(t, ["doc_id"], ["idx"], lasts={"anchor": strong, "prev": F.struct("r", "off")})
-    t = t.withColumn("seg", F.coalesce("anchor.i", F.lit(-1)))
-    t = t.withColumn("seg_r", F.coalesce("anchor.r", F.col("opening_p")))
-
-    # off-scale cells that can move the anchor: each step drifts by at most the tolerance, and a cell equal to the
-    # printed cell before it changes nothing
-    reach = F.lit(TOL_P) * (F.col("idx") - F.col("seg"))
-    repeat = F.coalesce(F.col("prev.r") == F.col("r"), F.lit(False))
-    moves = t.filter(F.col("off") & (F.abs(F.col("r") - F.col("seg_r")) <= reach) & ~repeat)
-    steps = moves.groupBy("doc_id", "seg").agg(F.sort_array(F.collect_list(F.struct("idx", "r"))).alias("steps"))
-    t = t.join(steps, ["doc_id", "seg"], "left")
-
-    def fold(state: Column, s: Column) -> Column:
-        near = F.abs(s["r"] - state) <= TOL_P
-        return F.when(near, s["r"]).otherwise(state)
-
-    earlier = F.filter("steps", lambda s: s["idx"] < F.col("idx"))
-    anchor_r = F.when(F.col("steps").isNull(), F.col("seg_r")).otherwise(
-        F.aggregate(earlier, F.col("seg_r"), fold))
-    t = t.withColumn("expected_p", anchor_r + F.col("cum"))
+    t = t.filter(F.col("balance_p").isNotNull()).withColumn("r", F.col("balance_p") - F.col("cum")).withColumn("settled", ~F.col("off"))
+    keep = ["doc_id", "idx", "balance_p", "cum", "off", "opening_p", "r", "settled", *(["_chunk"] if "_chunk" in t.columns else [])]
+    t = before(t.select(*keep), "doc_id", ["idx"], "r", "settled", "opening_p", TOL_P)
+    t = t.withColumn("expected_p", F.col("anchor") + F.col("cum"))
     t = t.withColumn("broken", F.abs(F.col("expected_p") - F.col("balance_p")) > TOL_P)
     return t.select("doc_id", "idx", "balance_p", "expected_p", "off", "broken")
 
