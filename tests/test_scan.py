@@ -147,14 +147,43 @@ def test_one_order_value_is_split(spark, hot):
     assert len(sizes) > 8 and max(sizes) < 500
 
 
-def test_loop_longer_than_a_block(spark):
+def test_lag_products_equal_the_direct_sums(spark):
     from docassay.operators.series import lag_products, loop_suspicion
 
     wave = [(s, i, float((i * 7 + (i % 50) ** 2) % 50 if s == "loop" else (i * i * 31 + i) % 97)) for s in ("loop", "free") for i in range(600)]
+    wave += [("short", i, float(i % 5)) for i in range(7)] + [("one", 0, 3.0), ("pair", 0, 1.0), ("pair", 1, 2.0)]
     df = spark.createDataFrame(wave, "k string, pos bigint, v double")
-    got = {(r.k, r.lag): r.xy for r in lag_products(df.selectExpr("k", "pos", "v AS x"), "k").collect()}
-    for s in ("loop", "free"):
-        v = [x for t, _, x in wave if t == s]
-        for lag in (2, 50, 255, 256, 257, 512, 599):
-            assert abs(got[s, lag] - sum(a * b for a, b in zip(v, v[lag:]))) < 1e-6
-    assert {r.k: r.suspicion for r in loop_suspicion(df, "k").collect()}["loop"] > 0.9
+    for hot_rows in (None, 5):  # in one transform, and in parts
+        set_hot_rows(hot_rows)
+        try:
+            got = {(r.k, r.lag): r.xy for r in lag_products(df.selectExpr("k", "pos", "v AS x"), "k").collect()}
+            assert {r.k: r.suspicion for r in loop_suspicion(df, "k").collect()}["loop"] > 0.9
+        finally:
+            set_hot_rows(None)
+        for s in {t for t, *_ in wave}:
+            v = [x for t, _, x in wave if t == s]
+            assert sorted(lag for t, lag in got if t == s) == list(range(2, len(v)))
+            for lag in range(2, len(v)):
+                exact = sum(a * b for a, b in zip(v, v[lag:]))
+                assert abs(got[s, lag] - exact) <= 1e-9 * max(1, sum(a * a for a in v))
+
+
+def test_a_series_of_a_million_points(spark):
+    import numpy as np
+
+    from docassay.operators.series import lag_products
+
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'s' AS k", "id AS pos", "sin(id * 0.01) + (id * 7919 % 1000) / 1000.0D - 0.5D AS x")
+    x = np.sin(np.arange(n) * 0.01) + (np.arange(n) * 7919 % 1000) / 1000 - 0.5
+    for hot_rows in (None, 300_000):
+        set_hot_rows(hot_rows)
+        try:
+            out = lag_products(df, "k")
+            assert out.count() == n - 2
+            got = {r.lag: r.xy for r in out.filter("lag in (2, 3, 1000, 65537, 500000, 999998, 999999)").collect()}
+        finally:
+            set_hot_rows(None)
+        assert len(got) == 7
+        for lag, xy in got.items():
+            assert abs(xy - float(x[:n - lag] @ x[lag:])) <= 1e-9 * float(x @ x)
