@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docassay.functions.hashing import hamming, hash_words
@@ -18,7 +17,7 @@ from docassay.rulebook import (
 )
 from docassay.session import durable
 
-_BITS = 256
+_SUB_KEYS = ["band", "bits", "sub", "sbits"]
 
 
 def _cuts(parts: int) -> list[tuple[int, int]]:
@@ -34,12 +33,24 @@ def bands(df: DataFrame, hex_col: str, parts: int) -> DataFrame:
     return df.withColumn("_b", F.explode(F.array(*items))).select("*", "_b.*").drop("_b")
 
 
-def _pairs(q: DataFrame, s: DataFrame, parts: int) -> DataFrame:
-    """Candidate pairs that share a band. A band value with very many stored hashes is banded again on the rest.
+def _sub_bands(df: DataFrame, col: str, parts: int) -> DataFrame:
+    """The digits outside a row's band cut into bands again: a pair that shares a band value is within the threshold on the
+    rest as well, so it shares one of these exactly."""
+    rest = F.lit(None).cast("string")
+    for i, (a, n) in enumerate(_cuts(parts)):
+        rest = F.when(F.col("band") == i, F.concat(F.substring(col, 1, a), F.substring(col, a + n + 1, 64))).otherwise(rest)
+    left = df.withColumn("_rest", rest)
+    size = F.length("_rest")
+    sub = [F.struct(F.lit(j).alias("sub"),
+                    F.substring(F.col("_rest"), (F.floor(size * j / parts) + 1).cast("int"),
+                                (F.floor(size * (j + 1) / parts) - F.floor(size * j / parts)).cast("int")).alias("sbits"))
+           for j in range(parts)]
+    return left.withColumn("_s", F.explode(F.array(*sub))).select("*", "_s.*").drop("_s", "_rest")
 
-    The other digits of such a pair are still within the threshold, so one of their ``parts`` sub-bands matches
-    exactly: recall stays whole while the crowded bucket splits.
-    """
+
+def _pairs(q: DataFrame, s: DataFrame, parts: int) -> DataFrame:
+    """Candidate pairs that share a band. A band value with very many stored hashes is banded again on the rest, so recall
+    stays whole while the crowded bucket splits."""
     sb = bands(s, "s_hex", parts)
     crowded = hot_keys(sb, ["band", "bits"])
     qb = bands(q, "q_hex", parts)
@@ -47,23 +58,11 @@ def _pairs(q: DataFrame, s: DataFrame, parts: int) -> DataFrame:
         return qb.join(sb, ["band", "bits"]).drop("band", "bits")
     hot = crowded.select("band", "bits")
     light = qb.join(hot, ["band", "bits"], "left_anti").join(sb, ["band", "bits"]).drop("band", "bits")
-    cuts = _cuts(parts)
 
     def rest(df: DataFrame, col: str) -> DataFrame:
-        heavy = df.join(hot, ["band", "bits"], "left_semi")
-        out = F.lit(None).cast("string")
-        for i, (a, n) in enumerate(cuts):
-            out = F.when(F.col("band") == i, F.concat(F.substring(col, 1, a), F.substring(col, a + n + 1, 64))).otherwise(out)
-        left = heavy.withColumn("_rest", out)
-        size = F.length("_rest")
-        sub = [F.struct(F.lit(j).alias("sub"),
-                        F.substring(F.col("_rest"), (F.floor(size * j / parts) + 1).cast("int"),
-                                    (F.floor(size * (j + 1) / parts) - F.floor(size * j / parts)).cast("int")).alias("sbits"))
-               for j in range(parts)]
-        return left.withColumn("_s", F.explode(F.array(*sub))).select("*", "_s.*").drop("_s", "_rest")
-
-    keys = ["band", "bits", "sub", "sbits"]
-    heavy = rest(qb, "q_hex").join(rest(sb, "s_hex"), keys).drop(*keys)
+        return _sub_bands(df.join(hot, ["band", "bits"], "left_semi"), col, parts)
+
+    heavy = rest(qb, "q_hex").join(rest(sb, "s_hex"), _SUB_KEYS).drop(*_SUB_KEYS)
     return light.unionByName(heavy)
 
 
@@ -83,6 +82,62 @@ def nearest_hash(queries: DataFrame, store: DataFrame, threshold: int = HAMMING_
     return queries.join(best, queries.hash_hex == best.q_hex).select("query_id", "m.entry_id", "m.label", "m.distance")
 
 
+class BandStore:
+    """A hash store kept as a band index: tables bucketed by the band they are probed with.
+
+    Batches are shuffled (or broadcast) to the buckets; what is stored stays where it lies. Band values that are crowded
+    when the store is built are kept by sub-band in a table of their own. Hashes, sessions and labels are all it holds.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, folder: str, threshold: int = HAMMING_THRESHOLD, buckets: int = 16):
+        self.spark, self.name, self.folder, self.parts, self.threshold, self.buckets = spark, name, folder, threshold + 1, threshold, buckets
+
+    def _write(self, df: DataFrame, table: str, keys: list[str]) -> None:
+        w = df.repartition(self.buckets, *keys).write.mode("append").bucketBy(self.buckets, *keys).option("path", f"{self.folder}/{table}")
+        w.saveAsTable(f"{self.name}_{table}")
+
+    def build(self, entries: DataFrame) -> BandStore:
+        """``entries``: entry_id (in order of insertion), session_id, label, hash_hex. Copies of a hash are kept once."""
+        s = durable(self._distinct(entries))
+        crowded = hot_keys(bands(s.select("s_hex"), "s_hex", self.parts), ["band", "bits"])
+        hot = crowded.select("band", "bits") if crowded is not None else self.spark.createDataFrame([], "band int, bits string")
+        hot.write.parquet(f"{self.folder}/crowded")
+        self.add(s, distinct=True)
+        return self
+
+    def _distinct(self, entries: DataFrame) -> DataFrame:
+        first = F.min_by(F.struct("session_id", "label"), "entry_id").alias("e")
+        return entries.groupBy(F.col("hash_hex").alias("s_hex")).agg(F.min("entry_id").alias("entry_id"), first).select("s_hex", "entry_id", "e.*")
+
+    def add(self, entries: DataFrame, distinct: bool = False) -> None:
+        """Append entries; existing files stay."""
+        rows = bands(entries if distinct else self._distinct(entries), "s_hex", self.parts)
+        hot = self._crowded()
+        self._write(rows.join(hot, ["band", "bits"], "left_anti"), "light", ["band", "bits"])
+        self._write(_sub_bands(rows.join(hot, ["band", "bits"], "left_semi"), "s_hex", self.parts), "heavy", _SUB_KEYS)
+
+    def _crowded(self) -> DataFrame:
+        return self.spark.read.schema("band int, bits string").parquet(f"{self.folder}/crowded")
+
+    def stored(self) -> DataFrame:
+        """One row per stored hash and band."""
+        columns = ["entry_id", "session_id", "label", "s_hex", "band", "bits"]
+        heavy = self.spark.table(f"{self.name}_heavy").select(*columns).distinct()
+        return self.spark.table(f"{self.name}_light").select(*columns).unionByName(heavy)
+
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        """Nearest stored hash within the threshold per query (query_id, hash_hex); the earliest entry wins ties."""
+        q = bands(queries.select(F.col("hash_hex").alias("q_hex")).distinct(), "q_hex", self.parts)
+        hot = self._crowded()
+        light = q.join(hot, ["band", "bits"], "left_anti").join(self.spark.table(f"{self.name}_light"), ["band", "bits"]).drop("band", "bits")
+        heavy = _sub_bands(q.join(hot, ["band", "bits"], "left_semi"), "q_hex", self.parts).join(
+            self.spark.table(f"{self.name}_heavy"), _SUB_KEYS).drop(*_SUB_KEYS)
+        d = hamming(hash_words(F.col("q_hex")), hash_words(F.col("s_hex")))
+        hits = light.unionByName(heavy).withColumn("distance", d).filter(F.col("distance") <= self.threshold)
+        best = hits.groupBy("q_hex").agg(F.min_by(F.struct("entry_id", "session_id", "label", "distance"), F.struct("distance", "entry_id")).alias("m"))
+        return queries.join(best, queries.hash_hex == best.q_hex).select("query_id", "m.entry_id", "m.session_id", "m.label", "m.distance")
+
+
 def hash_matches(queries: DataFrame, store: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """Every distinct (query hash, stored hash) within the threshold, with its distance."""
     s = store.select(F.col("hash_hex").alias("s_hex")).distinct()
@@ -102,70 +157,153 @@ def resubmission_signal(queries: DataFrame, matches: DataFrame, threshold: int =
 BLOCK = 2048  # descriptors of a block (1 MB at 64 doubles)
 
 
-def _blocks(df: DataFrame, name: str) -> DataFrame:
-    """Rows of ``df`` dealt by hash into blocks: ``name`` (its number) and ``name_rows``."""
-    n = -(-df.count() // BLOCK) or 1
-    number = F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
-    return df.groupBy(number.alias(name)).agg(F.collect_list(F.struct(*df.columns)).alias(f"{name}_rows"))
+def _dealt(df: DataFrame, keys: list[str], count: str, item: list[str], name: str) -> DataFrame:
+    """Rows of each key dealt by hash into blocks of about ``BLOCK``: ``name`` holds a block's ``item`` columns."""
+    part = F.pmod(F.xxhash64(item[0]), F.ceil(F.col(count) / BLOCK)).cast("int")
+    return df.groupBy(*keys, part.alias(f"{name}_part")).agg(F.collect_list(F.struct(*item)).alias(name))
+
+
+def _field(rows: pa.ListArray, name: str) -> pa.Array:
+    return rows.flatten().field(name)
+
+
+def _matrix(rows: pa.ListArray, name: str = "embedding") -> np.ndarray:
+    """Descriptors of all rows of a column of blocks, one below the other, as doubles."""
+    lists = _field(rows, name)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances, from differences; a few rows at a time bound the memory."""
+    out = np.empty((len(x), len(y)))
+    for a in range(0, len(x), 256):
+        for b in range(0, len(y), 64):
+            out[a:a + 256, b:b + 64] = np.sqrt(((x[a:a + 256, None, :] - y[None, b:b + 64, :]) ** 2).sum(2))
+    return out
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each descriptor of a block with its nearest pivot. Columns: template, block (embedding), pivots (cell, embedding)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            d = _distances(_matrix(row.column(1)), _matrix(row.column(2)))
+            near = d.argmin(1)
+            cell = _field(row.column(2), "cell").to_numpy()[near]
+            yield pa.record_batch([pa.repeat(row.column(0)[0], len(d)), pa.array(cell), _field(row.column(1), "embedding"), pa.array(d[np.arange(len(d)), near])],
+                                  ["template", "cell", "embedding", "away"])
+
+
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells that can hold one of a vector's two nearest descriptors of a template, for vectors that can pass the ratio test.
+
+    Columns: block (vid, embedding), pivots (template, cell, embedding, radius, n). A cell with radius r around a pivot at
+    distance d holds nothing nearer than d - r and only descriptors within d + r; the pivots are descriptors themselves.
+    """
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            vids, x = _field(row.column(0), "vid"), _matrix(row.column(0))
+            template, cell = (_field(row.column(1), c) for c in ("template", "cell"))
+            radius, held = (_field(row.column(1), c).to_numpy() for c in ("radius", "n"))
+            d_all, codes = _distances(x, _matrix(row.column(1))), template.dictionary_encode().indices.to_numpy()
+            for code in np.unique(codes):
+                own = np.flatnonzero(codes == code)
+                d, r, n = d_all[:, own], radius[own], held[own]
+                slack = 1e-9 * (1 + d)
+                least, most = np.maximum(d - r - slack, 0), d + r + slack
+                # within the bound there are two descriptors for certain: two pivots, or the cells that reach two
+                order = np.argsort(most, axis=1)
+                enough = (np.cumsum(n[order], axis=1) >= 2).argmax(axis=1)
+                bound = np.take_along_axis(most, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
+                if len(own) > 1:
+                    bound = np.minimum(bound, np.partition(d, 1, axis=1)[:, 1] + slack.max(axis=1))
+                hopeless = least.min(axis=1) >= RATIO_TEST * np.maximum(bound, 1e-6)
+                i, j = np.nonzero((least <= bound[:, None]) & ~hopeless[:, None])
+                if len(i):
+                    at = pa.array(own[j])
+                    yield pa.record_batch([vids.take(pa.array(i)), _field(row.column(0), "embedding").take(pa.array(i)), template.take(at), cell.take(at)],
+                                          ["vid", "embedding", "template", "cell"])
+
+
+def _two_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two least distances of each vector of a block to the descriptors of a block. Columns: template, searching
+    (vid, embedding), held (embedding)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            x, y = _matrix(row.column(1)), _matrix(row.column(2))
+            d = _distances(x, y)
+            two = np.partition(d, 1, axis=1)[:, :2] if len(y) > 1 else d
+            wide = two.shape[1]
+            yield pa.record_batch([_field(row.column(1), "vid").take(pa.array(np.repeat(np.arange(len(x)), wide))), pa.repeat(row.column(0)[0], len(x) * wide),
+                                   pa.array(two.ravel())], ["vid", "template", "d"])
 
 
 def template_scores(vectors: DataFrame, library: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Good matches of each document against each template: best distance < 0.75 x second best.
 
-    Vectors and library are cut into hashed blocks, and every block of one meets every block of the other in a task of its
-    own. A pair of blocks gives the two best distances of each vector to each template it holds a part of; those of a
-    template's parts are put together afterwards. Neither side passes through the driver, and no template has to fit a task.
-    Templates of fewer than two descriptors have no second best and are left out.
+    The library is cut into cells around pivots, about the square root of a template's size of them, taken from its
+    descriptors by hash. Distances to pivots and the cells' radii bound the two nearest distances from both sides, so a
+    vector visits only cells that can hold one of its two nearest, and no cell of a template where the bounds already
+    exclude a good match. Cells and their visitors meet as blocks by an equi join. Pivots are the only part of the library
+    that every vector is compared with; they meet in numbered blocks, which Spark broadcasts if it finds them small.
+    Neither side passes through the driver, and no template, cell or block of visitors has to fit a task. Templates of
+    fewer than two descriptors have no second best and are left out. All descriptors have one length.
     """
     n_doc = vectors.groupBy(doc).agg(F.count(F.lit(1)).alias("n_query"))
     n_lib = library.groupBy("template").agg(F.count(F.lit(1)).alias("n_template")).filter("n_template >= 2")
     # equal vectors of a document are one row with their number; equal descriptors of a template stay apart
-    v = _blocks(vectors.groupBy(doc, "embedding").agg(F.count(F.lit(1)).alias("copies")), "vb")
-    lib = _blocks(library.join(n_lib.select("template"), "template", "left_semi").select("template", "embedding"), "lb")
-    kind = vectors.schema[doc].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for vb, xs, ys in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.array([r["embedding"] for r in xs], dtype=np.float64)
-                parts: dict[str, list] = {}
-                for r in ys:
-                    parts.setdefault(r["template"], []).append(r["embedding"])
-                for t, rows in parts.items():
-                    y = np.array(rows, dtype=np.float64)
-                    two = np.full((len(x), 2), np.inf)
-                    for at in range(0, len(y), 64):  # differences in one form whatever the size, a few templates rows at a time
-                        for low in range(0, len(x), 256):
-                            d = np.sqrt(((x[low:low + 256, None, :] - y[None, at:at + 64, :]) ** 2).sum(2))
-                            two[low:low + 256] = np.sort(np.concatenate((two[low:low + 256], d), axis=1), axis=1)[:, :2]
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                        "vb": np.full(len(x), vb, dtype=np.int32), "vi": np.arange(len(x), dtype=np.int32), "d0": two[:, 0], "d1": two[:, 1]}).assign(
-                        template=t, key=[r[doc] for r in xs], copies=[r["copies"] for r in xs])[["vb", "vi", "key", "copies", "template", "d0", "d1"]], preserve_index=False)
-
-    v = durable(v)  # so that a vector's place in its block stays what it is
-    pairs = v.crossJoin(lib).select("vb", "vb_rows", "lb_rows").repartition(vectors.sparkSession.sparkContext.defaultParallelism * 4)
-    near = pairs.mapInArrow(score, f"vb int, vi int, key {kind}, copies bigint, template string, d0 double, d1 double")
-    best = near.groupBy("vb", "vi", "template").agg(
-        F.first("key").alias(doc), F.first("copies").alias("copies"),
-        F.sort_array(F.flatten(F.collect_list(F.array("d0", "d1")))).alias("two"))
-    is_good = F.get("two", F.lit(0)) < RATIO_TEST * F.greatest(F.get("two", F.lit(1)), F.lit(1e-6))
-    g = best.filter(is_good).groupBy(doc, "template").agg(F.sum("copies").alias("good")).join(n_lib, "template")
+    v = durable(vectors.groupBy(doc, "embedding").agg(F.count(F.lit(1)).alias("copies")).withColumn("vid", F.monotonically_increasing_id()))
+    lib = durable(library.select("template", "embedding").join(n_lib, "template").withColumn("lid", F.monotonically_increasing_id()))
+    element = library.schema["embedding"].dataType.simpleString()
+
+    few = F.ceil(F.sqrt("n_template"))
+    one = lib.groupBy("template").agg(F.min("lid").alias("one"))
+    pivots = durable(lib.join(one, "template").filter((F.pmod(F.xxhash64("lid"), F.col("n_template")) < few) | (F.col("lid") == F.col("one"))).select(
+        "template", F.col("lid").alias("cell"), "embedding"))
+    of_template = pivots.groupBy("template").agg(F.collect_list(F.struct("cell", "embedding")).alias("pivots"))
+    placed = durable(_dealt(lib, ["template"], "n_template", ["lid", "embedding"], "held").join(of_template, "template").select(
+        "template", "held", "pivots").mapInArrow(_to_cells, f"template string, cell bigint, embedding {element}, away double"))
+    cells = placed.groupBy("template", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
+
+    # vectors meet pivots: blocks of one against numbered blocks of the other
+    blocks = -(-pivots.count() // BLOCK) or 1
+    number = F.pmod(F.xxhash64("template"), F.lit(blocks)).cast("int")
+    pivot_blocks = pivots.join(cells, ["template", "cell"]).groupBy(number.alias("number")).agg(
+        F.collect_list(F.struct("template", "cell", "embedding", "radius", "n")).alias("pivots"))
+    of_blocks = _dealt(v.withColumn("all", F.lit(v.count())), [], "all", ["vid", "embedding"], "searching")
+    met = of_blocks.select("searching", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("number")).join(pivot_blocks, "number")
+    source = vectors.schema["embedding"].dataType.simpleString()
+    visits = durable(met.select("searching", "pivots").mapInArrow(_visits, f"vid bigint, embedding {source}, template string, cell bigint"))
+
+    crowd = visits.groupBy("template", "cell").agg(F.count(F.lit(1)).alias("visitors"))
+    held = _dealt(placed.join(cells.select("template", "cell", "n"), ["template", "cell"]), ["template", "cell"], "n", ["embedding"], "held")
+    searching = _dealt(visits.join(crowd, ["template", "cell"]), ["template", "cell"], "visitors", ["vid", "embedding"], "searching")
+    near = searching.join(held, ["template", "cell"]).select("template", "searching", "held").mapInArrow(_two_nearest, "vid bigint, template string, d double")
+    order = Window.partitionBy("vid", "template").orderBy("d")
+    two = near.withColumn("place", F.row_number().over(order)).filter("place <= 2").groupBy("vid", "template").agg(
+        F.min("d").alias("d0"), F.max("d").alias("d1"))
+    good = two.filter(F.col("d0") < RATIO_TEST * F.greatest("d1", F.lit(1e-6))).join(v.select("vid", doc, "copies"), "vid")
+    g = good.groupBy(doc, "template").agg(F.sum("copies").alias("good")).join(n_lib, "template")
     return g.join(n_doc, doc).select(doc, "template", "good", "n_template", "n_query").withColumn(
         "ratio", F.col("good") / F.greatest(F.lit(1), F.least("n_query", "n_template")))
 
 
-def template_verdict(scores: DataFrame, vectors: DataFrame, doc: str = "doc_id") -> DataFrame:
+def template_verdict(scores: DataFrame, vectors: DataFrame, library: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Best template of a document; recognised with twenty good matches at ratio 0.40, otherwise 0.55.
 
-    A document with fewer than two descriptors, or any document while no template has scores, is NOT_EVALUATED.
+    The best has the highest ratio, of equal ones the first by name. A document with fewer than two descriptors, or any
+    document while the library is empty, is NOT_EVALUATED; one without a good match to any template is evaluated.
     """
-    best = scores.groupBy(doc).agg(F.max_by(F.struct("template", "good", "ratio"), F.struct("ratio", "template")).alias("b"))
-    library = scores.select(F.lit(True).alias("has_library")).limit(1)
-    j = vectors.groupBy(doc).agg(F.count(F.lit(1)).alias("descriptors")).join(best, doc, "left").join(F.broadcast(library), F.lit(True), "left")
+    best = scores.groupBy(doc).agg(F.min_by(F.struct("template", "good", "ratio"), F.struct(-F.col("ratio"), "template")).alias("b"))
+    some = library.select(F.lit(True).alias("has_library")).limit(1)
+    j = vectors.groupBy(doc).agg(F.count(F.lit(1)).alias("descriptors")).join(best, doc, "left").join(F.broadcast(some), F.lit(True), "left")
     ready = F.col("has_library").isNotNull() & (F.col("descriptors") >= 2)
-    ok = F.coalesce((F.col("b.good") >= TEMPLATE_MIN_GOOD) & (F.col("b.ratio") >= TEMPLATE_MIN_RATIO), F.lit(False))
-    return j.select(doc, F.coalesce("b.template", F.lit("")).alias("template"), F.coalesce("b.good", F.lit(0)).alias("good"),
-                    F.round(F.coalesce("b.ratio", F.lit(0.0)), 6).alias("ratio"), ok.alias("recognised"),
+    b = F.when(F.col("descriptors") >= 2, F.col("b"))
+    ok = F.coalesce((b["good"] >= TEMPLATE_MIN_GOOD) & (b["ratio"] >= TEMPLATE_MIN_RATIO), F.lit(False))
+    return j.select(doc, F.coalesce(b["template"], F.lit("")).alias("template"), F.coalesce(b["good"], F.lit(0)).alias("good"),
+                    F.round(F.coalesce(b["ratio"], F.lit(0.0)), 6).alias("ratio"), ok.alias("recognised"),
                     F.when(ready, "VALID").otherwise("NOT_EVALUATED").alias("status"),
                     F.when(~ready, -1.0).when(ok, 0.0).otherwise(TEMPLATE_NO_MATCH).alias("suspicion"))
 

@@ -12,6 +12,8 @@ from docassay.operators import extension as X
 from docassay.operators import financial as R
 from docassay.operators import mining as MI
 from docassay.operators import series as S
+from docassay.operators.match import BandStore
+from docassay.operators.scan import ordered
 from docassay.plans import decide as DQ
 from docassay.plans import network as NQ
 from docassay.plans.oracle_inputs import cte
@@ -21,6 +23,7 @@ from docassay.session import durable
 from docassay.sources import adapters as A
 from docassay.sources import intake as I
 from docassay.sources import sinks as K
+from docassay.sources.cache import SAVED, STAGING, ExtractionCache
 from docassay.sources.tables import paise, table
 from docassay.streaming import monitors as ST
 
@@ -111,25 +114,86 @@ def src05(spark, d):
     return spark.read.parquet(path).groupBy("bank_id").agg(F.count(F.lit(1)).alias("reports"))
 
 
+cte("pages_read", """
+    SELECT key, min(d.doc_id) AS page, bool_or(l.doc_id IS NOT NULL) AS labelled FROM (
+      SELECT doc_id, sha256(encode(text) || unhex('00') || encode(lang) || unhex('00') || encode(source) || unhex('00') || encode('1')) AS key FROM documents) d
+    LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1""")
+# the history of the manifest: what each version puts into a tier or removes from it
+cte("cache_history", """
+    WITH a AS (SELECT 0 AS version, key, 'staging' AS tier, false AS removed, page FROM pages_read WHERE labelled),
+    b AS (SELECT 1 AS version, key, 'saved' AS tier, false AS removed, page FROM a WHERE page % 7 <> 2),
+    c AS (SELECT 2 AS version, key, 'staging' AS tier, true AS removed, page FROM a),
+    e AS (SELECT 3 AS version, key, 'staging' AS tier, false AS removed, page FROM pages_read WHERE page % 2 = 0),
+    f AS (SELECT 4 AS version, key, 'staging' AS tier, true AS removed, page FROM e WHERE page % 6 = 0),
+    g AS (SELECT 5 AS version, key, 'saved' AS tier, false AS removed, page FROM e WHERE page % 6 <> 0 AND key NOT IN (SELECT key FROM b)),
+    h AS (SELECT 6 AS version, key, 'saved' AS tier, true AS removed, page FROM (FROM b UNION ALL FROM g) WHERE page % 10 = 4)
+    FROM a UNION ALL FROM b UNION ALL FROM c UNION ALL FROM e UNION ALL FROM f UNION ALL FROM g UNION ALL FROM h""", "pages_read")
+
+
+def used_cache(spark, d):
+    """Reads of the documents' pages through stage, promotion, clearing, discarding and deletion."""
+    x = table(spark, d, "documents")
+    at = F.concat(F.lit("t"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    p = x.select("doc_id", K.content_key(F.encode("text", "UTF-8"), F.col("lang"), F.col("source")).alias("key"), F.col("source").alias("reader"),
+                 F.lit("m1").alias("model"), F.col("lang").alias("doc_type"), (F.col("doc_id") % 8).cast("int").alias("page_index"))
+    labelled = table(spark, d, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    p = p.join(labelled, "doc_id", "left").groupBy("key").agg(
+        F.min_by(F.struct(F.col("doc_id").alias("page"), "reader", "model", "doc_type", "page_index"), "doc_id").alias("p"), F.max("labelled").alias("labelled"))
+    p = durable(p.select("key", "p.*", "labelled", F.concat(F.lit("t"), F.lpad(F.col("p.page").cast("string"), 12, "0")).alias("cached_at"), F.col("p.page").cast("string").alias("content")))
+    cache = ExtractionCache(spark, K.table_path(spark, "cache"))
+    cache.stage(p.filter("labelled"))
+    cache.promote(p.filter("page % 7 <> 2"))
+    cache.clear()
+    cache.stage(p.filter("page % 2 = 0"))
+    cache.discard(p.filter("page % 6 = 0"))
+    cache.promote()
+    cache.delete(p.filter("page % 10 = 4"))
+    return cache, p
+
+
 @query("snk02_extraction_cache", """
-    WITH p AS (SELECT d.doc_id, sha256(encode(text) || unhex('00') || encode(lang) || unhex('00') || encode(source) || unhex('00') || encode('1')) AS key, l.doc_id IS NOT NULL AS saved FROM documents d LEFT JOIN labels l USING (doc_id)),
-    s AS (SELECT DISTINCT key FROM p WHERE saved)
-    SELECT key, key IN (SELECT key FROM s) AS hit, count(*) AS pages FROM p GROUP BY 1, 2""")
+    SELECT tier, key, page, row_number() OVER (PARTITION BY tier ORDER BY page DESC, key)::INT AS place FROM (
+      SELECT tier, key, arg_max(removed, version) AS removed, max(page) AS page FROM cache_history GROUP BY 1, 2) WHERE NOT removed""", ("cache_history",))
 def snk02(spark, d):
-    x = table(spark, d, "documents")
-    p = x.select("doc_id", K.content_key(F.encode("text", "UTF-8"), F.col("lang"), F.col("source")).alias("key"))
-    staged = p.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    saved = K.promotable(staged, spark.createDataFrame([], "key string"))
-    hit = K.cache_hits(p, saved).withColumn("hit", F.lit(True))
-    miss = K.cache_misses(p, saved).withColumn("hit", F.lit(False))
-    return hit.unionByName(miss).groupBy("key", "hit").agg(F.count(F.lit(1)).alias("pages"))
+    cache, _ = used_cache(spark, d)
+    tiers = [cache.alive(t).withColumn("tier", F.lit(t)) for t in (STAGING, SAVED)]
+    newest = ordered(tiers[0].unionByName(tiers[1]).withColumn("page", F.col("content").cast("bigint")).withColumn("behind", -F.col("page")), ["tier"], ["behind", "key"],
+                     sums={"place": F.lit(1).cast("bigint")})
+    return newest.select("tier", "key", "page", F.col("place").cast("int").alias("place"))
 
 
-@query("snk03_hash_store", "SELECT label, count(*) AS hashes FROM fraud_store GROUP BY 1", ("fraud_store",))
-def snk03(spark, d):
+@query("snk02_cache_history", "SELECT version::BIGINT AS version, tier, removed, count(*) AS entries FROM cache_history GROUP BY ALL", ("cache_history",))
+def snk02_history(spark, d):
+    return used_cache(spark, d)[0].history().groupBy("version", "tier", "removed").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("snk02_cache_replay", """
+    SELECT count(*) AS pages, count(s.key) AS hits, count(*) - count(s.key) AS misses FROM (
+      SELECT sha256(encode(text) || unhex('00') || encode(lang) || unhex('00') || encode(source) || unhex('00') || encode('1')) AS key FROM documents) p
+    LEFT JOIN (SELECT key FROM (SELECT key, arg_max(removed, version) AS removed FROM cache_history WHERE tier = 'saved' GROUP BY 1) WHERE NOT removed) s USING (key)""", ("cache_history",))
+def snk02_replay(spark, d):
+    cache, _ = used_cache(spark, d)
+    pages = table(spark, d, "documents").select(K.content_key(F.encode("text", "UTF-8"), F.col("lang"), F.col("source")).alias("key"))
+    r = cache.replay(pages)
+    return r.agg(F.count(F.lit(1)).alias("pages"), F.count("content").alias("hits"), F.count_if(F.col("content").isNull()).alias("misses"))
+
+
+def band_store(spark, d):
+    """The fraud store as a band index, with the session each hash came from; built, then added to."""
+    s = A.fraud_store(spark, d).withColumn("session_id", F.concat(F.lit("case-"), (F.col("entry_id") % 50).cast("string")))
     path = K.table_path(spark, "hashes")
-    K.append(A.fraud_store(spark, d), path)
-    return spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("hashes"))
+    store = BandStore(spark, f"hashes_{path.rsplit('-', 1)[1]}", path)
+    store.build(s.filter("entry_id % 4 <> 3"))
+    store.add(s.filter("entry_id % 4 = 3"))
+    return store
+
+
+@query("snk03_hash_store", """
+    SELECT label, 'case-' || entry_id % 50 AS session_id, count(*) AS hashes, 9 * count(*) AS bands FROM (
+      SELECT min(entry_id) AS entry_id, arg_min(label, entry_id) AS label FROM fraud_store GROUP BY w0, w1, w2, w3, w4, w5, w6, w7, entry_id % 4 = 3) GROUP BY ALL""", ("fraud_store",))
+def snk03(spark, d):
+    rows = band_store(spark, d).stored()
+    return rows.groupBy("label", "session_id").agg(F.countDistinct("entry_id").alias("hashes"), F.count(F.lit(1)).alias("bands"))
 
 
 @query("au04_ledger_read_back", "SELECT seq, count(*) AS records, min(this_hash) AS least FROM chained GROUP BY 1", ("chained",))
@@ -303,13 +367,21 @@ def ev08(spark, d):
 
 
 # -- streams ---------------------------------------------------------------------------------------------------------
-def as_stream(spark, df, name, files=1, per_trigger=None):
-    """Write a derived table and read it back as a file stream."""
+def arrivals(spark, df, name, part, parts=3, files=4, by=None):
+    """``df`` as a file stream in which the rows of part 0 arrive first, then those of part 1, and so on; a micro-batch
+    takes as many files as a part has. ``by``: a column whose rows of one part stay in one file."""
     path = K.table_path(spark, name)
-    (df.coalesce(1) if files == 1 else df).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema)
-    return (r.option("maxFilesPerTrigger", per_trigger) if per_trigger else r).parquet(path)
+    rows = durable(df.withColumn("_part", part))
+    for k in range(parts):
+        own = rows.filter(F.col("_part") == k).drop("_part")
+        (own.repartition(files, by) if by else own.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def slices(df, number, parts=3):
+    """Which of ``parts`` equal spans of ``number`` a row lies in."""
+    low, high = df.agg(F.min(number), F.max(number)).first()
+    return F.lit(0) if low is None else F.floor((number - low) * parts / (high - low + 1)).cast("int")
 
 
 @query("st01_live_balance", """
@@ -319,19 +391,39 @@ def as_stream(spark, df, name, files=1, per_trigger=None):
           SELECT *, (sum(coalesce(credit_p, 0) - coalesce(debit_p, 0)) OVER (PARTITION BY doc_id ORDER BY idx))::BIGINT AS cum, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos FROM ledger)))
     WHERE abs(expected - balance_p) > 100""", ("ledger",))
 def st01(spark, d):
-    led = A.ledger(spark, d).select("doc_id", "idx", "opening_p", "credit_p", "debit_p", "balance_p")
+    k = F.col("okey")
+    day = F.when(k % 101 == 7, F.date_add("posted", 40)).otherwise(F.col("posted"))
+    led = A.ledger(spark, d).select("doc_id", "idx", day.cast("timestamp").alias("at"), "opening_p", "credit_p", "debit_p", "balance_p", "okey")
+    # rows arrive up to 59 days late, in three parts, and a mark at the end moves the watermark behind all of them
+    came = F.unix_seconds("at") + k * 37 % 60 * 86400
+    led = durable(led.withColumn("came", came))
+    end = spark.sql("SELECT '' AS doc_id, 0 AS idx, timestamp '2999-01-01' AS at, 0L AS opening_p, 0L AS credit_p, 0L AS debit_p, 0L AS balance_p")
+    rows = led.select("doc_id", "idx", "at", "opening_p", "credit_p", "debit_p", "balance_p", slices(led, F.col("came")).alias("part")).unionByName(end.withColumn("part", F.lit(3)))
     folder = ST.run_folder(spark, "balance")
-    ST.drain(ST.balance_monitor(as_stream(spark, led, "ledger", files=8)), folder, ST.write_batch(folder))
-    return ST.read_out(spark, folder).filter(F.col("kind") == "break").select("doc_id", "idx", "expected_p", "printed_p", "unread")
+    stream = arrivals(spark, rows, "ledger", F.col("part"), parts=4).drop("part")
+    ST.balance_tables(stream, folder, "60 days", forget_ms=36500 * 86400 * 1000)
+    return ST.read_out(spark, folder, "breaks").select("doc_id", "idx", "expected_p", "printed_p", "unread")
 
 
 @query("st02_live_resubmission", f"""
-    SELECT query_id, m.entry_id AS entry_id, m.d::INT AS distance FROM (SELECT query_id, arg_min(struct_pack(entry_id, d), d * 100000000 + entry_id) AS m FROM (
+    SELECT query_id, m.entry_id AS entry_id, 'case-' || m.entry_id % 50 AS session_id, m.d::INT AS distance FROM (SELECT query_id, arg_min(struct_pack(entry_id, d), d * 100000000 + entry_id) AS m FROM (
       SELECT query_id, entry_id, {NQ._DIST} AS d FROM query_hashes q, fraud_store s) WHERE d <= 8 GROUP BY 1)""", ("query_hashes", "fraud_store"))
 def st02(spark, d):
     folder = ST.run_folder(spark, "resubmission")
-    ST.resubmissions(as_stream(spark, A.query_hashes(spark, d), "queries"), A.fraud_store(spark, d), folder)
-    return ST.read_out(spark, folder).select("query_id", "entry_id", "distance")
+    q = A.query_hashes(spark, d)
+    ST.resubmissions(arrivals(spark, q, "queries", (F.col("query_id") % 3).cast("int")), band_store(spark, d), folder)
+    return ST.read_out(spark, folder).select("query_id", "entry_id", "session_id", "distance")
+
+
+def event_stream(spark, d, jitter, parts=3):
+    """The events in several arrivals, each up to ``jitter`` seconds late, and a mark at the end."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    came = F.unix_seconds("ts") + F.col("event_id") * 7919 % jitter
+    e = durable(e.withColumn("came", came))
+    end = e.limit(0).drop("came").unionByName(spark.sql("SELECT 0L AS event_id, 0L AS user_id, 'end' AS event_type, timestamp '2999-01-01' AS ts").select(
+        *[F.col(c).cast(t) for c, t in e.drop("came").dtypes]))
+    rows = e.withColumn("part", slices(e, F.col("came"), parts)).drop("came").unionByName(end.withColumn("part", F.lit(parts)))
+    return arrivals(spark, rows, "events", F.col("part"), parts=parts + 1).drop("part")
 
 
 @query("st03_idle_sessions", """
@@ -339,7 +431,9 @@ def st02(spark, d):
       SELECT user_id, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 300 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
         SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY 1, 2) GROUP BY 1""")
 def st03(spark, d):
-    s = ST.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id")
+    folder = ST.run_folder(spark, "sessions")
+    ST.drain(ST.sessions(event_stream(spark, d, 599), "user_id"), folder, ST.write_batch(folder))
+    s = ST.read_out(spark, folder)
     return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("events").alias("longest"))
 
 
@@ -347,29 +441,39 @@ def st03(spark, d):
 def st04(spark, d):
     v = CO.identity_values(A.entities(spark, d), ["bundle_id"])
     folder = ST.run_folder(spark, "cases")
-    ST.case_accrual(as_stream(spark, v, "values", files=2, per_trigger=4), folder, "bundle_id")
+    ST.case_accrual(arrivals(spark, v, "values", (F.col("ord") % 3).cast("int")), folder, "bundle_id")
     return ST.latest(ST.read_out(spark, folder), "bundle_id").select("bundle_id", "suspicion", "hard_reject")
 
 
 @query("st05_audit_stream", "SELECT chain_id, seq, this_hash FROM chained", ("chained",))
 def st05(spark, d):
     folder = ST.run_folder(spark, "audit")
-    ST.audit_append(as_stream(spark, A.audit_events(spark, d), "events"), folder, ["timestamp", "event_id"])
+    e = durable(A.audit_events(spark, d))
+    at = F.unix_micros(F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    ST.audit_append(arrivals(spark, e, "events", slices(e, at), by="chain_id"), folder, ["timestamp", "event_id"])
     return ST.read_out(spark, folder).select("chain_id", "seq", "this_hash")
 
 
-@query("st06_registry_upsert", "SELECT entry_id, seen_count, banks FROM entries", ("entries",))
+@query("st06_registry_upsert", f"""
+    SELECT entry_id, seen_count, banks, 'L' || entry_id AS label, 'forged' AS threat_class, tokens, least_token FROM entries JOIN (
+      SELECT entry_key, count(*) AS tokens, min({NQ.token_sql('v')}) AS least_token FROM entry_tokens GROUP BY 1) USING (entry_key)""", ("entries", "entry_tokens"))
 def st06(spark, d):
     folder = ST.run_folder(spark, "registry")
-    ST.registry_upsert(as_stream(spark, NQ.reports(spark, d)[0].repartition(4), "reports", files=4, per_trigger=2), folder)
-    return ST.registry_state(ST.read_out(spark, folder)).select("entry_id", "seen_count", "banks")
+    r, t = NQ.reports(spark, d)
+    r = r.join(t.groupBy("report_id").agg(F.collect_list(F.struct("kind", "token")).alias("tokens")), "report_id")
+    ST.registry_upsert(arrivals(spark, r, "reports", (F.col("report_id") % 3).cast("int")), folder)
+    tokens = ST.registry_tokens(ST.read_out(spark, folder, "tokens")).groupBy("entry_key").agg(
+        F.count(F.lit(1)).alias("tokens"), F.min("token").alias("least_token"))
+    return ST.registry_state(ST.read_out(spark, folder)).join(tokens, "entry_key").select(
+        "entry_id", "seen_count", "banks", "label", "threat_class", "tokens", "least_token")
 
 
 @query("st07_activity_profile", """
     SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS events FROM (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS w FROM events, generate_series(0, 3) t(i)) GROUP BY 1, 2""")
 def st07(spark, d):
-    a = ST.activity(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
-    return a.select(F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "event_type", "events")
+    folder = ST.run_folder(spark, "activity")
+    ST.drain(ST.activity(event_stream(spark, d, 3599), "event_type"), folder, ST.write_batch(folder))
+    return ST.read_out(spark, folder).select(F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "event_type", "events")
 
 
 def user_series(spark, d):

@@ -313,17 +313,38 @@ def jn13(spark, d):
     return P.line_diff(a, b, "doc_id")
 
 
-@query("jn14_template_recognition", """
-    WITH lib AS (SELECT 'T' || label AS template, first(embedding ORDER BY vec_id) AS e FROM embeddings GROUP BY label, vec_id % 8),
-    d AS (SELECT doc, vec_id, template, list_sort(list(dist))[1:2] AS two, count(*) AS nt FROM (SELECT vec_id // 40 AS doc, vec_id, template, list_distance(x.embedding::DOUBLE[], l.e::DOUBLE[]) AS dist FROM embeddings x, lib l) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-    g AS (SELECT doc, template, count_if(two[1] < 0.75 * greatest(two[2], 1e-6)) AS good, max(nt) AS nt, count(*) AS nq FROM d GROUP BY 1, 2)
-    SELECT doc AS doc_id, template, good::BIGINT AS good FROM g WHERE good > 0""")
-def jn14(spark, d):
+cte("templates", """
+    SELECT 'T' || label AS template, embedding::DOUBLE[] AS e FROM embeddings""")
+cte("descriptors", """
+    SELECT vec_id // 40 AS doc_id, vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + ((vec_id * 31 + i * 17) % 13 - 6) / 120.0::DOUBLE) AS e FROM embeddings""")
+cte("template_scores", """
+    WITH two AS (SELECT doc_id, vec_id, template, min(list_distance(d.e, t.e), 2) AS two, count(*) AS nt FROM descriptors d, templates t GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+    SELECT doc_id, template, count_if(two[1] < 0.75 * greatest(two[2], 1e-6)) AS good, count_if(two[1] < 0.75 * greatest(two[2], 1e-6)) / greatest(1, least(count(*), max(nt))) AS ratio, count(*) AS n
+    FROM two GROUP BY 1, 2""", "templates", "descriptors")
+
+
+def descriptors(spark, d):
+    """Descriptors of documents (all embeddings, each component moved a little) and the library (all embeddings)."""
     e = table(spark, d, "embeddings")
-    lib = e.groupBy("label", (F.col("vec_id") % 8).alias("slot")).agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
-        F.concat(F.lit("T"), F.col("label").cast("string")).alias("template"), "embedding")
-    v = e.select(F.expr("vec_id div 40").alias("doc_id"), "embedding")
-    return M.template_scores(v, lib).filter("good > 0").select("doc_id", "template", "good")
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + ((F.col("vec_id") * 31 + (i + 1) * 17) % 13 - 6) / F.lit(120.0))
+    return (e.select(F.expr("vec_id div 40").alias("doc_id"), moved.alias("embedding")),
+            e.select(F.concat(F.lit("T"), F.col("label").cast("string")).alias("template"), F.col("embedding").cast("array<double>").alias("embedding")))
+
+
+@query("jn14_template_recognition", "SELECT doc_id, template, good::BIGINT AS good, round(ratio, 6) AS ratio FROM template_scores WHERE good > 0", ("template_scores",))
+def jn14(spark, d):
+    return M.template_scores(*descriptors(spark, d)).select("doc_id", "template", "good", F.round("ratio", 6).alias("ratio"))
+
+
+@query("jn14_template_verdict", """
+    SELECT d.doc_id, CASE WHEN d.n >= 2 THEN coalesce(b.template, '') ELSE '' END AS template, CASE WHEN d.n >= 2 THEN coalesce(b.good, 0) ELSE 0 END::BIGINT AS good,
+      CASE WHEN d.n < 2 THEN 'NOT_EVALUATED' ELSE 'VALID' END AS status, CASE WHEN d.n < 2 THEN -1.0 WHEN b.good >= 20 AND b.ratio >= 0.4 THEN 0.0 ELSE 0.55 END::DOUBLE AS suspicion
+    FROM (SELECT doc_id, count(*) AS n FROM descriptors GROUP BY 1) d
+    LEFT JOIN (SELECT * FROM template_scores WHERE good > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, template) = 1) b USING (doc_id)""",
+       ("descriptors", "template_scores"))
+def jn14_verdict(spark, d):
+    v, lib = descriptors(spark, d)
+    return M.template_verdict(M.template_scores(v, lib), v, lib).select("doc_id", "template", "good", "status", "suspicion")
 
 
 @query("jn15_duplicate_regions", """

@@ -1,4 +1,4 @@
-"""Sinks: appended tables, the two-tier extraction cache, evidence packs."""
+"""Sinks: appended tables, evidence packs, keys of the extraction cache."""
 
 from __future__ import annotations
 
@@ -38,16 +38,3 @@ def content_key(content: Column, hint: Column, reader: Column) -> Column:
     zero = F.unhex(F.lit("00"))
     return F.sha2(F.concat(content, zero, F.encode(F.coalesce(hint, F.lit("")), "UTF-8"), zero, F.encode(reader, "UTF-8"), zero,
                            F.encode(F.lit(CACHE_VERSION), "UTF-8")), 256)
-
-
-def cache_hits(pages: DataFrame, saved: DataFrame) -> DataFrame:
-    return pages.join(saved.select("key"), "key", "left_semi")
-
-
-def cache_misses(pages: DataFrame, saved: DataFrame) -> DataFrame:
-    return pages.join(saved.select("key"), "key", "left_anti")
-
-
-def promotable(staged: DataFrame, saved: DataFrame) -> DataFrame:
-    """Staged entries that are not saved yet: promoting them twice changes nothing."""
-    return staged.join(saved.select("key"), "key", "left_anti").dropDuplicates(["key"])

@@ -1,7 +1,9 @@
 """Incremental versions of the operators on Structured Streaming.
 
-Stateless and windowed ones are DataFrame functions that work on batch and stream alike. Those that keep tables use
-``foreachBatch`` and write each micro-batch to a folder named after its id, so that a replayed batch overwrites itself.
+Stateless and windowed ones are DataFrame functions that work on batch and stream alike; the balance monitor keeps its
+state in Spark's state store, with timers in event time. Those that keep tables use ``foreachBatch`` and write each
+micro-batch to a folder named after its id, so that a replayed batch overwrites itself; what they carry from batch to batch
+are versioned state tables (``streaming/state.py``).
 """
 
 from __future__ import annotations
@@ -12,18 +14,23 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docassay.operators import audit as U
 from docassay.operators import corroborate as CO
-from docassay.operators import match as M
+from docassay.operators.match import BandStore
 from docassay.operators.network import registry_entries
 from docassay.rulebook import SESSION_IDLE_SECONDS
-from docassay.session import shared_dir
+from docassay.session import durable, release, shared_dir
+from docassay.streaming.state import StateTable
 
 TOL_P = 100
-BALANCE_OUT = "doc_id string, idx int, kind string, expected_p bigint, printed_p bigint, unread int"
-BALANCE_STATE = "running bigint, unread int, last_idx int"
+BALANCE_OUT = "doc_id string, idx int, kind string, expected_p bigint, printed_p bigint, unread int, at_ms bigint"
+BALANCE_CARRY = "running bigint, unread int, last_ms bigint"
+BALANCE_WAITING = "at_ms bigint, idx int, opening_p bigint, credit_p bigint, debit_p bigint, balance_p bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A statement without a row for so long (in event time) is forgotten.
+FORGET_MS = 366 * 24 * 3600 * 1000
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -44,40 +51,108 @@ def write_batch(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def read_out(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+def read_out(spark: SparkSession, folder: str, name: str = "out") -> DataFrame:
+    return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
 
 
-def balance_monitor(rows: DataFrame) -> DataFrame:
-    """Running balance as rows arrive per statement.
+class BalanceMonitor(StatefulProcessor):
+    """Running balance of one statement in event time.
 
-    ``rows``: doc_id, idx, opening_p, credit_p, debit_p, balance_p. State per statement is three numbers: the carried
-    balance, the unread rows since the last printed one, and the last row number. Rows that arrive behind it are
-    reported as late and not applied.
+    Rows wait in a list until the watermark has passed them; then they are applied in order of (time, idx), whatever order
+    they arrived in. A row that arrives behind the watermark is handed on as ``late`` and not applied. The state carried is
+    three numbers; a statement without a row for ``forget_ms`` gives a ``closed`` row and leaves no state behind, so that
+    time must be longer than any silence within a statement.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running, unread, last = state.get if state.exists else (None, 0, -1)
-        rows_in = pd.concat(list(batches)).sort_values("idx")  # rows of one statement within one micro-batch
+
+    def __init__(self, forget_ms: int = FORGET_MS):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carry = handle.getValueState("carry", BALANCE_CARRY)
+        self.waiting = handle.getListState("waiting", BALANCE_WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        soonest, late = None, []
+        for frame in rows:
+            held = []
+            for row in zip(*(frame[c].tolist() for c in ("at_ms", "idx", "opening_p", "credit_p", "debit_p", "balance_p"))):
+                row = tuple(None if pd.isna(x) else int(x) for x in row)
+                if row[0] <= watermark:
+                    late.append((key[0], row[1], "late", None, row[5], 0, row[0]))
+                else:
+                    held.append(row)
+            if held:
+                self.waiting.appendList(held)
+                soonest = min(r[0] for r in held) if soonest is None else min(soonest, *(r[0] for r in held))
+        if soonest is not None:
+            self.handle.registerTimer(soonest)
+        yield self._frame(late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        running, unread, last = self.carry.get() or (None, 0, -1)
+        due, left = [], []
+        for row in self.waiting.get():
+            (due if row[0] <= watermark else left).append(tuple(row))
         out = []
-        for idx, opening, credit, debit, printed in zip(
-                rows_in.idx, rows_in.opening_p, rows_in.credit_p, rows_in.debit_p, rows_in.balance_p, strict=True):
-            if idx <= last:
-                out.append((key[0], int(idx), "late", None, None, 0))
-                continue
-            running = int(opening) if running is None else running
-            running += (0 if pd.isna(credit) else int(credit)) - (0 if pd.isna(debit) else int(debit))
-            if pd.isna(printed):
+        for at, idx, opening, credit, debit, printed in sorted(due, key=lambda r: r[:2]):
+            running = (opening if running is None else running) + (credit or 0) - (debit or 0)
+            if printed is None:
                 unread += 1
             else:
-                if abs(running - int(printed)) > TOL_P:
-                    out.append((key[0], int(idx), "break", running, int(printed), unread))
-                running, unread = int(printed), 0
-            last = int(idx)
-        state.update((running if running is not None else 0, unread, last))
-        yield pd.DataFrame(out, columns=["doc_id", "idx", "kind", "expected_p", "printed_p", "unread"]).astype(
-            {"expected_p": "Int64", "printed_p": "Int64"})
+                if abs(running - printed) > TOL_P:
+                    out.append((key[0], idx, "break", running, printed, unread, at))
+                running, unread = printed, 0
+            last = at
+        if due:
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        if left:
+            self.handle.registerTimer(min(r[0] for r in left))
+        elif running is not None and last + self.forget_ms <= watermark:
+            out.append((key[0], None, "closed", running, None, unread, last))
+            due = []
+            self.carry.clear()
+        elif due:
+            self.handle.registerTimer(last + self.forget_ms)
+        if due:
+            self.carry.update((running, unread, last))
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "idx", "kind", "expected_p", "printed_p", "unread", "at_ms"]).astype(
+            {"idx": "Int32", "expected_p": "Int64", "printed_p": "Int64", "unread": "int32", "at_ms": "int64"})
+
+
+def balance_monitor(rows: DataFrame, late: str = "0 seconds", forget_ms: int = FORGET_MS) -> DataFrame:
+    """Breaks of the running balance as rows arrive per statement, rows behind the watermark, and closed statements.
+
+    ``rows``: doc_id, idx, at (event time), opening_p, credit_p, debit_p, balance_p. Column ``kind`` tells the three apart.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # the plain number keeps rows behind the watermark in the input; a watermarked column would drop them
+    timed = rows.withWatermark("at", late).select(
+        "doc_id", "idx", F.unix_millis("at").alias("at_ms"), "opening_p", "credit_p", "debit_p", "balance_p")
+    return timed.groupBy("doc_id").transformWithStateInPandas(BalanceMonitor(forget_ms), BALANCE_OUT, "Append", "EventTime")
+
+
+def balance_tables(rows: DataFrame, folder: str, late: str = "0 seconds", forget_ms: int = FORGET_MS) -> None:
+    """Run the monitor over everything available: breaks go to ``breaks``, late rows to ``late``, closed ones to ``closed``."""
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df = durable(df)  # three tables from one run of the operator
+        for kind, name in (("break", "breaks"), ("late", "late"), ("closed", "closed")):
+            df.filter(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        release(df)
 
-    return rows.groupBy("doc_id").applyInPandasWithState(step, BALANCE_OUT, BALANCE_STATE, "append", GroupStateTimeout.NoTimeout)
+    drain(balance_monitor(rows, late, forget_ms), folder, batch)
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", idle: int = SESSION_IDLE_SECONDS, late: str = "10 minutes") -> DataFrame:
@@ -94,25 +169,32 @@ def activity(events: DataFrame, by: str, width: str = "1 hour", slide: str = "15
         F.col("w.start").alias("started"), by, "events")
 
 
-def resubmissions(queries: DataFrame, store: DataFrame, folder: str) -> None:
-    """Each arriving document against the fraud store (static side, banded join)."""
-    drain(queries, folder, lambda df, i: write_batch(folder)(M.nearest_hash(df, store), i))
+def resubmissions(queries: DataFrame, store: BandStore, folder: str) -> None:
+    """Each arriving document against the stored band index."""
+    drain(queries, folder, lambda df, i: write_batch(folder)(store.nearest(df), i))
 
 
-def case_accrual(values: DataFrame, folder: str, key: str) -> None:
-    """Identity signal of every case a batch touches, over all values that the case has so far."""
+def case_accrual(values: DataFrame, folder: str, key: str) -> StateTable:
+    """Identity signal of every case a batch touches, over all values that the case has so far.
+
+    The values are a state table that batches add to; a batch reads those of its own cases, as of the version before it.
+    """
     spark = values.sparkSession
-    schema = values.schema
+    state = StateTable(spark, f"{folder}/values", ", ".join(f"{c} {t}" for c, t in values.dtypes), key, "add")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/values/batch={batch_id}")
-        seen = spark.read.schema(schema).parquet(*[f"{folder}/values/batch={i}" for i in range(batch_id + 1)])
+        if state.committed(batch_id):
+            return
+        df = durable(df)
         touched = df.select(key).distinct()
-        all_values = seen.join(touched, key, "left_semi")
-        sig = CO.identity_signal(CO.identity_comparison(all_values, [key]), [key], touched)
+        seen = durable(state.read(before=batch_id, keys=touched).unionByName(df))
+        sig = CO.identity_signal(CO.identity_comparison(seen, [key]), [key], touched)
         sig.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        state.commit(batch_id, df)
+        release(df, seen)
 
     drain(values, folder, batch)
+    return state
 
 
 def latest(df: DataFrame, key: str) -> DataFrame:
@@ -121,27 +203,38 @@ def latest(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(key, "s.*")
 
 
-def audit_append(events: DataFrame, folder: str, order: list[str]) -> None:
-    """Append to the chains; heads are read once per batch from the earlier batches only."""
-    spark = events.sparkSession
+HEADS = "chain_id string, count bigint, head_hash string"
+
+
+def audit_append(events: DataFrame, folder: str, order: list[str]) -> StateTable:
+    """Append to the chains. A batch continues them from a state table of heads, as of the version before it."""
+    state = StateTable(events.sparkSession, f"{folder}/heads", HEADS, "chain_id")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        heads = None
-        if batch_id > 0:
-            before = spark.read.schema(U.LEDGER).parquet(*[f"{folder}/out/batch={i}" for i in range(batch_id)])
-            heads = U.heads(before)
+        if state.committed(batch_id):
+            return
+        heads = state.read(before=batch_id, keys=df)
         U.append_chain(df, order, heads).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        added = df.sparkSession.read.schema(U.LEDGER).parquet(f"{folder}/out/batch={batch_id}")
+        state.commit(batch_id, added.groupBy("chain_id").agg((F.max("seq") + 1).alias("count"), F.max_by("this_hash", "seq").alias("head_hash")))
 
     drain(events, folder, batch)
+    return state
 
 
 def registry_upsert(reports: DataFrame, folder: str) -> None:
-    """Registry partials per batch: counts and distinct banks of each entry."""
+    """Registry partials per batch: of each entry and bank the count and the first report with its label and class; of each
+    entry and kind of token (``tokens``: array of kind, token) the last one reported."""
     def batch(df: DataFrame, batch_id: int) -> None:
         key = F.when(F.col("hash_hex").isNull(), F.concat(F.lit("r"), F.col("report_id").cast("string"))).otherwise(F.col("hash_hex"))
-        part = df.withColumn("entry_key", key).groupBy("entry_key", "bank_id").agg(
-            F.count(F.lit(1)).alias("seen"), F.min("report_id").alias("entry_id"))
+        df = durable(df.withColumn("entry_key", key))
+        part = df.groupBy("entry_key", "bank_id").agg(
+            F.count(F.lit(1)).alias("seen"), F.min("report_id").alias("entry_id"), *[F.min_by(c, "report_id").alias(c) for c in ("label", "threat_class")])
         part.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        tokens = df.select("entry_key", "report_id", F.explode("tokens").alias("t")).groupBy("entry_key", F.col("t.kind").alias("kind")).agg(
+            F.max_by(F.col("t.token"), "report_id").alias("token"), F.max("report_id").alias("report_id"))
+        tokens.write.mode("overwrite").parquet(f"{folder}/tokens/batch={batch_id}")
+        release(df)
 
     drain(reports, folder, batch)
 
@@ -149,9 +242,15 @@ def registry_upsert(reports: DataFrame, folder: str) -> None:
 def registry_state(partials: DataFrame) -> DataFrame:
     """Entries from the partials of all batches."""
     banks = partials.select("entry_key", "bank_id").distinct().groupBy("entry_key").agg(F.count(F.lit(1)).alias("banks"))
-    g = partials.groupBy("entry_key").agg(F.min("entry_id").alias("entry_id"), F.sum("seen").alias("seen_count"))
+    g = partials.groupBy("entry_key").agg(F.min("entry_id").alias("entry_id"), F.sum("seen").alias("seen_count"),
+                                          *[F.min_by(c, "entry_id").alias(c) for c in ("label", "threat_class")])
     return g.join(banks, "entry_key")
 
 
-__all__ = ["activity", "audit_append", "balance_monitor", "case_accrual", "drain", "latest", "registry_entries", "registry_state",
+def registry_tokens(partials: DataFrame) -> DataFrame:
+    """``entry_key, kind, token``: the last token of each kind over the batches."""
+    return partials.groupBy("entry_key", "kind").agg(F.max_by("token", "report_id").alias("token"))
+
+
+__all__ = ["activity", "balance_tables", "audit_append", "balance_monitor", "case_accrual", "drain", "latest", "registry_entries", "registry_state", "registry_tokens",
            "registry_upsert", "resubmissions", "sessions", "Column"]

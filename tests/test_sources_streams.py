@@ -1,5 +1,8 @@
 """Intake, sinks, extension contract and streams."""
 
+import datetime
+import random
+
 from pyspark.sql import functions as F
 
 from docassay.operators import decision as V
@@ -7,7 +10,9 @@ from docassay.operators import extension as X
 from docassay.plans import decide as DQ
 from docassay.sources import intake as I
 from docassay.sources import sinks as K
+from docassay.sources.cache import SAVED, STAGING, ExtractionCache
 from docassay.streaming import monitors as ST
+from docassay.streaming.state import StateTable
 
 
 def test_binary_intake(spark, tmp_path):
@@ -29,12 +34,99 @@ def test_evidence_sink(spark, folder, tmp_path):
     assert back.count() == DQ.packs(spark, folder).count()
 
 
-def test_cache_promotion_is_idempotent(spark):
-    staged = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
-    saved = spark.createDataFrame([("a",)], "key string")
-    first = K.promotable(staged, saved)
-    assert [r.key for r in first.collect()] == ["b"]
-    assert K.promotable(staged, saved.unionByName(first)).count() == 0
+def entries(spark, *rows):
+    full = [(k, "r1", "m1", "bank", 0, at, text) for k, at, text in rows]
+    return spark.createDataFrame(full, "key string, reader string, model string, doc_type string, page_index int, cached_at string, content string")
+
+
+def test_cache_tiers(spark, tmp_path):
+    cache = ExtractionCache(spark, str(tmp_path / "cache"))
+    held = lambda tier: {r.key: r.content for r in cache.alive(tier).collect()}
+    assert held(SAVED) == {} and cache.clear() == 0
+    cache.stage(entries(spark, ("a", "1", "A"), ("b", "2", "B"), ("b", "1", "old"), ("c", "3", "C")))
+    assert held(STAGING) == {"a": "A", "b": "B", "c": "C"} and held(SAVED) == {}
+    cache.discard(spark.createDataFrame([("c",), ("zz",)], "key string"))
+    cache.promote()
+    assert held(SAVED) == {"a": "A", "b": "B"} and held(STAGING) == {"a": "A", "b": "B"}
+    cache.stage(entries(spark, ("a", "9", "newer")))
+    cache.promote()
+    assert held(SAVED)["a"] == "A"  # what is saved stays
+    cache.save(entries(spark, ("d", "4", "D")))
+    assert [r.key for r in cache.listing(SAVED).collect()] == ["d", "b", "a"]
+    cache.clear()
+    assert held(STAGING) == {} and len(held(SAVED)) == 3
+    cache.delete(spark.createDataFrame([("a",)], "key string"))
+    pages = spark.createDataFrame([("a",), ("b",), ("x",)], "key string")
+    assert {r.key: r.content for r in cache.replay(pages).collect()} == {"a": None, "b": "B", "x": None}
+    assert cache.history().filter("key = 'a'").count() == 5
+
+
+def test_two_promotions_at_once_leave_one_entry(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    cache = ExtractionCache(spark, str(tmp_path / "cache"))
+    cache.stage(entries(spark, ("a", "1", "A"), ("b", "2", "B")))
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda _: ExtractionCache(spark, str(tmp_path / "cache")).promote(), range(4)))
+    assert len(set(versions)) == 4
+    assert sorted(r.key for r in cache.alive(SAVED).collect()) == ["a", "b"]
+
+
+def test_state_table_versions(spark, tmp_path):
+    schema = "k string, v bigint"
+    t = StateTable(spark, str(tmp_path / "state"), schema, "k", compact=3)
+    row = lambda *r: spark.createDataFrame(list(r), schema)
+    state = lambda **a: {r.k: r.v for r in t.read(**a).collect()}
+    assert state() == {}
+    expected = {}
+    for n in range(8):
+        assert t.commit(n, row((f"k{n % 3}", n), ("all", n)))
+        expected |= {f"k{n % 3}": n, "all": n}
+        assert state() == expected
+        assert len(t._tables(n)) <= 3
+    assert not t.commit(5, row(("all", 99)))  # a repeated batch changes nothing
+    assert state() == expected and state(before=2) == {"k0": 0, "k1": 1, "all": 1}
+    assert state(keys=row(("k1", 0))) == {"k1": 7}
+    assert t.history().count() == 16
+    t.expire(keep=1)
+    assert t.versions() == [7] and state() == expected
+    # a batch that failed before its manifest starts again from the same state
+    row(("all", 77)).write.parquet(str(tmp_path / "state/changes/batch-000000000008-torn"))
+    assert state() == expected and t.commit(8, row(("all", 8))) and state()["all"] == 8
+
+
+def test_band_store_is_probed_without_moving_it(spark, tmp_path):
+    from docassay.operators.match import BandStore, nearest_hash
+    from docassay.operators.scan import set_hot_rows
+
+    rng = random.Random(3)
+    one = rng.getrandbits(256)
+    hashes = [rng.getrandbits(256) for _ in range(60)] + [one ^ (1 << rng.randrange(28)) for _ in range(80)]
+    entries = [(i, f"s{i % 7}", f"l{i}", f"{h:064x}") for i, h in enumerate(hashes + hashes[:20])]
+    store = spark.createDataFrame(entries, "entry_id bigint, session_id string, label string, hash_hex string")
+    q = [(i, f"{hashes[i] ^ sum(1 << b for b in rng.sample(range(256), i % 11)):064x}") for i in range(len(hashes))]
+    queries = spark.createDataFrame(q, "query_id bigint, hash_hex string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    set_hot_rows(20)
+    try:
+        bands = BandStore(spark, "bands_under_test", str(tmp_path / "store"), buckets=4)
+        bands.build(store.filter("entry_id % 3 <> 1"))
+        bands.add(store.filter("entry_id % 3 = 1"))
+        got = bands.nearest(queries)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r.entry_id, r.distance) for r in got.collect()) == sorted(
+            (r.query_id, r.entry_id, r.distance) for r in nearest_hash(queries, store).collect())
+        assert {r.entry_id: r.session_id for r in got.collect()}.items() <= {i: s for i, s, *_ in entries}.items()
+        assert bands._crowded().count() > 0
+        # between the scan of the store and its join there is no exchange
+        for name in ("bands_under_test_light", "bands_under_test_heavy"):
+            above = plan[:plan.index(name)]
+            assert "Exchange" not in above[max(above.rfind("SortMergeJoin"), above.rfind("ShuffledHashJoin")):].split("\n+- ")[-1].split("Sort [")[-1]
+    finally:
+        set_hot_rows(None)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bands_under_test_light")
+        spark.sql("DROP TABLE bands_under_test_heavy")
 
 
 def test_advisory_only_raises(spark):
@@ -57,20 +149,58 @@ def test_detector_contract(spark):
     assert {r.doc_id: r.fault for r in bad.collect()} == {2: "out_of_range", 3: "missing_suspicion"}
 
 
-ROWS = "doc_id string, idx int, opening_p bigint, credit_p bigint, debit_p bigint, balance_p bigint"
+ROWS = "doc_id string, idx int, at timestamp, opening_p bigint, credit_p bigint, debit_p bigint, balance_p bigint"
 
 
-def test_live_balance_keeps_state_and_reports_late_rows(spark, tmp_path):
+def test_live_balance_over_three_batches_out_of_order(spark, tmp_path):
+    rng = random.Random(4)
     src, folder = str(tmp_path / "in"), str(tmp_path / "run")
-    batches = [[("a", 0, 1000, 500, None, 1500), ("a", 1, 1000, None, 200, None)],
-               [("a", 2, 1000, 100, None, 1400), ("a", 3, 1000, None, 100, 9000)],
-               [("a", 1, 1000, 1, None, 1501), ("a", 4, 1000, 50, None, 9050)]]
-    for b in batches:  # one run per arriving file; the state lives in the checkpoint
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows, breaks = [], set()
+    for doc in "abcde":
+        opening = balance = 1000
+        unread = 0
+        for i in range(40):
+            credit, debit = rng.choice([(50, None), (None, 30), (700, None)])
+            balance += (credit or 0) - (debit or 0)
+            printed = None if rng.random() < 0.2 else balance + (5000 if rng.random() < 0.2 else 0)
+            if printed is None:
+                unread += 1
+            else:
+                if abs(balance - printed) > 100:
+                    breaks.add((doc, i, balance, printed, unread))
+                balance, unread = printed, 0
+            rows.append((doc, i, day(i), opening, credit, debit, printed))
+    batches = [[], [], [("late", 0, day(1), 0, 1, None, 99999), ("mark", 0, day(20000), 0, None, None, 0)]]
+    for r in rows:  # a row arrives up to nine days after its time
+        batches[min(1, (r[1] + rng.randrange(10)) // 25)].append(r)
+    for b in batches:  # one run per arrival; the state lives in the checkpoint
+        rng.shuffle(b)
         spark.createDataFrame(b, ROWS).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(ROWS).parquet(src)
-        ST.drain(ST.balance_monitor(stream), folder, ST.write_batch(folder))
-    got = {(r.idx, r.kind, r.expected_p, r.unread) for r in ST.read_out(spark, folder).collect()}
-    assert got == {(3, "break", 1300, 0), (1, "late", None, 0)}
+        ST.balance_tables(spark.readStream.schema(ROWS).parquet(src), folder, "10 days", forget_ms=1000 * 86400 * 1000)
+    got = {(r.doc_id, r.idx, r.expected_p, r.printed_p, r.unread) for r in ST.read_out(spark, folder, "breaks").collect()}
+    assert got == breaks
+    assert {(r.doc_id, r.idx, r.printed_p) for r in ST.read_out(spark, folder, "late").collect()} == {("late", 0, 99999)}
+    assert sorted(r.doc_id for r in ST.read_out(spark, folder, "closed").collect()) == list("abcde")
+    left = spark.read.format("statestore").option("stateVarName", "carry").load(f"{folder}/checkpoint")
+    assert left.count() == 0  # only the mark still waits
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{folder}/checkpoint")
+    assert {r.key.doc_id for r in waiting.select("key").collect()} == {"mark"}
+
+
+def test_audit_batch_repeated_changes_nothing(spark, tmp_path):
+    schema = "chain_id string, event_id int, timestamp string, payload string"
+    src, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    for n in range(3):
+        spark.createDataFrame([(c, i, f"2024-01-01T00:{n}{i}", "{}") for c in "ab" for i in range(3)], schema).coalesce(1).write.mode("append").parquet(src)
+        heads = ST.audit_append(spark.readStream.schema(schema).parquet(src), folder, ["timestamp", "event_id"])
+    before = sorted(map(tuple, ST.read_out(spark, folder).collect()))
+    # the last commit of the query is lost, so its batch runs again
+    (tmp_path / "run/checkpoint/commits/2").unlink()
+    (tmp_path / "run/checkpoint/commits/.2.crc").unlink(missing_ok=True)
+    ST.audit_append(spark.readStream.schema(schema).parquet(src), folder, ["timestamp", "event_id"])
+    assert sorted(map(tuple, ST.read_out(spark, folder).collect())) == before
+    assert {r.chain_id: r["count"] for r in heads.read().collect()} == {"a": 9, "b": 9} and heads.versions() == [0, 1, 2]
 
 
 def test_audit_stream_continues_chains(spark, tmp_path):
