@@ -170,12 +170,78 @@ def test_passages_of_51_words_are_found_whole(documents):
     assert found == {doc: v for doc, v in where.items() if doc >= 1000}
 
 
+def test_passages_of_several_holders_are_told_apart(documents):
+    rng = random.Random(8)
+    one, two = text(rng, 60), text(rng, 60)
+    docs = [(1, one), (2, two), (3, text(rng, 40) + f" {one} {two} " + text(rng, 20)), (4, "q " + two + " r")]
+    found = {(r["doc_id"], r["first_doc_id"]): (docs[r["doc_id"] - 1][1][r["start"]:r["end"]], r["n_words"]) for r in chunks.repeated_passages(documents(docs)).collect()}
+    assert found == {(3, 1): (one, 60), (3, 2): (two, 60), (4, 2): (two, 60)}
+
+
+def test_passages_against_brute_force(documents):
+    """Every reported passage stands in its first holder and cannot be longer; every shared stretch of more than 50 words is covered."""
+    rng = random.Random(9)
+    docs = []
+    for i in range(60):
+        parts = [text(rng, rng.randrange(5, 80))]
+        for _ in range(rng.randrange(3)):
+            old = rng.choice(docs)[1].split() if docs else []
+            if len(old) > 52:
+                n = rng.randrange(51, min(len(old), 150))
+                a = rng.randrange(len(old) - n)
+                parts += [" ".join(old[a:a + n]), text(rng, rng.randrange(1, 60))]
+        docs.append((i, " ".join(parts)))
+    docs += [(100, docs[3][1]), (100, docs[7][1]), (101, docs[3][1] + " tail"), (102, None), (103, "")]
+    found = {}
+    for r in chunks.repeated_passages(documents(docs)).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+        passage = [t for i, t in docs if i == r["doc_id"] and t[r["start"]:r["end"]] in dict(docs)[r["first_doc_id"]]][0][r["start"]:r["end"]]
+        assert r["first_doc_id"] < r["doc_id"] and len(passage.split()) == r["n_words"] >= 24
+    holder = {}
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        for a, b in chunk_spans(t):
+            holder.setdefault(" ".join((t or "").split()[a:b]), i)
+    whole = 0
+    for i, t in docs:
+        w = (t or "").split()
+        ends = np.cumsum([len(x) + 1 for x in w]) - 1
+        for a in range(len(w) - 50):
+            stretch = " ".join(w[a:a + 51])
+            holders = {j for j, u in docs if j < i and u and f" {stretch} " in f" {u} "}
+            if i == 100 or not holders:
+                continue
+            start, end = (int(ends[a - 1]) + 1 if a else 0), int(ends[a + 50])
+            own = sorted(found.get(i, []), key=lambda r: r["start"])
+            assert any(r["start"] < end and r["end"] > start for r in own), (i, a)
+            # covered byte by byte where the first holder of a chunk in it holds all of it
+            if any(a <= x and y <= a + 51 and holder[" ".join(w[x:y])] in holders for x, y in chunk_spans(t)):
+                whole += 1
+                for r in own:
+                    if r["start"] <= start:
+                        start = max(start, r["end"])
+                assert start >= end, (i, a)
+    assert whole > 300
+
+
+def chunk_spans(t):
+    raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
+    last = chunks.cuts(raw, chunks.words(raw)[1]).tolist()
+    return [(a, b + 1) for a, b in zip([0, *(k + 1 for k in last)], last)]
+
+
 def test_cuts_cover_the_text():
     rng = random.Random(1)
     for t in (b"", b"a", b"z" * 5000, text(rng, 500).encode()):
-        ends = chunks.cuts(t)
-        assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == len(t)
-        assert all(b - a <= chunks.LONGEST for a, b in zip([0, *ends], ends))
+        raw = np.frombuffer(t, dtype=np.uint8)
+        last = chunks.cuts(raw, chunks.words(raw)[1])
+        n = len(t.split())
+        assert sorted(set(last)) == list(last) and (last[-1] + 1 if len(last) else 0) == n
+        assert all(b - a <= chunks.NEAR for a, b in zip([-1, *last], last))
+    # cuts find themselves again behind an insertion
+    a, b = text(rng, 300), text(rng, 200)
+    raws = [np.frombuffer(t.encode(), dtype=np.uint8) for t in (a + " " + b, a + " x y z " + b)]
+    one, other = ({int(k) for k in chunks.cuts(r, chunks.words(r)[1])} for r in raws)
+    assert {k + 3 for k in one if k >= 330} == {k for k in other if k >= 333}
 
 
 def test_multi_sequence_visits_nearest_first():
