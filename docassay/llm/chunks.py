@@ -3,16 +3,17 @@
 A gear hash rolls over the bytes of each text. Of any ``NEAR`` ends of words that follow each other, the one with the
 smallest hash ends a chunk (the last one on ties), so chunks hold 1 to ``NEAR`` words, cuts depend on nearby bytes alone,
 and they find themselves again behind any insertion. Chunks are deduplicated by digest: one that a document with a smaller
-id holds as well is a copy of that document's first one.
+id holds as well is a copy of that document's first one. A digest covers the chunk and its guard, ``LEFT`` words before and
+``RIGHT`` words behind it, since a few words alone also meet by chance.
 
-Copies that follow each other at one distance from the same first holder are a run. Cuts near the edge of a passage depend
-on what lies around it, so a run is extended word by word to both sides against the first holder, up to ``REACH`` words;
-only the surroundings of runs are read again. Extended runs of one holder that meet are one passage.
+Copies that follow each other at one distance from the same first holder are a run. A run is extended word by word to both
+sides against the first holder, up to ``REACH`` words; only the surroundings of runs are read again. Extended runs of one
+holder that meet are one passage.
 
-The gear hash sees ``SEEN`` bytes, at most 9 words with their gaps. Of the 42 cuts or more that a passage of 51 words leaves
-independent of what lies before it, those at least ``NEAR`` - 1 from both ends of that span are cuts wherever the passage
-occurs, and 2 * ``NEAR`` places in a row hold two of them. So every passage of more than 50 words holds a whole chunk at
-least, and with its extension is found whole.
+Why no passage of more than 50 words is lost: the gear hash sees ``SEEN`` bytes, at most 9 words, so from the tenth word
+on hashes depend on the passage alone. Of these 42 word ends, those ``NEAR`` - 1 or more from both ends of the span lie only
+in windows inside it, so they are cuts wherever the passage occurs or nowhere; they are 2 * ``NEAR`` in a row and hold two
+cuts. The chunk between them has ``LEFT`` words before and ``RIGHT`` words behind it inside the passage.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from docassay.llm.tokens import _BYTE, _GOLD, _SPACE, _power_tables, mix, seeds
 from docassay.session import durable
 
-#: Bytes that the gear hash sees; word ends of which one is a cut; words compared on each side of a run.
-SEEN, NEAR, REACH = 16, 10, 40
+#: Bytes that the gear hash sees; word ends of which one is a cut; words of the guard; words compared beside a run.
+SEEN, NEAR, LEFT, RIGHT, REACH = 16, 11, 20, 10, 40
 #: Words that a passage needs to be reported.
 LEAST_WORDS = 24
 _GEAR = (seeds(256, 1234) >> np.uint64(32)).astype(np.uint32)
@@ -72,9 +73,9 @@ def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, tid, no, word, n, digest, lead`` of every chunk: its number and first word, how many words it has, and
-    whether it is the first one with that digest in its text."""
-    schema = "doc_id bigint, tid int, no int, word int, n int, digest bigint, lead boolean"
+    """``doc_id, tid, no, a, b, digest, lead`` of every chunk: its number, the words from ``a`` up to ``b`` that it spans
+    with its guard, and whether it is the first one with that digest in its text."""
+    schema = "doc_id bigint, tid int, no int, a int, b int, digest bigint, lead boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,12 +86,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                 if not len(last):
                     continue
                 first = np.concatenate(([0], last[:-1] + 1))
-                digest = _digests(raw, starts[first], ends[last])
+                a, b = np.maximum(first - LEFT, 0), np.minimum(last + 1 + RIGHT, len(starts))
+                digest = _digests(raw, starts[a], ends[b - 1])
                 lead = np.zeros(len(last), dtype=bool)
                 lead[np.unique(digest, return_index=True)[1]] = True
-                ints = [pa.array(c.astype(np.int32)) for c in (np.arange(len(last)), first, last - first + 1)]
+                ints = [pa.array(c.astype(np.int32)) for c in (np.arange(len(last)), a, b)]
                 yield pa.record_batch([pa.repeat(doc, len(last)), pa.repeat(tid, len(last)), *ints, pa.array(digest), pa.array(lead)],
-                                      ["doc_id", "tid", "no", "word", "n", "digest", "lead"])
+                                      ["doc_id", "tid", "no", "a", "b", "digest", "lead"])
 
     return docs.mapInArrow(run, schema)
 
@@ -134,9 +136,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     ``start`` and ``end`` are byte places in UTF-8, and the same bytes stand in ``first_doc_id``, the smallest id that holds
     the passage's chunks; removing the passages leaves each one there. Passages with different first holders are rows of
     their own, which may overlap. Words are what white space separates; ``n_chunks`` counts the copied chunks. Passages of
-    more than 50 words are found whole, if the first holder of a chunk in them holds the passage, which fails only where each
-    chunk of a passage also stands in other, earlier documents; shorter ones, from ``least_words`` words on, are found if a
-    whole chunk lies in them. Defined cases: null ids and null or empty texts give nothing; rows that share an id are one
+    more than 50 words are found whole, as far as the first holder of a chunk in them holds them; shorter ones, from
+    ``least_words`` words on, are found if they hold a chunk with its guard, or begin or end with the text. Defined cases: null ids and null or empty texts give nothing; rows that share an id are one
     document, so what only they share is not reported; of a chunk that repeats in its first holder the first one counts;
     texts of any length are taken whole; a text without white space is one word and never reported; an empty table gives an
     empty table; other columns are ignored, whatever their names.
@@ -144,20 +145,20 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", F.hash("text").alias("tid"), "text")
     every = durable(chunks(texts))
-    # where the first holder has a chunk: its text and word in one number, so that the grouping needs no sort
-    place = F.shiftleft(F.col("tid").cast("bigint"), 32).bitwiseOR(F.col("word").cast("bigint"))
+    # where the first holder has a chunk: its text and first word in one number, so that the grouping needs no sort
+    place = F.shiftleft(F.col("tid").cast("bigint"), 32).bitwiseOR(F.col("a").cast("bigint"))
     shared = every.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other"), F.min_by(place, F.when(F.col("lead"), F.col("doc_id"))).alias("place"))
     shared = shared.filter("first < other").select("digest", "first", F.shiftright("place", 32).cast("int").alias("first_tid"),
-                                                   F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("first_word"))
+                                                   F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("first_a"))
     copies = every.join(shared, "digest").filter("doc_id > first").select(
-        "doc_id", "tid", "no", "word", "n", "first", "first_tid", (F.col("word") - F.col("first_word")).alias("shift")).distinct()
+        "doc_id", "tid", "no", "a", "b", "first", "first_tid", (F.col("a") - F.col("first_a")).alias("shift")).distinct()
 
     before = Window.partitionBy("doc_id", "tid").orderBy("no")
     follows = (F.lag("no").over(before) == F.col("no") - 1) & (F.lag("first").over(before) == F.col("first")) & (
         F.lag("first_tid").over(before) == F.col("first_tid")) & (F.lag("shift").over(before) == F.col("shift"))
     holder = ["first", "first_tid", "shift"]
     runs = durable(_islands(copies, ["doc_id", "tid"], "no", ~follows).groupBy("doc_id", "tid", *holder, "island").agg(
-        F.min("word").alias("a"), F.max(F.col("word") + F.col("n")).alias("b"), F.count(F.lit(1)).alias("n_chunks")))
+        F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n_chunks")))
 
     # the surroundings of each run, in its own text and in the first holder's
     there = runs.select(F.col("first").alias("doc_id"), F.col("first_tid").alias("tid"), (F.col("a") - F.col("shift")).alias("a"), (F.col("b") - F.col("shift")).alias("b"))

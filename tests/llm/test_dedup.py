@@ -226,7 +226,8 @@ def test_passages_against_brute_force(documents):
 def chunk_spans(t):
     raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
     last = chunks.cuts(raw, chunks.words(raw)[1]).tolist()
-    return [(a, b + 1) for a, b in zip([0, *(k + 1 for k in last)], last)]
+    n = len((t or "").split())
+    return [(max(a - chunks.LEFT, 0), min(b + 1 + chunks.RIGHT, n)) for a, b in zip([0, *(k + 1 for k in last)], last)]
 
 
 def test_cuts_cover_the_text():
