@@ -13,7 +13,8 @@ holder that meet are one passage.
 Why no passage of more than 50 words is lost: the gear hash sees ``SEEN`` bytes, at most 9 words, so from the tenth word
 on hashes depend on the passage alone. Of these 42 word ends, those ``NEAR`` - 1 or more from both ends of the span lie only
 in windows inside it, so they are cuts wherever the passage occurs or nowhere; they are 2 * ``NEAR`` in a row and hold two
-cuts. The chunk between them has ``LEFT`` words before and ``RIGHT`` words behind it inside the passage.
+cuts. The chunk between them has ``LEFT`` words before and ``RIGHT`` words behind it inside the passage, and the first and
+the last such chunk leave at most 11 words of the passage to each side of their guards, less than ``REACH``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from docassay.llm.tokens import _BYTE, _GOLD, _SPACE, _power_tables, mix, seeds
 from docassay.session import durable
 
 #: Bytes that the gear hash sees; word ends of which one is a cut; words of the guard; words compared beside a run.
-SEEN, NEAR, LEFT, RIGHT, REACH = 16, 11, 20, 10, 40
+SEEN, NEAR, LEFT, RIGHT, REACH = 16, 11, 20, 10, 12
 #: Words that a passage needs to be reported.
 LEAST_WORDS = 24
 _GEAR = (seeds(256, 1234) >> np.uint64(32)).astype(np.uint32)
@@ -151,7 +152,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     shared = shared.filter("first < other").select("digest", "first", F.shiftright("place", 32).cast("int").alias("first_tid"),
                                                    F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("first_a"))
     copies = every.join(shared, "digest").filter("doc_id > first").select(
-        "doc_id", "tid", "no", "a", "b", "first", "first_tid", (F.col("a") - F.col("first_a")).alias("shift")).distinct()
+        "doc_id", "tid", "no", "a", "b", "first", "first_tid", (F.col("a") - F.col("first_a")).alias("shift"))
+    copies = copies.repartition("doc_id", "tid").dropDuplicates(["doc_id", "tid", "no"])  # of rows that repeat an id and text
 
     before = Window.partitionBy("doc_id", "tid").orderBy("no")
     follows = (F.lag("no").over(before) == F.col("no") - 1) & (F.lag("first").over(before) == F.col("first")) & (
@@ -164,14 +166,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     there = runs.select(F.col("first").alias("doc_id"), F.col("first_tid").alias("tid"), (F.col("a") - F.col("shift")).alias("a"), (F.col("b") - F.col("shift")).alias("b"))
     spans = runs.select("doc_id", "tid", "a", "b").unionByName(there).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     around = durable(texts.join(spans, ["doc_id", "tid"]).select("doc_id", "tid", "text", "spans").mapInArrow(
-        _surroundings, "doc_id bigint, tid int, a int, b int, left array<int>, right array<int>, starts array<int>, ends array<int>").distinct())
+        _surroundings, "doc_id bigint, tid int, a int, b int, left array<int>, right array<int>, starts array<int>, ends array<int>"))
     held = around.select(F.col("doc_id").alias("first"), F.col("tid").alias("first_tid"), F.col("a").alias("first_a"), F.col("b").alias("first_b"),
                          F.col("left").alias("first_left"), F.col("right").alias("first_right"))
     both = runs.withColumn("first_a", F.col("a") - F.col("shift")).withColumn("first_b", F.col("b") - F.col("shift")).join(
         around, ["doc_id", "tid", "a", "b"]).join(held, ["first", "first_tid", "first_a", "first_b"])
     both = both.withColumn("more_left", _agree("left", "first_left")).withColumn("more_right", _agree("right", "first_right"))
     long = both.select("doc_id", "tid", *holder, "n_chunks", (F.col("a") - F.col("more_left")).alias("a"), (F.col("b") + F.col("more_right")).alias("b"),
-                       F.get("starts", F.col("more_left")).alias("start"), F.get("ends", F.col("more_right")).alias("end"))
+                       F.get("starts", F.col("more_left")).alias("start"), F.get("ends", F.col("more_right")).alias("end")).distinct()
 
     meet = Window.partitionBy("doc_id", "tid", *holder).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     passages = _islands(long, ["doc_id", "tid", *holder], "a", F.col("a") > F.max("b").over(meet)).groupBy("doc_id", "tid", *holder, "island").agg(
