@@ -180,17 +180,23 @@ def _window_heaps(size: int, low: int, high: int):
     return run
 
 
-def _grid(anchors: DataFrame, rows: DataFrame, key: str, sizes: tuple[int, int]) -> DataFrame:
-    """Blocks of anchors against blocks of rows within each value of ``key``; rows of the grid carry ``x, y``."""
-    n_a = anchors.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / sizes[0]).cast("int").alias("c_a"))
-    n_r = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / sizes[1]).cast("int").alias("c_r"))
-    cells = durable(n_a.join(n_r, key))
+def _grid(anchors: DataFrame, rows: DataFrame, sizes: tuple[int, int], key: str | None = None) -> DataFrame:
+    """Blocks of anchors against blocks of rows, within each value of ``key`` or of all; rows of the grid carry ``x, y``."""
+    if key:
+        n_a = anchors.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / sizes[0]).cast("int").alias("c_a"))
+        n_r = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / sizes[1]).cast("int").alias("c_r"))
+        cells = durable(n_a.join(n_r, key))
+        anchors, rows = anchors.join(cells, key), rows.join(cells, key)
+    else:
+        c_a, c_r = (F.lit(max(-(-df.count() // most), 1)) for df, most in ((anchors, sizes[0]), (rows, sizes[1])))
+        anchors, rows = (df.withColumn("c_a", c_a).withColumn("c_r", c_r) for df in (anchors, rows))
+    cell = F.col(key) if key else F.lit(0).cast("bigint")
 
     def dealt(df: DataFrame, own: str, other: str, anchor: bool, chosen: Column) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias("mine")
-        each = df.join(cells, key).select(key, "vec_id", "label", "kind", "raw", chosen.alias("chosen"), mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
+        each = df.select(cell.alias("cell"), "vec_id", "label", "kind", "raw", chosen.alias("chosen"), mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
         x, y = ("mine", "theirs") if anchor else ("theirs", "mine")
-        return each.select(F.col(key).alias("cell"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(anchor).alias("anchor"), "vec_id", "label", "kind", "raw", "chosen")
+        return each.select("cell", F.col(x).alias("x"), F.col(y).alias("y"), F.lit(anchor).alias("anchor"), "vec_id", "label", "kind", "raw", "chosen")
 
     chosen_type = "array<struct<positive_id:bigint,positive_score:bigint>>"
     of_anchor = F.col("chosen") if "chosen" in anchors.columns else F.lit(None).cast(chosen_type)
@@ -222,13 +228,13 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     few = max(1024, n // (4 * rows.sparkSession.sparkContext.defaultParallelism))
     sizes = (most, min(most, few))
     anchors = rows.filter(anchor)
-    best = _grid(anchors, rows, "label", sizes).groupBy("cell", "x", "y").applyInPandas(
+    best = _grid(anchors, rows, sizes, "label").groupBy("cell", "x", "y").applyInPandas(
         _positive_heaps(positives), "anchor_id bigint, positive_id bigint, positive_score bigint")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     best = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= positives)
     chosen = best.groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("chosen"))
-    chosen = durable(anchors.join(chosen, anchors["vec_id"] == chosen["anchor_id"]).select("vec_id", "label", "kind", "raw", "chosen", F.lit(0).alias("all")))
-    found = _grid(chosen, rows.withColumn("all", F.lit(0)), "all", sizes).groupBy("cell", "x", "y").applyInPandas(
+    chosen = durable(anchors.join(chosen, anchors["vec_id"] == chosen["anchor_id"]).select("vec_id", "label", "kind", "raw", "chosen"))
+    found = _grid(chosen, rows, sizes).groupBy("cell", "x", "y").applyInPandas(
         _window_heaps(negatives, low, high), "anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint")
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
