@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.tokens import mix, pieces, seeds, shingle_sets
+from docassay.llm.tokens import mix, pieces, seeds, settle, settled, shingle_sets
 from docassay.operators.network import components
 from docassay.session import durable
 
 #: Sketch coordinates: bands times rows. At a similarity of 0.8 a pair misses all 24 bands with probability 7e-5.
 BANDS, ROWS = 24, 5
 #: Bounds on the side of a block: classes, and their shingles together.
-CHUNK, CHUNK_SHINGLES = 256, 1 << 20
+CHUNK, CHUNK_SHINGLES = 256, 1 << 18
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                     pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                 ], ["doc_id", "n_shingles", "digest", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(settled(run), schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a bigint, b bigint, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")).filter("ok").select("a", "b")
+    return joined.mapInArrow(settled(run), "a bigint, b bigint, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")).filter("ok").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -169,7 +169,10 @@ def _block_links(now: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
     def run(block):
         sets = shingle_sets([t.encode() if t else None for t in block["text"]], words)
-        return _joining(block["node"].to_numpy(), block["comp"].to_numpy(), sets, percent)
+        links = _joining(block["node"].to_numpy(), block["comp"].to_numpy(), sets, percent)
+        del sets, block
+        settle()
+        return links
 
     return rows.join(texts, "node").groupBy("key", "x", "y").applyInPandas(run, "a bigint, b bigint").distinct()
 

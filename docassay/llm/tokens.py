@@ -7,14 +7,20 @@ but the bytes, so every executor and every rerun agrees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
 #: Bytes of text handled at once inside a task; bounds the memory of the hash arrays (about 60 bytes per byte).
-PIECE = 2 << 20
+PIECE = 1 << 20
+#: Powers that stay in memory between tasks.
+KEPT = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,6 +44,30 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
+def settled(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which the task's memory goes back to the system: Python workers outlive their
+    tasks, and what they still hold is missing to the next stage."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return wrapped
+
+
+def settle() -> None:
+    for k in (0, 1):
+        if len(_powers[k]) > KEPT:
+            _powers[k] = _powers[k][:KEPT].copy()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_ODD, _INVERSE)):

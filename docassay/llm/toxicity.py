@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docassay.llm.tokens import settled
 from docassay.session import durable
 
 #: Labelled rows used for training at most, and features kept at most (those that separate the labels best).
@@ -35,7 +36,7 @@ LEAST, SEPARATION, SPARSE, COUNTERFACTUAL = 3, 2.5, 5e-4, 1.0
 REFIT = 0.05
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+CACHE = 100_000
 #: Documents of which the features are held as Python objects at once.
 ROWS = 64
 #: Identity terms by group; the first of each group is the neutral one.
@@ -137,7 +138,7 @@ def train(labelled: DataFrame, identity: dict[str, list[str]] = IDENTITY, counte
                     counts.append(list(found.items()))
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(counts, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "features"])
 
-    bags = durable(chosen.mapInArrow(run, "doc_id bigint, toxic int, features map<string,int>"))
+    bags = durable(chosen.mapInArrow(settled(run), "doc_id bigint, toxic int, features map<string,int>"))
     totals = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -222,7 +223,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, score double, predicted int")
+        settled(run), "doc_id bigint, score double, predicted int")
 
 
 def held_out() -> Column:
