@@ -38,10 +38,15 @@ def org_ratio(a: Column, b: Column) -> Column:
     return edit_ratio(normal_org(a), normal_org(b))
 
 
+# Labels that may follow a name on its line, and titles before it.
+LABELS = ["a/?c", "account", "pan", "aadhaar", "dob", "address"]
+TITLES = ["mr", "mrs", "ms", "miss", "shri", "smt", "dr", "m/s"]
+
+
 def normal_name(c: Column) -> Column:
     """Person name in capitals, without titles and trailing labels; null when nothing is left."""
-    s = F.regexp_replace(F.trim(c), r"(?i)\s+(?:a/?c|account|pan|aadhaar|dob|address).*$", "")
-    s = F.regexp_replace(s, r"(?i)^(?:mr|mrs|ms|miss|shri|smt|dr|m/s)\.?\s+", "")
+    s = F.regexp_replace(F.trim(c), rf"(?i)\s+(?:{'|'.join(LABELS)}).*$", "")
+    s = F.regexp_replace(s, rf"(?i)^(?:{'|'.join(TITLES)})\.?\s+", "")
     s = F.regexp_replace(s, r"[^A-Za-z\s]", " ")
     return F.nullif(F.upper(F.trim(F.regexp_replace(s, r"\s+", " "))), F.lit(""))
 

@@ -13,11 +13,11 @@ from docassay.rulebook import (
     RED_FLAG, REJECT_SCORE, REVIEW_AT, SUBSTANTIVE_SIGNALS,
 )
 
-# Recommended action per verdict.
+# What to do with a document, per verdict.
 ACTIONS = {
-    "APPROVED": "Proceed — integrity checks passed; no human review required for document integrity.",
-    "REVIEW": "Route to a human underwriter — at least one signal is inconclusive or flagged.",
-    "REJECTED": "Reject / escalate to fraud ops — strong tampering or failed verification.",
+    "APPROVED": "Accept the document: nothing speaks against its integrity.",
+    "REVIEW": "Have a person look at it: a check is open, weak or suspicious.",
+    "REJECTED": "Do not accept it, and hand it to the fraud desk.",
 }
 
 
@@ -214,14 +214,6 @@ def resolve_label(requests: DataFrame, labels: DataFrame, key: str) -> DataFrame
         F.min_by("label", F.when(F.col("label").isNotNull(), F.struct((~exact).cast("int"), "label"))).alias("label"))
 
 
-def narratives(packs: DataFrame) -> DataFrame:
-    """Template narrative of a pack."""
-    reasons = F.when(F.size("flagged") == 0, F.lit("No specific reasons or adverse signals were recorded.")).otherwise(
-        F.concat(F.lit("Key automated findings:\n- "), F.array_join("flagged", "\n- ")))
-    return packs.withColumn("findings", reasons).withColumn(
-        "action", F.concat(F.lit("Deterministic recommendation: "), F.col("verdict"), F.lit(".")))
-
-
 def contradiction_filter(df: DataFrame, action: str = "action_text", fallback: str = "fallback") -> DataFrame:
     """Replace narratives whose action contradicts the verdict."""
     low = F.lower(action)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docassay.functions.money import close
 from docassay.operators import checks as C
 from docassay.operators.claims import money_scalars, transactions
-from docassay.operators.scan import exact_median
+from docassay.operators.scan import exact_median, hot_keys
 from docassay.session import durable
 from docassay.rulebook import MATERIAL_FRACTION, MONEY_TOLERANCE, RULES, SEVERITY_BANDS, TRUST_GATE
 
@@ -59,11 +59,14 @@ def misfiled_rows(txns: DataFrame, base: DataFrame | None = None) -> DataFrame:
         )).alias("c"),
     ).select("doc_id", "index", "c.side", F.round(F.col("c.px") * 1000).cast("bigint").alias("x"))
     cells = cells.filter(F.col("x").isNotNull())
-    # heavy documents are heavy on either side: the count is taken per document and side of the base
-    wide = None if base is None else base.select("doc_id", F.explode(F.array(F.lit("debit"), F.lit("credit"))).alias("side"))
-    med = exact_median(cells, ["doc_id", "side"], "x", base=wide)
-    n = cells.groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n"))
-    both = med.join(n, ["doc_id", "side"]).groupBy("doc_id").agg(
+    n = F.count(F.lit(1)).alias("n")
+    if base is not None and hot_keys(base, ["doc_id"]) is None:  # then no side of a document is heavy either
+        med = cells.groupBy("doc_id", "side").agg(F.percentile("x", 0.5).alias("median"), n)
+    else:
+        # heavy documents are heavy on either side: the count is taken per document and side of the base
+        wide = None if base is None else base.select("doc_id", F.explode(F.array(F.lit("debit"), F.lit("credit"))).alias("side"))
+        med = exact_median(cells, ["doc_id", "side"], "x", base=wide).join(cells.groupBy("doc_id", "side").agg(n), ["doc_id", "side"])
+    both = med.groupBy("doc_id").agg(
         F.max(F.when(F.col("side") == "debit", F.col("median"))).alias("debit_m"),
         F.max(F.when(F.col("side") == "credit", F.col("median"))).alias("credit_m"),
         F.min("n").alias("least"), F.count(F.lit(1)).alias("sides"),
@@ -92,9 +95,13 @@ def swap_rows(breaks: DataFrame, tol: str = MONEY_TOLERANCE) -> DataFrame:
 def f1(txns: DataFrame, scal: DataFrame, tol: str = MONEY_TOLERANCE, base: DataFrame | None = None) -> DataFrame:
     """Running balance. Breaks after unread rows, in misfiled rows or explained by a swap are pending."""
     rows = C.linear_balance(chain_rows(txns, scal), ["doc_id"], base=base if base is not None else txns, tol=tol)
+    # written once: the breaks, their doubts and what can be evaluated are all read from it
+    rows = durable(rows.select("doc_id", "index", "anchor", "credit", "debit", "printed", "expected", "unread", "broken", "has_box"))
     breaks = rows.filter("broken")
     sure = breaks.filter(F.col("unread") == 0)
-    doubt = misfiled_rows(txns, base).withColumn("why", F.lit("misfiled")).unionByName(
+    # columns matter only where a sure break could be explained by them
+    in_doubt = txns.join(sure.select("doc_id").distinct(), "doc_id", "left_semi")
+    doubt = misfiled_rows(in_doubt, base).withColumn("why", F.lit("misfiled")).unionByName(
         swap_rows(sure, tol).withColumn("why", F.lit("swap")))
     doubt = doubt.groupBy("doc_id", "index").agg(F.min("why").alias("why"))
     tagged = breaks.join(doubt, ["doc_id", "index"], "left")

@@ -127,8 +127,10 @@ def mine(cases: DataFrame, features: list[str], target: str = "is_fraud", min_su
     prof = durable(profiles(cases, every, features, target).withColumn("profile", F.monotonically_increasing_id()))
     holds = prof.select("profile", "n", "f", F.explode("held").alias("atom"))
     single = _measured(holds.groupBy("atom").agg(F.sum("n").alias("n"), F.sum("f").alias("f")), total, fraud).filter("lift > 1")
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("lift"), F.desc("confidence"), "feature", "op", "text"))
-    useful = durable(single.join(every, "atom").withColumn("place", place))
+    falling = single.join(every, "atom").withColumn("_all", F.lit(0)).withColumn("_lift", -F.col("lift")).withColumn("_confidence", -F.col("confidence"))
+    # atoms of a text feature are as many as its values: they are numbered in ranges where they are very many
+    useful = durable(ordered(durable(falling), ["_all"], ["_lift", "_confidence", "feature", "op", "text"], sums={"place": F.lit(1).cast("bigint")}).drop(
+        "_all", "_lift", "_confidence").withColumn("place", F.col("place").cast("int")))
     met = durable(holds.join(useful.select("atom", "place", "feature"), "atom").select("profile", "n", "f", "place", "feature"))
     rules = useful.select(F.col("place").alias("seed"), F.array("place").alias("taken"), F.array("feature").alias("used"), "confidence", "support", "lift", F.lit(True).alias("open"))
     for _ in range(max_predicates - 1):
@@ -147,8 +149,9 @@ def mine(cases: DataFrame, features: list[str], target: str = "is_fraud", min_su
                          *[F.when(grown, F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in ("confidence", "support", "lift")], grown.alias("open"))
     good = rules.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
     sets = good.groupBy(F.sort_array("taken").alias("taken")).agg(F.min("seed").alias("seed"), *[F.max(c).alias(c) for c in ("confidence", "support", "lift")])
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("confidence"), F.desc("support"), F.desc("lift"), "seed"))
-    best = sets.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    order = [F.desc("confidence"), F.desc("support"), F.desc("lift"), F.asc("seed")]
+    top = sets.orderBy(*order).limit(top_k)
+    best = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))  # of top_k rows
     named = best.withColumn("place", F.explode("taken")).join(useful.select("place", "feature", "op", "bound", "text"), "place")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("feature", "op", "text", "bound"))), lambda p: F.struct(p["feature"].alias("feature"), p["op"].alias("op"), p["bound"].alias("bound"), p["text"].alias("text")))
     return named.groupBy("rank", "confidence", "support", "lift").agg(listed.alias("predicates")).select(

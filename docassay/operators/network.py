@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docassay.functions.hashing import hamming, hash_words
 from docassay.operators.match import hash_matches
 from docassay.rulebook import HAMMING_THRESHOLD, RING_DEFAULT_WEIGHT, RING_KIND_WEIGHT, RING_MIN_SIZE, RING_MIN_WEIGHT
 from docassay.session import durable, release
@@ -69,6 +70,73 @@ def best_match(matches: DataFrame) -> DataFrame:
         "query_id", "m.*")
 
 
+#: A query with more tokens than this has its matches listed instead of looked up by subsets.
+SUBSET_TOKENS = 8
+
+
+def _token_sets(df: DataFrame, tokens: str, empty: bool) -> DataFrame:
+    """One row per subset of the sorted array ``tokens``: ``set_key`` and its size ``n``; the empty one only if asked for."""
+    subsets = F.expr(f"transform(sequence({0 if empty else 1}, cast(shiftleft(1, size({tokens})) as int) - 1), "
+                     f"m -> filter({tokens}, (t, i) -> shiftright(m, i) % 2 = 1))")
+    none = F.array().cast("array<array<string>>")
+    subsets = F.when(F.size(tokens) > 0, subsets).otherwise(F.array(F.array().cast("array<string>")) if empty else none)
+    each = df.withColumn("_set", F.explode(subsets))
+    return each.withColumn("set_key", F.sha2(F.array_join("_set", ","), 256)).withColumn("n", F.size("_set")).drop("_set", tokens)
+
+
+def _strongest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The winner of each key from ``base`` (strength without tokens), ``n`` and ``entry_id``: strengths are cut at 1, so
+    of entries beyond it the earliest wins."""
+    full = F.round(F.col("base") + 0.15 * F.col("n"), 6)
+    g = df.withColumn("full", full).groupBy(*keys).agg(
+        F.max(F.struct(F.col("full").alias("s"), (-F.col("entry_id")).alias("e"))).alias("top"), F.min(F.when(F.col("full") >= 1.0, F.col("entry_id"))).alias("cut"))
+    return g.select(*keys, F.least(F.lit(1.0), F.col("top.s")).alias("strength"), F.coalesce("cut", -F.col("top.e")).alias("entry_id"))
+
+
+def best_matches(entries: DataFrame, entry_tokens: DataFrame, queries: DataFrame, query_tokens: DataFrame,
+                 threshold: int = HAMMING_THRESHOLD) -> DataFrame:
+    """``best_match(query_registry(...))`` without a list of matches.
+
+    An entry has one token of each of few kinds. For every subset of its tokens it competes once; of each subset only the
+    winner stays, and likewise of each subset together with each near hash. The entry that matches a query best matches it
+    in some subset of the query's tokens and is, or ties with, that subset's winner, whose strength cannot be less than
+    stated. So a query reads one row per subset, however many entries share its tokens or its hash.
+    """
+    e = entries.select("entry_key", "entry_id", "hash_hex", "banks")
+    held = entry_tokens.groupBy("entry_key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    e = durable(e.join(held, "entry_key", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))))
+    asked = query_tokens.groupBy("query_id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    q = queries.join(asked, "query_id", "full").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    q = durable(q.select("query_id", "hash_hex", "tokens"))
+    wide = q.filter(F.size("tokens") > SUBSET_TOKENS)
+    q = q.filter(F.size("tokens") <= SUBSET_TOKENS)
+
+    peers = 0.05 * F.greatest(F.lit(0), F.col("banks") - 1)
+    by_token = _strongest(_token_sets(e.select("entry_id", "tokens", peers.alias("base")), "tokens", False), ["set_key", "n"])
+    near = hash_matches(q.filter("hash_hex is not null").select("hash_hex"), e.filter("hash_hex is not null").select("hash_hex"), threshold)
+    close = near.join(e, F.col("s_hex") == F.col("hash_hex")).select("q_hex", "entry_id", "tokens", (1.0 - F.col("distance") / 16.0 + peers).alias("base"))
+    by_hash = _strongest(_token_sets(close, "tokens", True), ["q_hex", "set_key", "n"])
+
+    wanted = _token_sets(q, "tokens", True)
+    found = wanted.join(by_token.drop("n"), "set_key").select("query_id", "strength", "entry_id").unionByName(
+        wanted.join(by_hash.drop("n"), (wanted["set_key"] == by_hash["set_key"]) & (wanted["hash_hex"] == by_hash["q_hex"])).select("query_id", "strength", "entry_id"))
+    best = found.groupBy("query_id").agg(F.max(F.struct("strength", (-F.col("entry_id")).alias("e"))).alias("m")).select(
+        "query_id", (-F.col("m.e")).alias("entry_id"), F.col("m.strength").alias("strength"))
+    # the details of the one winner
+    own = e.select("entry_id", F.col("hash_hex").alias("s_hex"), F.col("tokens").alias("entry_tokens"), "entry_key")
+    best = best.join(own, "entry_id").join(q, "query_id")
+    d = hamming(hash_words(F.col("hash_hex")), hash_words(F.col("s_hex")))
+    best = best.withColumn("distance", F.when(F.coalesce(d <= threshold, F.lit(False)), d).otherwise(F.lit(-1)).cast("int"))
+    kinds = best.select("query_id", "entry_key", F.explode(F.array_intersect("tokens", "entry_tokens")).alias("token")).join(
+        entry_tokens, ["entry_key", "token"]).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    out = best.join(kinds, "query_id", "left").join(entries.select("entry_id", "label", "threat_class", "banks", "seen_count"), "entry_id").select(
+        "query_id", "entry_id", "label", "threat_class", "distance", F.coalesce("kinds", F.lit("")).alias("kinds"), "banks", "seen_count", "strength")
+    if wide.isEmpty():
+        return out
+    listed = query_registry(entries, entry_tokens, wide.select("query_id", "hash_hex"), query_tokens.join(wide.select("query_id"), "query_id", "left_semi"), threshold)
+    return out.unionByName(best_match(listed).select(*out.columns).withColumn("distance", F.col("distance").cast("int")))
+
+
 def registry_advisory(best: DataFrame) -> DataFrame:
     return best.select(
         "query_id", F.lit("fraud_registry").alias("source"), "entry_id",

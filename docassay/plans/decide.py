@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docassay.operators import audit as U
 from docassay.operators import corroborate as CO
 from docassay.operators import decision as V
+from docassay.operators import run as RUN
 from docassay.plans import rules as RQ
 from docassay.plans.oracle_inputs import cte
 from docassay.plans.registry import query
@@ -44,7 +45,7 @@ def de03(spark, d):
     return V.provenance(A.signals(spark, d), ["doc_id"])
 
 
-cte("verdicts", """
+VERDICTS = """
     WITH s AS (SELECT *, status = 'VALID' AND weight > 0 AS ok, coalesce(red_flag = 'pdf_only_when_pullable', false) AS red,
         suspicion::DECIMAL(9,6) AS sd, weight::DECIMAL(9,6) AS wd FROM signals),
     g AS (SELECT doc_id,
@@ -67,7 +68,8 @@ cte("verdicts", """
         WHEN ad IS NULL OR (v = 'REJECTED' AND soft) OR (v = 'APPROVED' AND NOT (subst AND agrees)) THEN 'REVIEW' ELSE v END AS verdict,
       CASE WHEN tampered OR (NOT hard AND verified) THEN 'source-verified' ELSE 'forensic-fallback' END AS tier,
       CASE WHEN tampered OR hard THEN true WHEN verified THEN err WHEN ad IS NULL OR (v = 'REJECTED' AND soft) OR (v = 'APPROVED' AND NOT (subst AND agrees)) THEN true ELSE err END AS fail_closed
-    FROM z""", "signals")
+    FROM z"""
+cte("verdicts", VERDICTS, "signals")
 
 
 @query("de04_verdict", "SELECT * FROM verdicts", ("verdicts",))
@@ -362,17 +364,44 @@ def jn10(spark, d):
     return CO.claimed_identity(claimed, doc, ["bundle_id"]).select("bundle_id", "basis", "state")
 
 
+# pass two: the income signal of the bundle stands among the signals of each of its documents
+cte("members", "SELECT o_orderkey AS doc_id, o_custkey AS bundle_id FROM orders WHERE o_orderkey IN (SELECT doc_id FROM signals)", "signals")
+cte("signals_two", """
+    SELECT * FROM signals UNION ALL BY NAME SELECT doc_id, 99 AS ord, 'cross_source_corroboration' AS name, 2 AS layer, 'VALID' AS status, suspicion, 0.40::DOUBLE AS weight,
+      false AS hard_reject, false AS review_only FROM members JOIN income_sig USING (bundle_id)""", "signals", "members", "income_sig")
+cte("verdicts_two", VERDICTS.replace("FROM signals)", "FROM signals_two)").replace(
+    "name = 'cross_document_consistency' AND suspicion", "name IN ('cross_document_consistency', 'cross_source_corroboration') AND suspicion"), "signals_two")
+
+
+def bundles(spark, d):
+    claims = A.claims(spark, d)
+    s = A.signals(spark, d)
+    members = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("bundle_id")).join(
+        s.select("doc_id").distinct(), "doc_id", "left_semi")
+    ident = durable(CO.identity_signal(identity_comparisons(spark, d), ["bundle_id"]))
+    return RUN.bundle_run(s, members, ident, durable(income_signal(spark, d, claims)), "bundle_id")
+
+
 @query("de06_bundle_verdict", """
-    WITH d AS (SELECT bundle_id, min(score) AS low, count(*) AS documents, max(CASE verdict WHEN 'REJECTED' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END) AS worst, bool_or(fail_closed) AS fc
-      FROM (SELECT doc_id % 1000 AS bundle_id, score, verdict, fail_closed FROM verdicts) GROUP BY 1),
-    x AS (SELECT d.*, least(low, 100 * (1 - i.suspicion), 100 * (1 - c.suspicion)) AS s, coalesce(hard_reject, false) AS h, coalesce(i.disagreeing, 0) > 0 AS ib, coalesce(c.disagreeing, 0) > 0 AS cb
+    WITH d AS (SELECT bundle_id, min(score) AS low, count(*) AS documents, max(CASE verdict WHEN 'REJECTED' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END) AS worst, bool_or(fail_closed) AS fc,
+        list(doc_id ORDER BY doc_id) FILTER (verdict = 'REJECTED') AS rej FROM members JOIN verdicts_two USING (doc_id) GROUP BY 1),
+    x AS (SELECT d.*, least(low, 100 * (1 - i.suspicion), 100 * (1 - c.suspicion)) AS s, coalesce(hard_reject, false) AS h, coalesce(i.disagreeing, 0) > 0 AS ib, coalesce(c.disagreeing, 0) > 0 AS cb,
+        i.bundle_id IS NOT NULL AS iv, c.bundle_id IS NOT NULL AS cv
       FROM d LEFT JOIN identity_sig i USING (bundle_id) LEFT JOIN income_sig c USING (bundle_id)),
     y AS (SELECT *, greatest(worst, CASE WHEN s >= 85 THEN 0 WHEN s >= 60 THEN 1 ELSE 2 END, CASE WHEN h THEN 2 WHEN ib OR cb THEN 1 ELSE 0 END) AS r FROM x)
-    SELECT bundle_id, documents, round(s, 2) AS bundle_score, ['APPROVED', 'REVIEW', 'REJECTED'][r + 1] AS bundle_verdict, ib OR cb OR fc AS fail_closed FROM y""", ("verdicts", "identity_sig", "income_sig"))
+    SELECT bundle_id, documents, round(s, 2) AS bundle_score, ['APPROVED', 'REVIEW', 'REJECTED'][r + 1] AS bundle_verdict, ib OR cb OR fc AS fail_closed,
+      CASE WHEN h THEN 'identity: a hard identifier differs' WHEN ib THEN 'identity: a soft discrepancy' WHEN iv THEN 'identity: documents agree' ELSE 'identity: not evaluated' END
+      || CASE WHEN cb THEN '; income: sources disagree' WHEN cv THEN '; income: sources agree' ELSE '' END
+      || coalesce('; ' || array_to_string(list_transform(rej, lambda k: 'document ' || k || ' is rejected'), '; '), '') AS reasons FROM y""",
+       ("members", "verdicts_two", "identity_sig", "income_sig"))
 def de06(spark, d):
-    docs = V.verdicts(A.signals(spark, d), ["doc_id"]).withColumn("bundle_id", F.col("doc_id") % 1000)
-    ident = CO.identity_signal(identity_comparisons(spark, d), ["bundle_id"])
-    return V.bundle_verdicts(docs, ident, income_signal(spark, d), "bundle_id")
+    b = bundles(spark, d)[1]
+    return b.select("bundle_id", "documents", "bundle_score", "bundle_verdict", "fail_closed", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("de06_bundle_documents", "SELECT bundle_id, doc_id, score, verdict, fail_closed FROM members JOIN verdicts_two USING (doc_id)", ("members", "verdicts_two"))
+def de06_documents(spark, d):
+    return bundles(spark, d)[0].select("bundle_id", "doc_id", "score", "verdict", "fail_closed")
 
 
 @query("co11_party_identity", """

@@ -228,12 +228,47 @@ def mined(spark, d):
     return MI.mine(durable(A.labelled_cases(spark, d)), FEATURES, min_support=0.02, min_confidence=0.5)
 
 
-@query("mi03_mined_rules")
+def _grown(of: str, parts: int) -> str:
+    """The atom that each open rule of ``of`` takes next: the highest confidence above its own, at support 0.02."""
+    held = " ".join(f"JOIN met m{k} ON m{k}.id = m.id AND m{k}.place = r.taken[{k}]" for k in range(1, parts + 1))
+    return f"""SELECT * FROM (
+      SELECT seed, place, feature, f / n AS conf, f / fraud AS sup, (f / n) / (fraud / total) AS lift, now FROM (
+        SELECT r.seed, r.conf AS now, m.place, m.feature, count(*) AS n, count_if(m.is_fraud) AS f FROM met m JOIN {of} r ON r.open AND NOT list_contains(r.used, m.feature) {held} GROUP BY ALL), tot)
+      WHERE conf > now AND sup >= 0.02 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY conf DESC, place) = 1"""
+
+
+def _next(of: str, step: str) -> str:
+    return (f"SELECT seed, CASE WHEN g.place IS NULL THEN taken ELSE list_append(taken, g.place) END AS taken, CASE WHEN g.place IS NULL THEN used ELSE list_append(used, g.feature) END AS used, "
+            f"coalesce(g.conf, r.conf) AS conf, coalesce(g.sup, r.sup) AS sup, coalesce(g.lift, r.lift) AS lift, g.place IS NOT NULL AS open FROM {of} r LEFT JOIN {step} g USING (seed)")
+
+
+cte("mined_rules", f"""
+    WITH v AS (SELECT DISTINCT 'n_chars' AS feature, n_chars AS v FROM labelled_cases UNION SELECT DISTINCT 'toxic', toxic FROM labelled_cases),
+    mp AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY v) - 2 AS i, (v + lag(v) OVER (PARTITION BY feature ORDER BY v)) / 2 AS mid FROM v),
+    nm AS (SELECT feature, count(*) AS n FROM mp WHERE mid IS NOT NULL GROUP BY 1),
+    thin AS (SELECT feature, mid FROM mp JOIN nm USING (feature) WHERE mid IS NOT NULL AND (n <= 12 OR i IN (SELECT floor(j * (n / 12.0::DOUBLE))::BIGINT FROM generate_series(0, 11) t(j)))),
+    a AS (SELECT feature, op, mid AS bound, mid::VARCHAR AS text FROM thin, (SELECT unnest(['ge', 'lt']) AS op)
+      UNION ALL SELECT DISTINCT 'lang', 'eq', NULL, lang FROM labelled_cases UNION ALL SELECT DISTINCT 'source', 'eq', NULL, source FROM labelled_cases),
+    c AS (SELECT *, row_number() OVER () AS id FROM labelled_cases), tot AS (SELECT count(*) AS total, count_if(is_fraud) AS fraud FROM c),
+    h AS (SELECT id, is_fraud, a.* FROM c JOIN a ON CASE op WHEN 'eq' THEN CASE feature WHEN 'lang' THEN lang ELSE source END = text
+      WHEN 'ge' THEN CASE feature WHEN 'n_chars' THEN n_chars ELSE toxic END >= bound ELSE CASE feature WHEN 'n_chars' THEN n_chars ELSE toxic END < bound END),
+    u AS (SELECT *, row_number() OVER (ORDER BY lift DESC, conf DESC, feature, op, text) AS place FROM (
+      SELECT feature, op, text, f / n AS conf, f / fraud AS sup, (f / n) / (fraud / total) AS lift FROM (SELECT feature, op, text, count(*) AS n, count_if(is_fraud) AS f FROM h GROUP BY 1, 2, 3), tot) WHERE lift > 1),
+    met AS (SELECT id, is_fraud, place, feature FROM h JOIN u USING (feature, op, text)),
+    r1 AS (SELECT place AS seed, [place] AS taken, [feature] AS used, conf, sup, lift, true AS open FROM u),
+    g2 AS ({_grown('r1', 1)}), r2 AS ({_next('r1', 'g2')}), g3 AS ({_grown('r2', 2)}), r3 AS ({_next('r2', 'g3')}),
+    s AS (SELECT list_sort(taken) AS taken, min(seed) AS seed, max(conf) AS conf, max(sup) AS sup, max(lift) AS lift FROM r3 WHERE sup >= 0.02 AND conf >= 0.5 GROUP BY 1),
+    b AS (SELECT *, row_number() OVER (ORDER BY conf DESC, sup DESC, lift DESC, seed) AS rank FROM s QUALIFY rank <= 10)
+    SELECT printf('R-%03d', rank) AS rule_id, (SELECT string_agg(feature || ' ' || op || ' ' || text, ' AND ' ORDER BY feature, op, text) FROM u WHERE list_contains(b.taken, u.place)) AS predicates,
+      round(conf, 3) AS confidence, round(sup, 3) AS support, round(lift, 3) AS lift, round(least(0.9::DOUBLE, conf), 2) AS suspicion, conf, sup, rank FROM b""", "labelled_cases")
+
+
+@query("mi03_mined_rules", "SELECT rule_id, predicates, confidence, support, lift, suspicion FROM mined_rules", ("mined_rules",))
 def mi03(spark, d):
     return MI.rules_frame(mined(spark, d))
 
 
-@query("or01_top_rules")
+@query("or01_top_rules", "SELECT rule_id, predicates, confidence, support, lift, suspicion FROM mined_rules QUALIFY row_number() OVER (ORDER BY confidence DESC, support DESC, lift DESC, rule_id) <= 5", ("mined_rules",))
 def or01(spark, d):
     return MI.rules_frame(mined(spark, d)).orderBy(F.desc("confidence"), F.desc("support"), F.desc("lift"), "rule_id").limit(5)
 

@@ -133,6 +133,12 @@ def registry_matches(spark, d):
     return G.query_registry(G.registry_entries(r), G.registry_tokens(r, t), q, qt)
 
 
+def registry_best(spark, d):
+    r, t = reports(spark, d)
+    q, qt = asks(spark, d)
+    return G.best_matches(G.registry_entries(r), G.registry_tokens(r, t), q, qt)
+
+
 @query("fe02_membership_query", "SELECT query_id, entry_id, distance, kinds FROM registry_matches", ("registry_matches",))
 def fe02(spark, d):
     return registry_matches(spark, d).select("query_id", "entry_id", F.col("distance").cast("int").alias("distance"), "kinds")
@@ -140,13 +146,13 @@ def fe02(spark, d):
 
 @query("fe03_best_match", "SELECT query_id, entry_id, strength FROM registry_best", ("registry_best",))
 def fe03(spark, d):
-    return G.best_match(registry_matches(spark, d)).select("query_id", "entry_id", "strength")
+    return registry_best(spark, d).select("query_id", "entry_id", "strength")
 
 
 @query("fe04_registry_advisory", """
     SELECT query_id, entry_id, round(least(0.97, 0.6 + 0.4 * strength), 6)::DOUBLE AS suspicion, round(least(1.0, 0.7 + 0.1 * banks), 6)::DOUBLE AS confidence FROM registry_best""", ("registry_best",))
 def fe04(spark, d):
-    return G.registry_advisory(G.best_match(registry_matches(spark, d))).select("query_id", "entry_id", "suspicion", "confidence")
+    return G.registry_advisory(registry_best(spark, d)).select("query_id", "entry_id", "suspicion", "confidence")
 
 
 @query("jn04_token_join", "SELECT query_id, entry_id, kinds FROM registry_matches WHERE kinds <> ''", ("registry_matches",))
