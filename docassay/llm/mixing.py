@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, LIMIT = (5, 2, 1), 3
 #: Rows of a block of the running sum, and the unit of an expected copy.
 BLOCK, UNIT = 1 << 14, 1_000_000_000
+#: Columns that the mix adds, and the one that carries a whole row through it.
+RESULTS, WHOLE = ("size", "source_size", "target", "copies"), "_whole"
 
 
 def word_count(text: Column) -> Column:
@@ -56,14 +58,17 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, limi
 
     ``docs``: doc_id, text, source and whatever else is to be carried. Defined cases: a null text has size 0; a null
     source is a source of its own, last in order; a source without words has target 0 and gets no copies; rows with one
-    doc_id are separate documents, and with a null one too; an empty table gives an empty table. Reruns agree, since
-    order and offset are hashes of the ids, the source and ``seed``.
+    doc_id are separate documents, and with a null one too; texts of any length are counted whole; ties of order go by id,
+    size and a hash of the text; an empty table gives an empty table. Reruns agree, since order and offset are hashes of the
+    ids, the source and ``seed``. Columns of ``docs`` that are named like a result, or begin with ``_``, are left out
+    (:func:`emitted` keeps them).
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS and (c == WHOLE or not c.startswith("_"))])
     key = F.coalesce(F.col("source").cast("string"), F.lit(""))
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_no_source", F.col("source").isNull()).withColumn("_source", key)
     bits = F.length(F.bin("size"))
     sized = sized.withColumn("_class", (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")).cast("int"))
-    sized = sized.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = sized.withColumn("_tie", F.xxhash64("text")).withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     group = ["_no_source", "_source"]
     sized = durable(sized if with_text else sized.drop("text"))
     counts = durable(sized.groupBy(*group, "_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, limi
     block = F.floor(place * F.col("_blocks") / F.lit(1 << 32)).cast("bigint")
     rows = sized.join(plan, [*group, "_class"]).withColumn("_block", block)
     whole = [*group, "_class", "_block"]
-    inside = Window.partitionBy(*whole).orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*whole).orderBy("_order", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*group).orderBy("_class", "_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*whole).agg(F.sum("_units").cast("decimal(28,0)").alias("u"))
     starts = totals.select(*whole, F.pmod(F.coalesce(F.sum("u").over(earlier), F.lit(0).cast("decimal(38,0)")), F.lit(UNIT)).cast("bigint").alias("_start"))
@@ -93,9 +98,10 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, limi
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as many times as it has copies, with the columns of ``docs``."""
-    m = mix(docs, **how)
-    return m.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: every document as many times as it has copies, with all columns of ``docs``, whatever their names."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE))
+    m = mix(packed, with_text=False, **how)
+    return m.filter("copies > 0").select(WHOLE, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{WHOLE}.*")
 
 
 #: The mix of all documents in SQL, for checking.

@@ -291,18 +291,61 @@ def test_token_files_round_trip(spark, documents, whole):
 
 # pipeline
 
-def test_pipeline_stages(spark, documents):
+def near_components(texts):
+    """Components of places in ``texts`` by five-word shingles and a similarity of 0.8, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    low = list(range(len(texts)))
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                low[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def hit(t, items):
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in x or ""))
+    own = words(t)
+    for item in items:
+        w = words(item)
+        for k in range(max(len(w) - 9, 1) if w else 0):
+            part = w[k:k + 10]
+            if any(own[i:i + len(part)] == part for i in range(len(own) - len(part) + 1)):
+                return True
+    return False
+
+
+def test_pipeline_stages_row_by_row(spark, whole):
+    import duckdb
+
     rng = random.Random(11)
     folder = f"{shared_dir(spark)}/in-{uuid.uuid4().hex}"
     train = labelled(spark, rng, 200).collect()
     item = text(rng, 30)
     docs = [(r["doc_id"], r["text"], "a") for r in train]
+    bad = next(r["text"] for r in train if r["toxic"])
     base = text(rng, 120)
     docs += [(300 + i, text(rng, 60), rng.choice("abc")) for i in range(60)]
-    docs += [(500, base, "a"), (501, base, "b"), (502, base + " end", "c"), (503, base.upper(), None), (600, text(rng, 9) + " " + item, "a"), (700, None, "b"), (701, "", "b"), (None, "no id here", "a"), (301, "other text", "a")]
-    df = documents(docs)
+    docs += [(500, base, "a"), (501, base, "b"), (502, base + " end", "c"), (503, base.upper(), None), (600, text(rng, 9) + " " + item, "a"), (700, None, "b"), (701, "", "b"), (702, "", "b")]
+    # ids that are null or shared: toxic, copied and contaminated rows go, their namesakes stay
+    docs += [(None, "no id here", "a"), (301, "other text", "a"), (None, bad, "a"), (302, bad, "b"), (None, base, "c"), (None, item, "a"), (303, "pre " + item, "b"), (304, docs[0][1], "c"), (304, docs[0][1], "c")]
+    names = ["target", "size", "copies", "_order", "_row", "kept", "component_id", "predicted", "score", "contaminated", "n"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+    full = [(i, t, "en", s, None if t is None else len(t), *[f"{n}{k}" for n in names]) for k, (i, t, s) in enumerate(docs)]
+    df = spark.createDataFrame(full, schema)
     df.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(r["doc_id"], 1, r["toxic"]) for r in train], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    labels = spark.createDataFrame([(r["doc_id"], 1, r["toxic"]) for r in train], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     now, left = df, []
     for name, stage in corpus_pipeline.STAGES:
@@ -312,10 +355,61 @@ def test_pipeline_stages(spark, documents):
         path = f"{folder}/out-{name}"
         out.write.parquet(path)
         now = spark.read.parquet(path)
-        left.append([r["doc_id"] for r in now.select("doc_id").collect()])
+        left.append(sorted(map(tuple, now.collect()), key=str))
     toxic, near, clean, mixed, files = left
-    assert sorted(toxic, key=str) == sorted((d[0] for d in docs if not (d[0] is not None and d[0] < 200 and d[0] % 4 == 0)), key=str)
-    assert {500} == {500, 501, 502, 503} & set(near) and None in near and 700 in near and 701 in near
-    assert set(near) - set(clean) == {600}
-    assert set(mixed) <= set(clean) and sorted(files, key=str) == sorted(mixed, key=str)
-    assert corpus_pipeline.run(spark, folder).count() == len(files)
+    # toxicity: the texts that the model rejects, and no other row
+    model = toxicity.train(toxicity.labelled_rows(df, labels))
+    texts = sorted({t for _, t, _ in docs}, key=str)
+    numbered = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rejected = {texts[r["doc_id"]] for r in toxicity.scored(numbered, model).collect() if r["predicted"]}
+    assert bad in rejected and toxic == sorted((r for r in full if r[1] not in rejected), key=str)
+    # near-dedup: of each component the smallest id, null ids last
+    of = near_components([r[1] for r in toxic])
+    groups = {}
+    for r, c in zip(toxic, of):
+        groups.setdefault(c, []).append(r)
+    assert len(near) == len(groups)
+    kept = set(near)
+    for g in groups.values():
+        stays = [r for r in g if r in kept]
+        assert len(stays) == 1 and stays[0][0] == min((r[0] for r in g if r[0] is not None), default=None)
+    # decontamination
+    assert clean == [r for r in near if not hit(r[1], [item])] and len(clean) < len(near)
+    # mixing: as often as the SQL of the mix says; texts without words at most as the limit says
+    documents = [(r[0], r[1], r[3]) for r in clean]  # noqa: F841 the name that the SQL reads
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?)", documents)
+    taken = {}
+    for doc, size, _, _, words in c.sql(mixing.SQL).fetchall():
+        if size:
+            taken[doc, size] = taken.get((doc, size), 0) + words // size
+    times = {}
+    for r in mixed:
+        n = len((r[1] or "").split())
+        assert r in clean
+        if n:
+            times[r[0], n] = times.get((r[0], n), 0) + 1
+        else:
+            assert mixed.count(r) <= 3
+    assert times == {k: v for k, v in taken.items() if v}
+    # token files
+    start, want = 0, []
+    for r in sorted(mixed, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = whole.encode(r[1] or "", add_special_tokens=False).ids + [1]
+        want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert files == sorted(want, key=str)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()), key=str) == files
+
+
+def test_pipeline_stages_on_empty_tables(spark):
+    folder = f"{shared_dir(spark)}/in-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    none.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    one = spark.createDataFrame([(1, "some words here", "en", "a", 15)], none.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, one, folder).count() == 1, name
