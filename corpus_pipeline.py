@@ -16,41 +16,86 @@ from docassay.llm.decontaminate import contamination
 from docassay.llm.minhash import near_duplicates
 from docassay.llm.mixing import emitted
 from docassay.llm.orc_tokens import index, write_tokens
-from docassay.llm.toxicity import toxicity
-from docassay.session import shared_dir
+from docassay.llm.toxicity import labelled_rows, scored, train
+from docassay.session import durable, shared_dir
 from docassay.sources.tables import table
 
 #: Shingle words and similarity in percent of the near-dedup stage.
 WORDS, PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose id is in ``ids``; rows with a null id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written so that the numbers stay, and the number's column. Decisions are made on
+    rows: ids may be null or shared."""
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    return durable(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _texts(rows: DataFrame, row: str) -> DataFrame:
+    """The texts of numbered rows, the number in place of the id."""
+    return rows.select(F.col(row).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """Numbered rows but for those whose number is a ``doc_id`` of ``gone``."""
+    return rows.join(gone.select(F.col("doc_id").alias(row)), row, "left_anti").select(*[c for c in rows.columns if c != row])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    """Documents that the classifier does not reject.
+
+    Defined cases: every row is judged by its own text, whatever its id; null and empty texts get the intercept's score;
+    texts are scored whole; repeated rows are judged alike; a score of exactly the threshold rejects; without labels of
+    both kinds the score is the share of toxic ones; an empty table stays empty; other columns are carried on.
+    """
+    rows, row = _numbered(docs)
+    model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return _without(rows, row, scored(_texts(rows, row), model).filter("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component; rows that repeat an id and text become one."""
-    return _without(docs, near_duplicates(docs, WORDS, PERCENT).filter("not kept")).dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate component: the one with the smallest id, null ids last.
+
+    Defined cases: rows are compared by text, so of rows that repeat, or share an id and have near texts, one stays; rows
+    with a null id are compared like others; texts without words are near to nothing and all stay; texts are compared
+    whole; of equal ids in a component the row written first stays; an empty table stays empty; other columns are carried on.
+    """
+    rows, row = _numbered(docs)
+    found = near_duplicates(_texts(rows, row), WORDS, PERCENT).select(F.col("doc_id").alias(row), F.col("component_id").alias("of"))
+    place = F.struct(F.col("id").isNull(), F.col("id"), F.col(row))
+    keep = rows.select(row, F.col("doc_id").alias("id")).join(found, row).groupBy("of").agg(F.min_by(row, place).alias(row))
+    return rows.join(keep.select(row), row, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    """Documents in which no window of a benchmark item occurs.
+
+    Defined cases: every row is judged by its own text; null and empty texts stay; texts are searched whole; repeated rows
+    are judged alike; items without words or id match nothing; empty tables on either side leave ``docs`` as it is; other
+    columns are carried on.
+    """
+    rows, row = _numbered(docs)
+    return _without(rows, row, contamination(_texts(rows, row), table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as the sources' targets ask for."""
+    """The mix: every document as often as the sources' targets ask for.
+
+    Defined cases: a null source is one of its own; a text without words has no size, and is taken as often as others of
+    its source; rows are separate whatever their ids; ties go by id, size and a hash of the text; an empty table stays
+    empty; other columns are carried on, whatever their names.
+    """
     return emitted(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place and checksum of every document's ids, from the token files written in the shared folder."""
+    """Place and checksum of every document's ids, from the token files written in the shared folder.
+
+    Defined cases: null and empty texts are the end id alone; null ids come first, rows with one id follow each other by
+    text; texts are encoded whole; an empty table gives an empty one; other columns are ignored.
+    """
     path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
     write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return index(spark, path)
