@@ -204,21 +204,22 @@ def merge_pages(items: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def extraction_profile(claims: DataFrame, gate: float = TRUST_GATE) -> DataFrame:
-    """Counts of an extraction per document."""
+    """Counts of an extraction per document; with columns ``page``, ``model`` and ``bbox`` also the pages, the model, and
+    the boxes of cross-read failures (subject, predicate, page, box), in order."""
     crit = F.col("cross_read_required")
+    failed = crit & ~F.col("agree")
+    more = []
+    if "page" in claims.columns:
+        more += [F.count_distinct("page").alias("pages"), F.min("model").alias("model")]
+        box = F.struct("page", "subject", "predicate", "bbox")
+        more.append(F.array_sort(F.collect_list(F.when(failed & F.col("bbox").isNotNull(), box))).alias("failure_boxes"))
     return claims.groupBy("doc_id", "doc_type").agg(
         F.count(F.lit(1)).alias("claims"),
         F.count_if(crit).alias("critical"),
-        F.count_if(crit & ~F.col("agree")).alias("failures"),
+        F.count_if(F.col("value_type").isin(*CRITICAL_TYPES)).alias("numeric") if "value_type" in claims.columns else F.lit(None).cast("bigint").alias("numeric"),
+        F.count_if(failed).alias("failures"),
         F.count_if(trusted(gate)).alias("trusted"),
         F.count_distinct("subject").alias("subjects"),
         F.avg("confidence").alias("mean_confidence"),
+        *more,
     ).withColumn("rate", F.try_divide(F.col("critical") - F.col("failures"), F.col("critical")))
-
-
-def is_critical(value_type: Column) -> Column:
-    return value_type.isin(*CRITICAL_TYPES)
-
-
-def summary_kind(kind: Column) -> Column:
-    return kind.isin(*SUMMARY_KINDS)

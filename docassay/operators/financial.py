@@ -218,7 +218,7 @@ def f7(claims: DataFrame) -> DataFrame:
 
 def slab_tax(income: DataFrame, slabs: DataFrame) -> DataFrame:
     """Tax per slab table of the year: the part of the income inside each slab times its rate. No table: null."""
-    j = income.join(F.broadcast(slabs), (income.year == slabs.slab_year) & (income.taxable > slabs.low), "left")
+    j = income.join(slabs, (income.year == slabs.slab_year) & (income.taxable > slabs.low), "left")
     part = F.least("taxable", F.coalesce("high", F.col("taxable"))) - F.col("low")
     tax = F.sum(part * F.col("rate_pct") / 100)
     return j.groupBy("doc_id", "year", "taxable", "stated_tax").agg(tax.alias("tax"))

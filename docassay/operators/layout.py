@@ -182,3 +182,13 @@ def line_texts(words: DataFrame, keys: list[str]) -> DataFrame:
     """Words of a printed line in reading order."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda x: x["text"]), " ")
     return words.filter(F.col("text") != "").groupBy(*keys).agg(text.alias("line_text"))
+
+
+def document_texts(words: DataFrame, keys: list[str], line: list[str]) -> DataFrame:
+    """Text of each document from its words: lines in order, joined by line feeds; ``lines`` counts them.
+
+    A document's lines meet in one row, since its text is one value.
+    """
+    each = line_texts(words, [*keys, *line])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*line, "line_text"))), lambda x: x["line_text"]), "\n")
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), text.alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.rulebook import (
+    RED_FLAG, SOURCE_AVOIDED, WEIGHTS,
     EDITING_TOOLS, FONT_BASE, FONT_EXTRA, FONT_MIN_SPANS, LEGITIMATE_PRODUCERS, META_EDITING, META_EXTRA_UPDATE,
     META_IMPOSSIBLE_ORDER, META_LARGE_SKEW, META_MISSING, META_SKEW_DAYS, META_UPDATE,
 )
@@ -60,3 +61,12 @@ def font_consistency(spans: DataFrame) -> DataFrame:
     s = F.when(F.col("inconsistent") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.round(FONT_BASE + FONT_EXTRA * (F.col("inconsistent") - 1), 6)))
     return j.select("doc_id", "spans", "inconsistent", F.when(few, "NOT_EVALUATED").otherwise("VALID").alias("status"),
                     F.when(few, -1.0).otherwise(s).alias("suspicion"))
+
+
+def source_avoidance(documents: DataFrame) -> DataFrame:
+    """``documents``: doc_id, issuer (null if none is recognised), signed. A document of an issuer that would give it from
+    the source, and that is not signed, is flagged; without an issuer, or with a signature, there is nothing to say."""
+    avoided = F.col("issuer").isNotNull() & ~F.coalesce("signed", F.lit(False))
+    name = "pdf_only_red_flag"
+    return documents.select("doc_id", "issuer", F.lit(name).alias("name"), F.when(avoided, "VALID").otherwise("NOT_EVALUATED").alias("status"),
+                            F.when(avoided, F.lit(SOURCE_AVOIDED)).alias("suspicion"), F.lit(WEIGHTS[name]).alias("weight"), F.when(avoided, F.lit(RED_FLAG)).alias("red_flag"))

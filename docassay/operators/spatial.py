@@ -74,9 +74,9 @@ def line_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def route_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """First applicable provider in preference order; a consent for another class is refused.
 
-    ``providers`` is the fixed provider list: provider, doc_class, preference.
+    ``providers``: provider, doc_class, preference.
     """
-    j = requests.join(F.broadcast(providers), "doc_class", "left")
+    j = requests.join(providers, "doc_class", "left")
     g = j.groupBy("request_id", "doc_class", "consent_class").agg(F.min_by("provider", "preference").alias("provider"))
     status = F.when(F.col("consent_class") != F.col("doc_class"), "NOT_VERIFIED").when(
         F.col("provider").isNull(), "NO_PROVIDER").otherwise("ROUTED")

@@ -190,3 +190,18 @@ def clm14(spark, d):
 def clm17(spark, d):
     return K.extraction_profile(A.claims(spark, d)).select(
         "doc_id", "doc_type", "claims", "critical", "failures", "trusted", "subjects")
+
+
+@query("clm17_failure_boxes", """
+    SELECT doc_id, count(DISTINCT page) AS pages, 'm' || min(page % 2) AS model, count_if(cross_read_required)::BIGINT AS numeric, count_if(failed AND boxed)::INT AS boxes,
+      coalesce(string_agg(page || ':' || subject || ':' || predicate || ':' || "index", ',' ORDER BY page, subject, predicate) FILTER (failed AND boxed), '') AS listed
+    FROM (SELECT *, coalesce("index", 0) // 3 AS page, cross_read_required AND NOT agree AS failed, coalesce("index" % 2 = 0, false) AS boxed FROM claims) GROUP BY 1""", ("claims",))
+def clm17_boxes(spark, d):
+    """Every third row of a statement begins a page; every second row has a box."""
+    page = F.expr("coalesce(index, 0) div 3").cast("int")
+    box = F.array(F.col("index").cast("double"), F.lit(0.1), F.lit(0.2), F.lit(0.02))
+    c = A.claims(spark, d).withColumn("page", page).withColumn("model", F.concat(F.lit("m"), (page % 2).cast("string"))).withColumn(
+        "bbox", F.when(F.col("index") % 2 == 0, box))
+    p = K.extraction_profile(c)
+    said = F.transform("failure_boxes", lambda f: F.concat_ws(":", f["page"].cast("string"), f["subject"], f["predicate"], F.get(f["bbox"], F.lit(0)).cast("int").cast("string")))
+    return p.select("doc_id", "pages", "model", "numeric", F.size("failure_boxes").alias("boxes"), F.array_join(said, ",").alias("listed"))

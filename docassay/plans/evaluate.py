@@ -18,10 +18,10 @@ from docassay.plans import decide as DQ
 from docassay.plans import network as NQ
 from docassay.plans.oracle_inputs import cte
 from docassay.plans.registry import query
-from docassay.rulebook import CRITICAL_TYPES, FIELD_TYPES
 from docassay.session import durable
 from docassay.sources import adapters as A
 from docassay.sources import intake as I
+from docassay.sources import rulebook_files as RB
 from docassay.sources import sinks as K
 from docassay.sources.cache import SAVED, STAGING, ExtractionCache
 from docassay.sources.tables import paise, table
@@ -96,9 +96,11 @@ def src02_types(spark, d):
       WHEN predicate IN ('period_start', 'period_end') THEN 'Date' WHEN predicate = 'employer' THEN 'OrgName' ELSE '' END AS value_type,
       predicate IN ('opening_balance', 'closing_balance', 'gross_earnings', 'total_deductions', 'net_pay', 'gross_income', 'taxable_income') AS critical FROM claims) GROUP BY 1, 2""", ("claims",))
 def src03(spark, d):
-    dim = spark.createDataFrame([(p, t, t in CRITICAL_TYPES) for p, t in FIELD_TYPES.items()], "predicate string, vt string, critical boolean")
-    c = A.claims(spark, d).join(F.broadcast(dim), "predicate", "left")
-    return c.groupBy(F.coalesce("vt", F.lit("")).alias("value_type"), F.coalesce("critical", F.lit(False)).alias("critical")).agg(
+    path = K.table_path(spark, "rulebook")
+    RB.write_rulebook(spark, path)
+    dim = RB.load_rulebook(spark, path)["value_types"]
+    c = A.claims(spark, d).join(dim, "predicate", "left")
+    return c.groupBy(F.coalesce("type", F.lit("")).alias("value_type"), F.coalesce("critical", F.lit(False)).alias("critical")).agg(
         F.count(F.lit(1)).alias("claims"))
 
 
@@ -114,6 +116,27 @@ def src05(spark, d):
     return spark.read.parquet(path).groupBy("bank_id").agg(F.count(F.lit(1)).alias("reports"))
 
 
+@query("src05_application_append", "SELECT bank_id, kind, count(*) AS applications, count(DISTINCT case_id) AS cases FROM applications GROUP BY 1, 2", ("applications",))
+def src05_applications(spark, d):
+    """Linkage rows appended by bank in two loads."""
+    path = K.table_path(spark, "applications")
+    a = A.applications(spark, d)
+    late = F.pmod(F.xxhash64("case_id"), F.lit(2)) == 0
+    K.append(a.filter(~late), path, ["bank_id"])
+    K.append(a.filter(late), path, ["bank_id"])
+    back = spark.read.parquet(path)
+    return back.groupBy("bank_id", "kind").agg(F.count(F.lit(1)).alias("applications"), F.countDistinct("case_id").alias("cases"))
+
+
+@query("src05_labelled_cases", "SELECT lang, is_fraud, count(*) AS cases FROM labelled_cases GROUP BY 1, 2", ("labelled_cases",))
+def src05_cases(spark, d):
+    """Labelled cases taken in as a stream, batch by batch."""
+    c = A.labelled_cases(spark, d)
+    folder = ST.run_folder(spark, "labelled")
+    ST.drain(arrivals(spark, c, "labelled", (F.col("case_no") % 3).cast("int")), folder, ST.write_batch(folder))
+    return ST.read_out(spark, folder).groupBy("lang", "is_fraud").agg(F.count(F.lit(1)).alias("cases"))
+
+
 cte("pages_read", """
     SELECT key, min(d.doc_id) AS page, bool_or(l.doc_id IS NOT NULL) AS labelled FROM (
       SELECT doc_id, sha256(encode(text) || unhex('00') || encode(lang) || unhex('00') || encode(source) || unhex('00') || encode('1')) AS key FROM documents) d

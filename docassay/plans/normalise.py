@@ -150,13 +150,14 @@ def nj09(spark, d):
 
 
 @query("nj10_source_avoidance", """
-    SELECT issuer, count_if(issuer <> '' AND bundle_id % 6 <> 2)::BIGINT AS avoided, count(*) AS documents FROM issuers GROUP BY 1""", ("issuers",))
+    SELECT issuer, count_if(issuer <> '' AND bundle_id % 6 <> 2)::BIGINT AS avoided, count(*) AS documents,
+      round(count_if(issuer <> '' AND bundle_id % 6 <> 2) * 0.55 * 0.10, 6)::DOUBLE AS weighted FROM issuers GROUP BY 1""", ("issuers",))
 def nj10(spark, d):
-    t = A.kyc_text(spark, d).select("bundle_id", X.issuer(F.col("text")).alias("issuer"))
-    signed = F.col("bundle_id") % 6 == 2
-    s = t.withColumn("suspicion", F.when(F.col("issuer").isNotNull() & ~signed, F.lit(0.55)))
+    t = A.kyc_text(spark, d).select("doc_id", X.issuer(F.col("text")).alias("issuer"), (F.col("bundle_id") % 6 == 2).alias("signed"))
+    s = P.source_avoidance(t)
+    part = (F.col("suspicion") * F.col("weight")).cast("decimal(12,6)")
     return s.groupBy(F.coalesce("issuer", F.lit("")).alias("issuer")).agg(
-        F.count("suspicion").alias("avoided"), F.count(F.lit(1)).alias("documents"))
+        F.count_if(F.col("red_flag").isNotNull()).alias("avoided"), F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(part), F.lit(0)).cast("double").alias("weighted"))
 
 
 @query("nj11_pan_structure", """
@@ -311,6 +312,14 @@ def wn08(spark, d):
     return W.line_texts(A.words(spark, d), ["doc_id", "line"])
 
 
+@query("wn08_document_texts", """
+    SELECT doc_id, count(*) AS lines, sha256(string_agg(line_text, chr(10) ORDER BY line)) AS text_sha256 FROM (
+      SELECT doc_id, line, string_agg(text, ' ' ORDER BY pos) AS line_text FROM words GROUP BY 1, 2) GROUP BY 1""", ("words",))
+def wn08_documents(spark, d):
+    t = W.document_texts(A.words(spark, d), ["doc_id"], ["line"])
+    return t.select("doc_id", "lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("or02_worst_disagreement", """
     SELECT bundle_id, arg_max(field, (severity, field)) AS field, max(severity) AS severity FROM identity_cmp WHERE status <> 'agree' GROUP BY 1""", ("identity_cmp",))
 def or02(spark, d):

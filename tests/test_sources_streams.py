@@ -34,6 +34,27 @@ def test_evidence_sink(spark, folder, tmp_path):
     assert back.count() == DQ.packs(spark, folder).count()
 
 
+def test_rulebook_files_are_refused_when_a_section_is_missing(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    from docassay.rulebook import RULES
+    from docassay.sources import rulebook_files as RB
+
+    RB.write_rulebook(spark, str(tmp_path / "book"))
+    book = RB.load_rulebook(spark, str(tmp_path / "book"))
+    assert sorted((r.rule_id, r.domain) for r in book["rules"].collect()) == sorted((r[0], r[1]) for r in RULES)
+    for broken in ("missing", "empty", "torn"):
+        path = tmp_path / broken
+        shutil.copytree(tmp_path / "book", path)
+        part = next((path / "rules").glob("part-*"))
+        {"missing": lambda: shutil.rmtree(path / "rules"), "empty": lambda: part.write_text(""), "torn": lambda: part.write_text('{"rule_id": ')}[broken]()
+        (path / "rules" / f".{part.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(ValueError, match="rules"):
+            RB.load_rulebook(spark, str(path))
+
+
 def entries(spark, *rows):
     full = [(k, "r1", "m1", "bank", 0, at, text) for k, at, text in rows]
     return spark.createDataFrame(full, "key string, reader string, model string, doc_type string, page_index int, cached_at string, content string")
