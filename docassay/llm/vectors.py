@@ -27,8 +27,11 @@ from docassay.operators.network import components
 from docassay.session import durable
 
 THRESHOLD, RECALL = 0.95, 0.98
-#: Classes used to fit codebooks, test vectors used to set the visits, vectors per cell aimed at, codewords at most.
-SAMPLE, TESTS, PER_CELL, CODEWORDS = 8192, 1024, 64, 512
+#: Classes used to fit codebooks, test vectors used to set the visits, vectors per cell aimed at, classes per codeword at
+#: least. Up to 2^28 vectors cells keep their size; of more, they grow.
+SAMPLE, TESTS, PER_CELL, PER_CODEWORD = 8192, 1024, 64, 4
+#: Vectors that are compared with the codewords at once.
+AT_ONCE = 1024
 #: Sides of a block: vectors of a cell, and vectors that search it.
 HELD, SEARCHING = 512, 2048
 
@@ -37,7 +40,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarra
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = distances(x, c).argmin(axis=1)
+        near = np.concatenate([distances(x[s:s + AT_ONCE], c).argmin(axis=1) for s in range(0, len(x), AT_ONCE)])
         total, n = np.zeros_like(c), np.bincount(near, minlength=k)
         np.add.at(total, near, x)
         c[n > 0] = total[n > 0] / n[n > 0, None]
@@ -68,7 +71,7 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, n: int, recall: float = RECALL, threshold: float = THRESHOLD):
         """``sample``: normalised vectors; ``n``: how many the index will hold."""
         self.half = max(sample.shape[1] // 2, 1)
-        k = int(min(max(np.ceil(np.sqrt(n / PER_CELL)), 1), CODEWORDS, len(sample)))
+        k = int(min(max(np.ceil(np.sqrt(n / PER_CELL)), 1), max(SAMPLE // PER_CODEWORD, 1), len(sample)))
         self.books = [k_means(sample[:, :self.half], k), k_means(sample[:, self.half:], k, seed=2)]
         rng = np.random.default_rng(3)
         base = sample[rng.choice(len(sample), min(TESTS, len(sample)), replace=False)]
@@ -78,9 +81,10 @@ class MultiIndex:
         off = np.divide(off, length, out=np.zeros_like(off), where=length > 0)
         near = threshold * base + np.sqrt(1 - threshold * threshold) * off
         goal = self.home(near)
-        cost = self.halves(base)
-        total = cost[0][:, :, None] + cost[1][:, None, :]
-        rank = (total.reshape(len(base), -1) < total.reshape(len(base), -1)[np.arange(len(base)), goal][:, None]).sum(1)
+        rank = np.zeros(len(base), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(*self.halves(base))):  # one grid at a time
+            total = a[:, None] + b[None, :]
+            rank[i] = (total < total.reshape(-1)[goal[i]]).sum()
         self.visits = int(np.quantile(rank, recall, method="higher")) + 1
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +129,7 @@ def valid(vectors: DataFrame, dim: int) -> DataFrame:
 def _search(index: MultiIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            for batch in (batch.slice(s, AT_ONCE) for s in range(0, batch.num_rows, AT_ONCE)):
                 visited = index.visited(_unit(batch.column(2).to_pylist()))
                 yield pa.record_batch([*batch.columns, pa.array([v[0] for v in visited], pa.int64()), pa.array(visited, pa.list_(pa.int64()))],
                                       ["node", "n", "raw", "home", "visits"])
@@ -169,23 +173,13 @@ def _compared(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, embedding).
-
-    Defined cases: a vector that is null, zero, or holds a null or non-finite component links with nothing, and so does
-    one of another length than most; a null id links with nothing and has a null component; rows that share an id are one
-    vector, linked by any of them; an empty table gives an empty table.
-    """
-    base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    most = base.filter("embedding is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("dim > 0").orderBy(F.desc("n"), F.desc("dim")).first()
-    alone = base.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if most is None:
-        return alone
-    rows = durable(valid(base, most["dim"]))
+def _linked(base: DataFrame, dim: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame] | None:
+    """``vec_id, links`` of the vectors of one length, and edges (a, b) that connect what is linked; None without any."""
+    rows = durable(valid(base.filter(F.size("embedding") == dim), dim))
     classes = durable(rows.groupBy("digest").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("n"), F.first("raw").alias("raw")))
     total = classes.count()
     if not total:
-        return alone
+        return None
     sample = [bytes(r["raw"]) for r in classes.orderBy(F.xxhash64("digest"), "node").limit(SAMPLE).select("raw").collect()]
     index = MultiIndex(_unit(sample), total, recall, threshold)
     placed = durable(classes.select("node", "n", "raw").mapInArrow(_search(index), "node bigint, n bigint, raw binary, home bigint, visits array<bigint>"))
@@ -206,10 +200,30 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     same = rows.select("vec_id", "digest").join(classes.select("digest", "node", "n"), "digest")
     edges = found.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(
-        same.filter("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))).distinct()
-    ids = same.select(F.col("vec_id").alias("case_id")).distinct()
-    comp = components(ids, edges).select(F.col("case_id").alias("vec_id"), "component")
-    links = same.join(counts, "node", "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+        same.filter("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b")))
+    return same.join(counts, "node", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), edges
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, embedding).
+
+    Vectors of each length have an index of their own. Defined cases: a vector that is null, zero, or holds a null or
+    non-finite component links with nothing; vectors of different length do not link; a null id links with nothing and has
+    a null component; rows that share an id are one vector, linked by any of them; repeated and equal vectors are one class
+    and count each other; vectors of any length are compared whole; a cosine of exactly the threshold links; an empty table
+    gives an empty table; other columns are ignored.
+    """
+    base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    lengths = [r["dim"] for r in base.filter("embedding is not null").select(F.size("embedding").alias("dim")).distinct().filter("dim > 0").orderBy("dim").collect()]
+    alone = base.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    linked = [x for x in (_linked(base, dim, threshold, recall) for dim in lengths) if x is not None]
+    if not linked:
+        return alone
+    links, edges = linked[0]
+    for more_links, more_edges in linked[1:]:
+        links, edges = links.unionByName(more_links), edges.unionByName(more_edges)
+    links = durable(links.groupBy("vec_id").agg(F.sum("links").alias("n_links")))
+    comp = components(links.select(F.col("vec_id").alias("case_id")), edges.distinct()).select(F.col("case_id").alias("vec_id"), "component")
     known = comp.join(links, "vec_id")
     out = base.join(known, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -274,3 +274,23 @@ def test_vectors_against_brute_force(spark):
         assert tuple(got[i]) == (i, 0, i, True)
     assert tuple(got[None]) == (None, 0, None, True)
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(7)
+    data, linked = [], {}
+    for dim, many in ((12, 150), (5, 40), (3, 2), (1, 3)):
+        x = rng.normal(size=(many, dim))
+        x = np.concatenate([x, x[:many // 2] + 0.03 * rng.normal(size=(many // 2, dim)), x[:1], x[:1] * 2])
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        near = unit @ unit.T >= 0.95
+        first = len(data)
+        data += [(first + i, v.tolist()) for i, v in enumerate(x)]
+        linked |= {first + i: {first + int(j) for j in np.flatnonzero(near[i]) if j != i} for i in range(len(x))}
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<double>")).collect()}
+    # no link is made up, and few are missed whatever the length
+    assert all(got[i]["n_links"] <= len(linked[i]) for i in linked)
+    for dim in (12, 5, 3, 1):
+        own = [i for i, v in data if len(v) == dim]
+        assert sum(got[i]["n_links"] for i in own) >= 0.95 * sum(len(linked[i]) for i in own)
+        assert {got[i]["component_id"] for i in own} <= set(own)
