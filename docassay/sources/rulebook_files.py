@@ -21,7 +21,7 @@ def write_rulebook(spark: SparkSession, path: str) -> None:
         "rules": list(RULES),
         "severity_bands": list(SEVERITY_BANDS.items()),
         "value_types": [(p, t, t in CRITICAL_TYPES) for p, t in FIELD_TYPES.items()],
-        "unit_factors": [(d, u, float(f)) for d, units in (("area", AREA_FACTORS), ("time", TIME_FACTORS)) for u, f in units.items()],
+        "unit_factors": [(d, u, None if f is None else float(f)) for d, units in (("area", AREA_FACTORS), ("time", TIME_FACTORS)) for u, f in units.items()],
     }
     for name, columns in SECTIONS.items():
         spark.createDataFrame(rows[name], columns).coalesce(1).write.json(f"{path}/{name}")  # a few dozen rows

@@ -11,7 +11,7 @@ from docassay.session import build_session
 import __spark_entry__ as E
 sf=sys.argv[1]; pats=sys.argv[2:]
 d=f'/root/testdata/{sf}'
-s=build_session(master='local[8]',shuffle=8); s.sparkContext.setLogLevel('ERROR')
+s=build_session(master=os.environ.get('MASTER','local[8]'),shuffle=8); s.sparkContext.setLogLevel('ERROR')
 c=duckdb.connect()
 for t in 'region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations'.split():
     c.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
