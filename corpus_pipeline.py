@@ -7,6 +7,7 @@ as Parquet and reread as the next one's ``docs``. Every stage but the last keeps
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ WORDS, PERCENT = 5, 80
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, written so that the numbers stay, and the number's column. Decisions are made on
-    rows: ids may be null or shared."""
+    """``docs`` with a number for each row, written so that the numbers stay, and the number's column: ids may be null or
+    shared."""
     row = "_row"
     while row in docs.columns:
         row = f"_{row}"
@@ -38,9 +39,14 @@ def _texts(rows: DataFrame, row: str) -> DataFrame:
     return rows.select(F.col(row).alias("doc_id"), "text")
 
 
-def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """Numbered rows but for those whose number is a ``doc_id`` of ``gone``."""
-    return rows.join(gone.select(F.col("doc_id").alias(row)), row, "left_anti").select(*[c for c in rows.columns if c != row])
+def _without(docs: DataFrame, decided: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` but for the rows whose text is among the ones that ``decided`` returns. It is given the texts under the hash
+    of each as its id, so that rows are told by their texts and not by ids."""
+    of, name = F.xxhash64("text"), "_gone"
+    while name in docs.columns:
+        name = f"_{name}"
+    gone = decided(docs.select(of.alias("doc_id"), "text")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, of == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +56,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts are scored whole; repeated rows are judged alike; a score of exactly the threshold rejects; without labels of
     both kinds the score is the share of toxic ones; an empty table stays empty; other columns are carried on.
     """
-    rows, row = _numbered(docs)
     model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return _without(rows, row, scored(_texts(rows, row), model).filter("predicted = 1"))
+    return _without(docs, lambda texts: scored(texts, model).filter("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +81,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     are judged alike; items without words or id match nothing; empty tables on either side leave ``docs`` as it is; other
     columns are carried on.
     """
-    rows, row = _numbered(docs)
-    return _without(rows, row, contamination(_texts(rows, row), table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _without(docs, lambda texts: contamination(texts, benchmark).filter("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
