@@ -129,9 +129,10 @@ def valid(vectors: DataFrame, dim: int) -> DataFrame:
 def _search(index: MultiIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for batch in (batch.slice(s, AT_ONCE) for s in range(0, batch.num_rows, AT_ONCE)):
-                visited = index.visited(_unit(batch.column(2).to_pylist()))
-                yield pa.record_batch([*batch.columns, pa.array([v[0] for v in visited], pa.int64()), pa.array(visited, pa.list_(pa.int64()))],
+            for s in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(s, AT_ONCE)
+                visited = index.visited(_unit(part.column(2).to_pylist()))
+                yield pa.record_batch([*part.columns, pa.array([v[0] for v in visited], pa.int64()), pa.array(visited, pa.list_(pa.int64()))],
                                       ["node", "n", "raw", "home", "visits"])
     return run
 

@@ -276,8 +276,9 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_vectors_of_every_length_are_compared(spark):
+def test_vectors_of_every_length_are_compared(spark, monkeypatch):
     rng = np.random.default_rng(7)
+    monkeypatch.setattr(vectors, "AT_ONCE", 16)  # several parts of a batch
     data, linked = [], {}
     for dim, many in ((12, 150), (5, 40), (3, 2), (1, 3)):
         x = rng.normal(size=(many, dim))
