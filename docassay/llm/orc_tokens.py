@@ -31,7 +31,7 @@ from docassay.llm.tokens import pieces, settled
 END = 1
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words remembered by a Python worker; a full cache is emptied and filled again.
-CACHE = 300_000
+CACHE = 800_000
 FILE_SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 #: ORC settings: rows of an index group, and a Bloom filter with few false hits on the ids.
 LAYOUT = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.compress": "ZSTD"}
@@ -104,7 +104,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         words, part, before, stop = encoder(tokenizer), TaskContext.get().partitionId(), 0, np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for piece in pieces(texts.to_pylist(), 2 << 20):
+            for piece in pieces(texts.to_pylist(), 8 << 20):
                 rows = [words.encode(t) + stop for t in texts[piece].to_pylist()]
                 n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
                 offsets = np.concatenate(([0], np.cumsum(n)))
